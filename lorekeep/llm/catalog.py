@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import near
+from . import leaks, lookalike, near
 
 
 def queries():
     return {
+        "p6_found": leaks.p6_found,
+        "p6_leaked_items": leaks.p6_leaked_items,
+        "p8_found": lookalike.p8_found,
+        "p8_classes": lookalike.p8_classes,
+        "p8_texts": lookalike.p8_texts,
         "p5_found": near.p5_found,
         "p5_groups": near.p5_groups,
     }
