@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import leaks, lookalike, near
+from . import leaks, lookalike, mixing, near, pieces, vectors
 
 
 def queries():
@@ -12,10 +12,17 @@ def queries():
         "p8_found": lookalike.p8_found,
         "p8_classes": lookalike.p8_classes,
         "p8_texts": lookalike.p8_texts,
+        "p1_found": pieces.p1_found,
+        "p1_pieces": pieces.p1_pieces,
+        "p1_sizes": pieces.p1_sizes,
+        "p4_found": vectors.p4_found,
+        "p4_neighbours": vectors.p4_neighbours,
+        "p7_mix": mixing.p7_mix,
+        "p7_shares": mixing.p7_shares,
         "p5_found": near.p5_found,
         "p5_groups": near.p5_groups,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"p1_found": pieces.P1_FOUND_SQL}
