@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import leaks, lookalike, mixing, near, pieces, vectors
+from . import history, leaks, lookalike, mixing, near, pieces, vectors
 
 
 def queries():
@@ -15,6 +15,8 @@ def queries():
         "p1_found": pieces.p1_found,
         "p1_pieces": pieces.p1_pieces,
         "p1_sizes": pieces.p1_sizes,
+        "p3_found": history.p3_found,
+        "p3_decisions": history.p3_decisions,
         "p4_found": vectors.p4_found,
         "p4_neighbours": vectors.p4_neighbours,
         "p7_mix": mixing.p7_mix,
