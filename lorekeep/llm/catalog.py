@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import history, leaks, lookalike, mixing, near, pieces, vectors
+from . import history, leaks, lookalike, mixing, near, pieces, private, vectors
 
 
 def queries():
@@ -15,6 +15,9 @@ def queries():
         "p1_found": pieces.p1_found,
         "p1_pieces": pieces.p1_pieces,
         "p1_sizes": pieces.p1_sizes,
+        "p2_found": private.p2_found,
+        "p2_texts": private.p2_texts,
+        "p2_surrogates": private.p2_surrogates,
         "p3_found": history.p3_found,
         "p3_decisions": history.p3_decisions,
         "p4_found": vectors.p4_found,
