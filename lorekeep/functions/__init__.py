@@ -1 +1,3 @@
+from . import meta, pytext, text, vectors
 
+__all__ = ["meta", "pytext", "text", "vectors"]
