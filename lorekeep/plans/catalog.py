@@ -1,19 +1,19 @@
-"""Registry of the engine's queries and their DuckDB equivalents."""
+"""All queries of the engine and their DuckDB equivalents."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from . import store_queries
 
-from ..sources import table
-
-
-def flagship(spark, base):
-    return table(spark, base, "mcp_documents", "namespace").groupBy("namespace").agg(F.count("*").alias("n"))
+PARTS = (store_queries,)
 
 
 def queries():
-    return {}
+    return {k: f for m in PARTS for k, f in m.R.queries.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: s for m in PARTS for k, s in m.R.sql.items()}
+
+
+def flagship(spark, base):
+    return queries()["s8_table_stats"](spark, base)
