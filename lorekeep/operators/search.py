@@ -37,6 +37,10 @@ def term_array(text) -> Column:
     return F.filter(X.alnum_runs(F.lower(X.col(text))), lambda t: F.octet_length(t) < 40)
 
 
+def _occurrences(array: str, term: str) -> Column:
+    return F.size(F.filter(array, lambda x: x == term))
+
+
 def vector_top(df: DataFrame, query: list[float], k: int, layer: int | None = None, dim: int = 64, key: str = "row_no") -> DataFrame:
     """The k nearest rows by L2 among rows with a usable vector: key and dist, nearest first."""
     q = V.literal(query)
@@ -54,12 +58,12 @@ def bm25_scores(df: DataFrame, query: str, key: str = "row_no", text: str = "tex
     if not terms:
         return df.select(key, F.lit(0.0).alias("score")).limit(0)
     base = df.where(F.col(text).isNotNull()).select(key, term_array(text).alias("_t"))
-    counts = base.select(key, F.size("_t").alias("_n"), *[F.size(F.filter("_t", lambda x, t=t: x == t)).alias(f"_f{i}") for i, t in enumerate(terms)])
-    stats = counts.agg(F.count("*").alias("_N"), F.avg("_n").alias("_avg"), *[F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"_d{i}") for i in range(len(terms))])
+    counts = base.select(key, F.size("_t").alias("_n"), *[_occurrences("_t", t).alias(f"_f{i}") for i, t in enumerate(terms)])
+    stats = counts.agg(F.count("*").alias("_rows"), F.avg("_n").alias("_avg"), *[F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"_d{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):
         tf, df_ = F.col(f"_f{i}").cast("double"), F.col(f"_d{i}")
-        idf = F.log(1 + (F.col("_N") - df_ + 0.5) / (df_ + 0.5))
+        idf = F.log(1 + (F.col("_rows") - df_ + 0.5) / (df_ + 0.5))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_n") / F.col("_avg")))
     hit = F.greatest(*[F.col(f"_f{i}") for i in range(len(terms))]) if len(terms) > 1 else F.col("_f0")
     return counts.where(hit > 0).crossJoin(F.broadcast(stats)).select(key, score.alias("score"))  # one row of statistics

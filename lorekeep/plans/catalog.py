@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import store_queries
+from . import search_queries, store_queries
 
-PARTS = (store_queries,)
+PARTS = (store_queries, search_queries)
 
 
 def queries():
@@ -16,4 +16,4 @@ def oracle_sql():
 
 
 def flagship(spark, base):
-    return queries()["s8_table_stats"](spark, base)
+    return search_queries.hybrid(spark, base)

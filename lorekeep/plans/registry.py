@@ -28,12 +28,19 @@ def text_value(key: str, column: str = "metadata") -> str:
     return f"CASE WHEN json_valid({column}) THEN CASE WHEN json_type({column}, '$.{key}') = 'VARCHAR' THEN json_extract_string({column}, '$.{key}') END END"
 
 
+WS = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"  # white space of any kind
+
+
 def strip(c: str) -> str:
-    return rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+    return f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
 
 
 def collapse(c: str) -> str:
-    return strip(rf"regexp_replace({c}, '\s+', ' ', 'g')")
+    return strip(f"regexp_replace({c}, '{WS}+', ' ', 'g')")
+
+
+def pieces(c: str) -> str:
+    return f"list_filter(regexp_split_to_array({c}, '{WS}+'), lambda x: x <> '')"
 
 
 def usable(c: str = "vector", dim: int = 64) -> str:
