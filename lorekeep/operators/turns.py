@@ -34,15 +34,24 @@ def header_field(line, key: str) -> Column:
     return F.when(inner != "", F.nullif(X.strip(F.regexp_extract(inner, rf"(?:^| \| ){key}:(.*?)(?: \| |$)", 1)), F.lit("")))
 
 
-def entry_lines(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """(keep, line, time, role, body) of transcript lines such as [12:30:05] user: text, with the lines that go on."""
+def entry_lines(df: DataFrame, keep: list[str], text: str = "text", headed: bool = False) -> DataFrame:
+    """(keep, line, time, role, body) of transcript lines such as [12:30:05] user: text, with the lines that go on.
+
+    Blank lines and the lines of a [signals] block are left out; with `headed`,
+    only texts with a transcript header count.
+    """
     entry = r"^\s*\[(\d\d:\d\d:\d\d)\]\s*([^:]*):\s*(.*)$"
-    lines = df.select(*keep, F.posexplode(F.split(text, "\n")).alias("line", "raw"))
+    if headed:
+        df = df.where(F.exists(F.split(text, "\n"), lambda x: x.rlike(r"^\s*\[\s*project:.*\]\s*$")))
+    lines = df.select(*keep, F.posexplode(F.split(text, "\n")).alias("line", "raw")).withColumn("raw", X.strip("raw"))
     parsed = lines.select(*keep, "line", "raw", F.regexp_extract("raw", entry, 1).alias("time"), role(F.regexp_extract("raw", entry, 2)).alias("role"), F.regexp_extract("raw", entry, 3).alias("body"))
     # the lines of one text are one window; texts are bounded
     order = Window.partitionBy(*keep).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    opened = parsed.withColumn("n", F.sum(F.col("role").isNotNull().cast("int")).over(order)).where("n > 0")
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.when(F.col("role").isNotNull(), F.col("body")).otherwise(F.col("raw")).alias("t")))), lambda x: x["t"]), "\n")
+    inside = F.max(F.when(F.col("raw") == "[signals]", F.struct("line", F.lit(True).alias("in"))).when(F.col("raw") == "[/signals]", F.struct("line", F.lit(False).alias("in")))).over(order)
+    is_entry = F.col("role").isNotNull()
+    counted = parsed.withColumns({"n": F.sum(is_entry.cast("int")).over(order), "s": F.coalesce(inside["in"], F.lit(False))})
+    opened = counted.where("n > 0").where(is_entry | (~F.col("s") & ~F.col("raw").isin("", "[signals]", "[/signals]")))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.when(is_entry, F.col("body")).otherwise(F.col("raw")).alias("t")))), lambda x: x["t"]), "\n")
     return opened.groupBy(*keep, "n").agg(F.min("line").alias("line"), F.max("time").alias("time"), F.max("role").alias("role"), X.strip(said).alias("body")).drop("n")
 
 

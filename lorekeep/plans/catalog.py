@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import search_queries, store_queries
+from . import admin_queries, search_queries, store_queries, text_queries
 
-PARTS = (store_queries, search_queries)
+PARTS = (store_queries, search_queries, text_queries, admin_queries)
 
 
 def queries():
