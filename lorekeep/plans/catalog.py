@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import admin_queries, search_queries, store_queries, text_queries
+from . import admin_queries, io_queries, search_queries, store_queries, text_queries
 
-PARTS = (store_queries, search_queries, text_queries, admin_queries)
+PARTS = (store_queries, search_queries, text_queries, admin_queries, io_queries)
 
 
 def queries():

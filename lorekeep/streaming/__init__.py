@@ -1 +1,3 @@
+from .ingest import activity, ingest
 
+__all__ = ["activity", "ingest"]
