@@ -152,24 +152,21 @@ def packed_sets(w: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray,
     return key, np.bincount((key >> np.uint64(ID_BITS)).astype(np.int64), minlength=rows)
 
 
-def similar(segment: Segment, w: np.ndarray, row: np.ndarray, rows: int, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(record, text of the segment) for all at the least similarity; records are given by their words."""
-    none = np.empty(0, np.int64)
-    h, at = runs(w, row, SEED)
-    if not len(at) or not len(segment.suffixes):
-        return none, none
+def _seeded(segment: Segment, w: np.ndarray, number: np.ndarray, row: np.ndarray, of: np.ndarray, length: int, share: float) -> np.ndarray:
+    """Packed (record, text of the segment) for records chosen by `of` and texts with one of their runs of `length` words."""
+    h, at = runs(w, row, length)
+    chosen = of[row[at]]
+    h, at = h[chosen], at[chosen]
     order = np.lexsort((h, row[at]))
     r, hh = row[at][order], h[order]
-    new = np.concatenate(([True], (r[1:] != r[:-1]) | (hh[1:] != hh[:-1])))
+    new = np.concatenate((np.ones(min(1, len(r)), bool), (r[1:] != r[:-1]) | (hh[1:] != hh[:-1])))
     at, r = at[order][new], r[new]  # different runs of each record
-    spare = np.ceil(np.bincount(r, minlength=rows) * SHARE).astype(np.int64) - 1
-    place = np.minimum(np.searchsorted(segment.dictionary, w), len(segment.dictionary) - 1)
-    number = np.where(segment.dictionary[place] == w, place + 1, 0).astype(np.int32)
+    spare = np.maximum(np.ceil(np.bincount(r, minlength=len(of)) * share).astype(np.int64) - 1, 0)
     known = number[at] > 0
-    for k in range(1, SEED):
+    for k in range(1, length):
         known &= number[at + k] > 0
     at, r = at[known], r[known]
-    lo, hi = segment.intervals(number, at, SEED)
+    lo, hi = segment.intervals(number, at, length)
     size = hi - lo
     hit = size > 0
     lo, size, r = lo[hit], size[hit], r[hit]
@@ -178,15 +175,29 @@ def similar(segment: Segment, w: np.ndarray, row: np.ndarray, rows: int, least:
     nth = np.arange(len(r)) - np.searchsorted(r, r)
     keep = nth >= spare[r]
     lo, size, r = lo[keep], size[keep], r[keep]
-    if not len(r):
-        return none, none
     found = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
     doc = np.searchsorted(segment.starts, segment.suffixes[found], "right") - 1
-    pair = np.unique((np.repeat(r, size).astype(np.int64) << 32) | doc)
+    return np.unique((np.repeat(r, size).astype(np.int64) << 32) | doc)
+
+
+def similar(segment: Segment, w: np.ndarray, row: np.ndarray, rows: int, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(record, text of the segment) for all at the least similarity (0.7 or more); records are given by their words.
+
+    Records of one or two different runs of three words can only be as similar
+    to texts with the same runs, so for them those runs are looked up.
+    """
+    none = np.empty(0, np.int64)
+    if not len(w) or not len(segment.suffixes):
+        return none, none
+    own, own_n = packed_sets(w, row, rows)
+    place = np.minimum(np.searchsorted(segment.dictionary, w), len(segment.dictionary) - 1)
+    number = np.where(segment.dictionary[place] == w, place + 1, 0).astype(np.int32)
+    pair = np.concatenate((_seeded(segment, w, number, row, own_n > 2, SEED, SHARE), _seeded(segment, w, number, row, (own_n > 0) & (own_n <= 2), N, 0.0)))
+    if not len(pair):
+        return none, none
     q, d = pair >> 32, pair & 0xFFFFFFFF
     # exact similarity: the record's runs are looked up among the text's
     have, have_n = segment.sets()
-    own, own_n = packed_sets(w, row, rows)
     # sizes alone rule out some
     small, large = np.minimum(own_n[q], have_n[d]), np.maximum(own_n[q], have_n[d])
     ok = small * least[1] >= large * least[0]
