@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._spark import written
 from ._words import slices
 
 # Letters of other scripts and the Latin letters they look like.
@@ -169,9 +170,15 @@ def canonical(df: DataFrame, text: str = "text", out: str = "canonical") -> Data
     return df.mapInArrow(run, schema)
 
 
+def forms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, form, raw): 16-byte hashes of the consistent form and of the characters of every non-null text."""
+    made = canonical(df.select(key, text).where(F.col(text).isNotNull()), text, "_form")
+    return made.select(key, F.unhex(F.md5("_form")).alias("form"), F.unhex(F.md5(text)).alias("raw"))
+
+
 def equal_looking(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, form, raw): hashes of the form and of the characters, for rows whose form has several spellings."""
-    seen = canonical(df.select(key, text).where(F.col(text).isNotNull()), text, "_form").select(key, F.unhex(F.md5("_form")).alias("form"), F.unhex(F.md5(text)).alias("raw"))
+    seen = written(forms(df, key, text), "forms")
     many = seen.groupBy("form").agg(F.min("raw").alias("x"), F.max("raw").alias("y")).where("x != y").select("form")
     return seen.join(many, "form", "left_semi")
 
@@ -186,8 +193,7 @@ def p8_found(spark, base) -> DataFrame:
 
 def p8_classes(spark, base) -> DataFrame:
     """One row per document: its form's class (the smallest doc_id of that form) and how many spellings and documents it has."""
-    docs = spark.read.parquet(f"{base}/documents.parquet").select("doc_id", "text").where(F.col("text").isNotNull())
-    seen = canonical(docs, "text", "_form").select("doc_id", F.unhex(F.md5("_form")).alias("form"), F.unhex(F.md5("text")).alias("raw"))
+    seen = written(forms(spark.read.parquet(f"{base}/documents.parquet"), "doc_id", "text"), "forms")
     spelled = seen.groupBy("form", "raw").agg(F.min("doc_id").alias("d"), F.count("*").alias("n"))
     size = spelled.groupBy("form").agg(F.min("d").alias("class_id"), F.count("*").alias("spellings"), F.sum("n").alias("documents"))
     return seen.join(size, "form").select("doc_id", "class_id", "spellings", "documents")
