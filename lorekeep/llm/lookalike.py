@@ -183,12 +183,18 @@ def equal_looking(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return seen.join(many, "form", "left_semi")
 
 
+def pairs_of_spellings(e: DataFrame, key: str) -> DataFrame:
+    """(a, b) for rows of one form with different characters; spellings are paired first, so equal texts are never paired."""
+    spelled = e.select("form", "raw").distinct()
+    two = spelled.withColumnRenamed("raw", "ra").join(spelled.withColumnRenamed("raw", "rb"), "form").where("ra < rb")
+    left = e.select("form", F.col("raw").alias("ra"), F.col(key).alias("x"))
+    right = e.select("form", F.col("raw").alias("rb"), F.col(key).alias("y"))
+    return two.join(left, ["form", "ra"]).join(right, ["form", "rb"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def p8_found(spark, base) -> DataFrame:
-    docs = spark.read.parquet(f"{base}/documents.parquet").select("doc_id", "text")
-    e = equal_looking(docs)
-    a = e.select("form", F.col("raw").alias("ra"), F.col("doc_id").alias("doc_a"))
-    b = e.select("form", F.col("raw").alias("rb"), F.col("doc_id").alias("doc_b"))
-    return a.join(b, "form").where((F.col("doc_a") < F.col("doc_b")) & (F.col("ra") != F.col("rb"))).select("doc_a", "doc_b")
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    return pairs_of_spellings(equal_looking(docs), "doc_id").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
 
 
 def p8_classes(spark, base) -> DataFrame:

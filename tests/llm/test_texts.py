@@ -88,6 +88,7 @@ def test_canonical_rows(spark):
     assert rows == {1: "fi", 2: None, 3: "", 4: "fi", 5: "fi"}
     seen = lookalike.equal_looking(df)
     assert {r.doc_id for r in seen.collect()} == {1, 4, 5}
+    assert {(r.a, r.b) for r in lookalike.pairs_of_spellings(seen, "doc_id").collect()} == {(1, 4), (1, 5)}
     assert lookalike.canonical(df.limit(0)).count() == 0
 
 
