@@ -103,8 +103,8 @@ def filtered_conversations(df: DataFrame, session: str = "session_id", order: st
     sets = kept.select("s", "o", words.alias("w"))
     firsts = sets.groupBy("s", "w").agg(F.min("o").alias("o"))
     sized = firsts.select("s", "o", "w", F.size("w").alias("n"))
-    # hashing the words orders them alike everywhere; any common order serves the prefix filter
-    ordered = F.array_sort(F.transform("w", lambda x: F.xxhash64(x)))
+    # any order common to all sets serves the prefix filter; long words come first, as they are rare
+    ordered = F.transform(F.array_sort(F.transform("w", lambda x: F.struct((-F.length(x)).alias("l"), F.xxhash64(x).alias("h")))), lambda x: x["h"])
     # a pair shares at least near * (larger size) words, so one lies among the first n - ceil(near * n) + 1 of each
     prefix = F.slice(ordered, F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(near)) + 1).cast("int"))
     keys = sized.select("s", "o", "n", F.explode(prefix).alias("x"))

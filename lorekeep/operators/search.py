@@ -43,32 +43,56 @@ def _occurrences(array: str, term: str) -> Column:
 
 def vector_top(df: DataFrame, query: list[float], k: int, layer: int | None = None, dim: int = 64, key: str = "row_no") -> DataFrame:
     """The k nearest rows by L2 among rows with a usable vector: key and dist, nearest first."""
-    q = V.literal(query)
-    near = df.where(layer_predicate(layer) & V.usable("vector", dim)).select(key, V.l2(V.doubles("vector"), q).alias("dist"))
-    return near.orderBy("dist", key).limit(k)
+    keep = (key,) if layer is None else (key, "layer")
+    return nearest(features(df, None, query, dim, keep=keep), k, layer, key)
 
 
-def bm25_scores(df: DataFrame, query: str, key: str = "row_no", text: str = "text") -> DataFrame:
-    """key and score of every row that has a term of the query; statistics are those of all rows of `df`.
+def features(df: DataFrame, query: str | None, vector: list[float] | None, dim: int = 64, text: str = "text", keep: tuple[str, ...] = ("row_no", "namespace", "id", "layer")) -> DataFrame:
+    """`keep` and a few numbers per row: dist to the vector (null if unusable), and _n and _f0.. of the query's terms.
 
-    One pass counts rows, lengths and document frequencies, a second scores;
-    rows are not shuffled.
+    Texts and vectors end here, before anything is shuffled; choosing the first
+    row of each key, counting and ranking work on these numbers.
     """
-    terms = terms_of(query)
+    cols: list[Column] = [F.col(c) for c in keep]
+    if vector is not None:
+        cols.append(F.when(V.usable("vector", dim), V.l2(V.doubles("vector"), V.literal(vector))).alias("dist"))
+    if query is not None:
+        terms = term_array(text)
+        cols += [F.size(terms).alias("_n"), *[_occurrences(terms, t).alias(f"_f{i}") for i, t in enumerate(terms_of(query))]]
+        cols.append(F.col(text).isNotNull().alias("_has"))
+    return df.select(*cols)
+
+
+def nearest(feats: DataFrame, k: int, layer: int | None = None, key: str = "row_no") -> DataFrame:
+    """The k nearest rows of `features`: key and dist, nearest first."""
+    near = feats.where(F.col("dist").isNotNull() & layer_predicate(layer)) if layer is not None else feats.where(F.col("dist").isNotNull())
+    return near.select(key, "dist").orderBy("dist", key).limit(k)
+
+
+def keyword_scores(feats: DataFrame, terms: int, key: str = "row_no") -> DataFrame:
+    """key and BM25 score of the rows of `features` that have a term; statistics are those of all its rows with text."""
     if not terms:
-        return df.select(key, F.lit(0.0).alias("score")).limit(0)
-    base = df.where(F.col(text).isNotNull()).select(key, term_array(text).alias("_t"))
-    counts = base.select(key, F.size("_t").alias("_n"), *[_occurrences("_t", t).alias(f"_f{i}") for i, t in enumerate(terms)])
-    stats = counts.agg(F.count("*").alias("_rows"), F.avg("_n").alias("_avg"), *[F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"_d{i}") for i in range(len(terms))])
+        return feats.select(key, F.lit(0.0).alias("score")).limit(0)
+    counts = feats.where("_has")
+    stats = counts.agg(F.count("*").alias("_rows"), F.avg("_n").alias("_avg"), *[F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"_d{i}") for i in range(terms)])
     score = F.lit(0.0)
-    for i in range(len(terms)):
+    for i in range(terms):
         tf, df_ = F.col(f"_f{i}").cast("double"), F.col(f"_d{i}")
         idf = F.log(1 + (F.col("_rows") - df_ + 0.5) / (df_ + 0.5))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_n") / F.col("_avg")))
-    hit = F.greatest(*[F.col(f"_f{i}") for i in range(len(terms))]) if len(terms) > 1 else F.col("_f0")
+    hit = F.greatest(F.lit(0), *[F.col(f"_f{i}") for i in range(terms)])
     return counts.where(hit > 0).crossJoin(F.broadcast(stats)).select(key, score.alias("score"))  # one row of statistics
 
 
+def bm25_scores(df: DataFrame, query: str, key: str = "row_no", text: str = "text") -> DataFrame:
+    """key and score of every row that has a term of the query; statistics are those of all rows of `df`.
+
+    One pass counts rows, lengths and document frequencies, a second scores;
+    rows are not shuffled.
+    """
+    return keyword_scores(features(df, query, None, text=text, keep=(key,)), len(terms_of(query)), key)
+
+
 def bm25_top(df: DataFrame, query: str, k: int, namespace: str | None = None, key: str = "row_no") -> DataFrame:
     """The k best rows; with a namespace, those of the best 2k rows that lie in it, at most k."""
     best = bm25_scores(df, query, key).orderBy(F.desc("score"), key).limit(2 * k)
@@ -164,26 +188,30 @@ def finished(hits: DataFrame, query: str, o: Options, key: str = "row_no") -> Da
     return hits.orderBy(*order).limit(o.k)
 
 
-def _fetched(df: DataFrame, hits: DataFrame, key: str) -> DataFrame:
+def _fetched(df: DataFrame, hits: DataFrame, key: str, *more: str) -> DataFrame:
     """Candidates with the columns that the later steps need; the candidate side is the small one."""
-    return F.broadcast(hits).join(df.select(key, "id", "namespace", "metadata", "layer"), key)
+    return F.broadcast(hits).join(df.select(key, "id", "namespace", "metadata", "layer", *more), key)
+
+
+def best_keywords(feats: DataFrame, query: str, k: int, key: str = "row_no") -> DataFrame:
+    return keyword_scores(feats, len(terms_of(query)), key).orderBy(F.desc("score"), key).limit(k)
 
 
-def vector_mode(df: DataFrame, query: str, vector: list[float], o: Options, key: str = "row_no") -> DataFrame:
+# The modes take the store, for what is fetched of candidates, and the features of the rows that count.
+def vector_mode(df: DataFrame, feats: DataFrame, query: str, o: Options, key: str = "row_no") -> DataFrame:
     """All vector candidates weigh 1 before boosts."""
-    hits = vector_top(df, vector, o.candidates, o.layer, o.dim, key).select(key, F.lit(1.0).alias("score"))
+    hits = nearest(feats, o.candidates, o.layer, key).select(key, F.lit(1.0).alias("score"))
     return finished(_fetched(df, hits, key), query, o, key)
 
 
-def keyword_mode(df: DataFrame, query: str, o: Options, key: str = "row_no") -> DataFrame:
+def keyword_mode(df: DataFrame, feats: DataFrame, query: str, o: Options, key: str = "row_no") -> DataFrame:
     """Keyword candidates of any layer."""
-    return finished(_fetched(df, bm25_top(df, query, o.candidates, key=key), key), query, o, key)
+    return finished(_fetched(df, best_keywords(feats, query, o.candidates, key), key), query, o, key)
 
 
-def hybrid_mode(df: DataFrame, query: str, vector: list[float], o: Options, key: str = "row_no") -> DataFrame:
+def hybrid_mode(df: DataFrame, feats: DataFrame, query: str, o: Options, key: str = "row_no") -> DataFrame:
     """Vector and keyword candidates fused; a row found by keywords alone must be of the wanted layer itself."""
-    v = vector_top(df, vector, o.candidates, o.layer, o.dim, key)
-    b = bm25_top(df, query, 2 * o.candidates, key=key)
+    v, b = nearest(feats, o.candidates, o.layer, key), best_keywords(feats, query, 2 * o.candidates, key)
     hits = fused(v, b, key, o.rrf).orderBy(F.desc("score"), key).limit(2 * o.candidates)
     rows = _fetched(df, hits, key)
     if o.layer is not None:
@@ -191,10 +219,14 @@ def hybrid_mode(df: DataFrame, query: str, vector: list[float], o: Options, key:
     return finished(rows, query, o, key)
 
 
-def cosine_rerank(df: DataFrame, query: list[float], o: Options, key: str = "row_no") -> DataFrame:
+def search(df: DataFrame, feats: DataFrame, query: str, o: Options, mode: str = "hybrid", key: str = "row_no") -> DataFrame:
+    """The mode asked for: vector, bm25 or hybrid."""
+    return {"vector": vector_mode, "bm25": keyword_mode, "hybrid": hybrid_mode}[mode](df, feats, query, o, key)
+
+
+def cosine_rerank(df: DataFrame, feats: DataFrame, query: list[float], o: Options, key: str = "row_no") -> DataFrame:
     """Vector candidates that pass the project filter, ordered by cosine."""
-    near = vector_top(df, query, o.candidates, o.layer, o.dim, key).select(key)
-    rows = F.broadcast(near).join(df.select(key, "id", "namespace", "metadata", "layer", "vector"), key)
+    rows = _fetched(df, nearest(feats, o.candidates, o.layer, key).select(key), key, "vector")
     if o.project:
         rows = rows.where(M.in_project(M.parsed(), o.project))
     return rows.withColumn("score", V.cosine(V.doubles("vector"), V.literal(query))).drop("vector").orderBy(F.desc("score"), key).limit(o.k)

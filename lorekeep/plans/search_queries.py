@@ -24,9 +24,10 @@ def docs(spark, base, *cols):
     return table(spark, base, "mcp_documents", *cols)
 
 
-def corpus(spark, base):
-    """The first written row of every key."""
-    return S.first_written(docs(spark, base), "vector", "text", "metadata", "layer")
+def corpus(spark, base, query=None, vector=None):
+    """The features of the first written row of every key; only they are shuffled, not texts or vectors."""
+    feats = Q.features(docs(spark, base), query, vector)
+    return S.first_written(feats, *[c for c in feats.columns if c not in ("row_no", "namespace", "id")])
 
 
 def query_vector(spark, base) -> list[float]:
@@ -96,7 +97,8 @@ def _(spark, base):
 @R.add("l7_cosine_rerank", f"""WITH {LIVE}, c AS {sql_near('live', 30, 'layer IN (0, 1)')}
 SELECT row_no, namespace, id, round(list_cosine_similarity(vector::DOUBLE[], {QV}), 6) AS score FROM c JOIN live USING (row_no) ORDER BY list_cosine_similarity(vector::DOUBLE[], {QV}) DESC, row_no LIMIT 10""")
 def _(spark, base):
-    return out(Q.cosine_rerank(corpus(spark, base), query_vector(spark, base), Q.Options()))
+    q = query_vector(spark, base)
+    return out(Q.cosine_rerank(docs(spark, base), corpus(spark, base, None, q), q, Q.Options()))
 
 
 _PROJECTS = [f"lower({text_value(k)})" for k in ("project", "project_id", "source_project")]
@@ -106,11 +108,11 @@ _PROJECTS = [f"lower({text_value(k)})" for k in ("project", "project_id", "sourc
 SELECT row_no, namespace, id, round(list_cosine_similarity(vector::DOUBLE[], {QV}), 6) AS score FROM c JOIN live USING (row_no) WHERE {" OR ".join(f"coalesce({x} = (SELECT p FROM p), false)" for x in _PROJECTS)}
 ORDER BY list_cosine_similarity(vector::DOUBLE[], {QV}) DESC, row_no LIMIT 10""")
 def _(spark, base):
-    c, q = corpus(spark, base), query_vector(spark, base)
-    v = M.parsed()
-    named = c.withColumn("p", F.coalesce(*[M.text_value(v, k) for k in ("project", "project_id", "source_project")]))
-    first = Q.vector_top(named, q, 80, 1).join(named.select("row_no", "p"), "row_no").where("p is not null").orderBy("dist", "row_no").first()
-    return out(Q.cosine_rerank(c, q, Q.Options(project=first.p if first else "none")))
+    d, q = docs(spark, base), query_vector(spark, base)
+    c, v = corpus(spark, base, None, q), M.parsed()
+    named = d.select("row_no", F.coalesce(*[M.text_value(v, k) for k in ("project", "project_id", "source_project")]).alias("p"))
+    first = F.broadcast(Q.nearest(c, 80, 1)).join(named, "row_no").where("p is not null").orderBy("dist", "row_no").first()
+    return out(Q.cosine_rerank(d, c, q, Q.Options(project=first.p if first else "none")))
 
 
 @R.add("r15_library_search", f"SELECT row_no, round(dist, 6) AS dist, round(1 - (row_number() OVER (ORDER BY dist, row_no) - 1) / 21.0, 6) AS score FROM {sql_near('mcp_documents', 20)}")
@@ -201,8 +203,8 @@ _HB = "hb AS (SELECT row_no, score, row_number() OVER (ORDER BY score DESC, row_
 @R.add("j4_fusion_weighted", f"""WITH {LIVE}, {sql_bm25('live')}, {_HV}, {_HB}
 SELECT row_no, round(1 - hv.r / hv.n, 6) AS vector_score, round(hb.score / hb.m, 6) AS keyword_score, round(0.6 * coalesce(1 - hv.r / hv.n, 0) + 0.4 * coalesce(hb.score / hb.m, 0), 6) AS score FROM hv FULL JOIN hb USING (row_no)""")
 def _(spark, base):
-    c = corpus(spark, base)
-    f = Q.fused(Q.vector_top(c, query_vector(spark, base), 30, 1), Q.bm25_top(c, QUERY, 60))
+    c = corpus(spark, base, QUERY, query_vector(spark, base))
+    f = Q.fused(Q.nearest(c, 30, 1), Q.best_keywords(c, QUERY, 60))
     return f.select("row_no", *[F.round(x, 6).alias(x) for x in ("vector_score", "keyword_score", "score")])
 
 
@@ -220,22 +222,29 @@ ft AS (SELECT * FROM fz ORDER BY score DESC, row_no LIMIT 60), fl AS (SELECT ft.
 
 @R.add("r5_hybrid_weighted", _H.replace("{score}", "0.6 * coalesce(1 - hv.r / hv.n, 0) + 0.4 * coalesce(hb.score / hb.m, 0)") + sql_finish("SELECT * FROM fl", 10))
 def hybrid(spark, base):
-    return out(Q.hybrid_mode(corpus(spark, base), QUERY, query_vector(spark, base), Q.Options(now=NOW)))
+    return out(Q.hybrid_mode(docs(spark, base), corpus(spark, base, QUERY, query_vector(spark, base)), QUERY, Q.Options(now=NOW)))
 
 
 @R.add("r6b_hybrid_rrf", _H.replace("{score}", "coalesce(0.6 / (60 + hv.r + 1), 0) + coalesce(0.4 / (60 + hb.r + 1), 0)") + sql_finish("SELECT * FROM fl", 10))
 def _(spark, base):
-    return out(Q.hybrid_mode(corpus(spark, base), QUERY, query_vector(spark, base), Q.Options(now=NOW, rrf=True)))
+    return out(Q.hybrid_mode(docs(spark, base), corpus(spark, base, QUERY, query_vector(spark, base)), QUERY, Q.Options(now=NOW, rrf=True)))
 
 
 @R.add("r3_vector_mode", f"WITH {LIVE}, " + sql_finish(f"SELECT row_no, 1.0 AS score FROM {sql_near('live', 30, 'layer IN (0, 1)')}", 10))
 def _(spark, base):
-    return out(Q.vector_mode(corpus(spark, base), QUERY, query_vector(spark, base), Q.Options(now=NOW)))
+    return out(Q.vector_mode(docs(spark, base), corpus(spark, base, QUERY, query_vector(spark, base)), QUERY, Q.Options(now=NOW)))
 
 
 @R.add("r4_keyword_mode", f"WITH {LIVE}, {sql_bm25('live')}, " + sql_finish("SELECT row_no, score FROM bm ORDER BY score DESC, row_no LIMIT 30", 10))
 def _(spark, base):
-    return out(Q.keyword_mode(corpus(spark, base), QUERY, Q.Options(now=NOW)))
+    return out(Q.keyword_mode(docs(spark, base), corpus(spark, base, QUERY), QUERY, Q.Options(now=NOW)))
+
+
+@R.add("r17_mode_dispatch", f"WITH {LIVE}, " + sql_finish(f"SELECT row_no, 1.0 AS score FROM {sql_near('live', 30, 'layer IN (0, 1)')}", 10))
+def _(spark, base):
+    """The routed mode of a meaning query: vector."""
+    mode = routed(spark.createDataFrame([("explain a similar concept",)], "query string")).first().mode
+    return out(Q.search(docs(spark, base), corpus(spark, base, QUERY, query_vector(spark, base)), QUERY, Q.Options(now=NOW), mode))
 
 
 @R.add("r10_recency_bonus", f"SELECT row_no, round({_RECENT}, 6) AS bonus FROM (SELECT row_no, {first_time()} AS ft FROM mcp_documents)")
