@@ -7,6 +7,7 @@ only, at most a few times k rows.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -74,14 +75,17 @@ def keyword_scores(feats: DataFrame, terms: int, key: str = "row_no") -> DataFra
     if not terms:
         return feats.select(key, F.lit(0.0).alias("score")).limit(0)
     counts = feats.where("_has")
-    stats = counts.agg(F.count("*").alias("_rows"), F.avg("_n").alias("_avg"), *[F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"_d{i}") for i in range(terms)])
+    stats = counts.agg(F.count("*").alias("rows"), F.avg("_n").alias("mean"), *[F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"d{i}") for i in range(terms)]).first()  # one row
     score = F.lit(0.0)
     for i in range(terms):
-        tf, df_ = F.col(f"_f{i}").cast("double"), F.col(f"_d{i}")
-        idf = F.log(1 + (F.col("_rows") - df_ + 0.5) / (df_ + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_n") / F.col("_avg")))
+        tf = F.col(f"_f{i}").cast("double")
+        score = score + _idf(stats["rows"], stats[f"d{i}"] or 0) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_n") / F.lit(stats["mean"] or 1.0)))
     hit = F.greatest(F.lit(0), *[F.col(f"_f{i}") for i in range(terms)])
-    return counts.where(hit > 0).crossJoin(F.broadcast(stats)).select(key, score.alias("score"))  # one row of statistics
+    return counts.where(hit > 0).select(key, score.alias("score"))
+
+
+def _idf(rows: int, having: int) -> float:
+    return math.log(1 + (rows - having + 0.5) / (having + 0.5))
 
 
 def bm25_scores(df: DataFrame, query: str, key: str = "row_no", text: str = "text") -> DataFrame:
@@ -260,10 +264,10 @@ def batch_bm25(df: DataFrame, queries: DataFrame, k: int, key: str = "row_no") -
     hits = postings(base, key).join(F.broadcast(q.select("term").distinct()), "term", "left_semi")
     freq = hits.groupBy("term").agg(F.count("*").alias("df"))
     sizes = base.select(key, F.size(term_array("text")).alias("n"))
-    stats = sizes.agg(F.count("*").alias("total"), F.avg("n").alias("mean"))
-    scored = hits.join(F.broadcast(freq), "term").join(sizes, key).crossJoin(F.broadcast(stats)).join(F.broadcast(q), "term")
-    tf = F.col("tf").cast("double")
-    part = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.col("mean")))
+    stats = sizes.agg(F.count("*").alias("total"), F.avg("n").alias("mean")).first()  # one row
+    scored = hits.join(F.broadcast(freq), "term").join(sizes, key).join(F.broadcast(q), "term")
+    tf, total = F.col("tf").cast("double"), F.lit(stats.total)
+    part = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.lit(stats.mean or 1.0)))
     best = scored.groupBy("query_id", key).agg(F.sum(part).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
