@@ -382,3 +382,63 @@ def embed_batches(sizes: list[int], most_items: int = 64, most_chars: int = 128_
         out.append(batch)
         items, chars = items + 1, chars + n
     return out
+
+
+def known_role(value) -> str | None:
+    low = ascii_lower(value.strip()) if isinstance(value, str) else ""
+    for role, spelled in (("user", ("user", "human")), ("assistant", ("assistant", "bot", "model")), ("reasoning", ("reasoning", "analysis", "thinking", "tool"))):
+        if low in spelled:
+            return role
+    return None
+
+
+def _plain_message(m: dict, who: str, when: str) -> tuple:
+    text = m.get("text")
+    if not isinstance(text, str):
+        content = m.get("content")
+        parts = content if isinstance(content, list) else []
+        text = content if isinstance(content, str) else " ".join(b["text"] for b in parts if isinstance(b, dict) and isinstance(b.get("text"), str))
+    return m.get(who), m.get(when), text
+
+
+def _node_message(node) -> tuple:
+    m = node.get("message") if isinstance(node, dict) else None
+    m = m if isinstance(m, dict) else {}
+    author, content = m.get("author"), m.get("content")
+    parts = content.get("parts") if isinstance(content, dict) else None
+    at = m.get("create_time")
+    text = " ".join(p for p in parts if isinstance(p, str)) if isinstance(parts, list) else ""
+    return author.get("role") if isinstance(author, dict) else None, at if isinstance(at, int | float) else None, text
+
+
+def conversation_entries(value) -> list[dict]:
+    """(session, entry, role, time, text) of the messages of a conversation export in any of four shapes.
+
+    sessions of messages, one list of messages, chat messages by sender, or a
+    mapping of nodes in order of their creation.  Unknown roles and texts under
+    20 bytes are left out.  An array gives the conversations of its elements.
+    """
+    if isinstance(value, list):
+        return [e for v in value for e in conversation_entries(v)]
+    if not isinstance(value, dict):
+        return []
+    name = lambda *keys: next((value[k] for k in keys if isinstance(value.get(k), str)), "unknown")[:8]
+    talks: list[tuple[str, list[tuple]]] = []
+    if isinstance(value.get("sessions"), list):
+        for s in (s for s in value["sessions"] if isinstance(s, dict)):
+            info = s.get("info") if isinstance(s.get("info"), dict) else {}
+            id_ = info.get("sessionId") if isinstance(info.get("sessionId"), str) else "unknown"
+            talks.append((f"sess-{id_[:8]}", [_plain_message(m, "role", "timestamp") for m in s.get("messages") or [] if isinstance(m, dict)]))
+    elif isinstance(value.get("messages"), list):
+        who = lambda m: "sender" if "sender" in m else "role"
+        talks.append((f"conv-{name('uuid', 'id')}", [_plain_message(m, who(m), "created_at" if "created_at" in m else "timestamp") for m in value["messages"] if isinstance(m, dict)]))
+    elif isinstance(value.get("chat_messages"), list):
+        talks.append((f"chat-{name('uuid')}", [_plain_message(m, "sender", "created_at") for m in value["chat_messages"] if isinstance(m, dict)]))
+    elif isinstance(value.get("mapping"), dict):
+        nodes = sorted(map(_node_message, value["mapping"].values()), key=lambda m: m[1] or 0)
+        talks.append((f"gpt-{name('id', 'conversation_id')}", nodes))
+    out = []
+    for session, messages in talks:
+        told = [(known_role(r), t, (x or "").strip()) for r, t, x in messages]
+        out += [{"session": session, "role": r, "time": None if t is None else str(t), "body": x} for r, t, x in told if r and size(x) >= 20]
+    return [{"entry": i, **e} for i, e in enumerate(out)]

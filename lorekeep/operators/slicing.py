@@ -132,3 +132,15 @@ def facets(df: DataFrame, keep: list[str], text: str = "content", metadata: str
             yield {"block": i, "label": b["label"], "summary": b["summary"], "decision": found.get("Decision"), "next_action": found.get("Next"), "entities": found.get("Entities")}
 
     return _rows_from(df, make, [("block", "int"), *((c, "string") for c in ("label", "summary", "decision", "next_action", "entities"))], keep, [text, *([metadata] if metadata else [])])
+
+
+def conversation_entries(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """(keep, entry, session, role, time, body) of conversation exports in JSON; other texts give none."""
+
+    def make(t):
+        try:
+            return P.conversation_entries(json.loads(t)) if t else []
+        except ValueError:
+            return []
+
+    return _rows_from(df, make, [("entry", "long"), *((c, "string") for c in ("session", "role", "time", "body"))], keep, [text])

@@ -172,6 +172,11 @@ def _(spark, base):
     return S.orphans(docs(spark, base, "row_no", "namespace", "id", "parent_id")).select("row_no", "namespace", "id", "parent_id")
 
 
+@R.add("j6_slice_orphans", """SELECT slice_no, namespace, id, parent_id FROM onion_slices WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM onion_slices WHERE id IS NOT NULL)""")
+def _(spark, base):
+    return S.orphans(table(spark, base, "onion_slices", "slice_no", "namespace", "id", "parent_id")).select("slice_no", "namespace", "id", "parent_id")
+
+
 @R.add("j9_rebuild_probe", """SELECT r.rec_no, count(d.row_no) AS stored_rows FROM import_records r LEFT JOIN mcp_documents d ON d.namespace = r.namespace AND d.id = r.id GROUP BY 1""")
 def _(spark, base):
     n = docs(spark, base, "namespace", "id").groupBy("namespace", "id").agg(F.count("*").alias("n"))

@@ -401,6 +401,22 @@ def _(spark, base):
     return blocks(spark, base).groupBy(F.coalesce(U.role("role"), F.lit("none")).alias("known")).agg(F.count("*").alias("n"))
 
 
+@R.add("d10_conversation_exports", f"""WITH told AS (SELECT session_id, block_no, {_ROLE} AS role, {strip('content')} AS text FROM raw_blocks WHERE session_id IS NOT NULL AND content IS NOT NULL)
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY block_no) - 1 AS entry, role, text AS body FROM told WHERE role IS NOT NULL AND strlen(text) >= 20""")
+def _(spark, base):
+    """Sessions written as JSON exports, in a shape chosen by their hash, and read back by the extractor."""
+    b = table(spark, base, "raw_blocks", "session_id", "block_no", "role", "content").where("session_id is not null and content is not null")
+    m = F.struct("block_no", "role", F.col("role").alias("sender"), F.col("content").alias("text"))
+    s = b.groupBy("session_id").agg(F.array_sort(F.collect_list(m)).alias("m"))  # the export files of the fixture
+    nodes = F.map_from_entries(F.transform("m", lambda x: F.struct(x["block_no"].cast("string"), F.struct(F.struct(F.struct(x["role"].alias("role")).alias("author"), F.struct(F.array(x["text"]).alias("parts")).alias("content"), x["block_no"].alias("create_time")).alias("message")))))
+    shapes = [
+        F.to_json(F.struct(F.array(F.struct(F.struct(F.col("session_id").alias("sessionId")).alias("info"), F.col("m").alias("messages"))).alias("sessions"))), F.to_json(F.struct(F.col("session_id").alias("uuid"), F.col("m").alias("messages"))),
+        F.to_json(F.struct(F.col("session_id").alias("uuid"), F.col("m").alias("chat_messages"))), F.to_json(F.struct(F.col("session_id").alias("id"), nodes.alias("mapping"))),
+    ]
+    files = s.select("session_id", F.element_at(F.array(*shapes), (F.pmod(F.xxhash64("session_id"), F.lit(4)) + 1).cast("int")).alias("text"))
+    return D.conversation_entries(files, ["session_id"]).select("session_id", "entry", "role", "body")
+
+
 @R.add("w7_turns", f"WITH {_TURNS} SELECT session_id, block_no, role, turn FROM turns")
 def _(spark, base):
     return U.turns(blocks(spark, base)).select("session_id", "block_no", "role", "turn")

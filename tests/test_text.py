@@ -93,3 +93,16 @@ def test_embed_batches():
 def test_keyword_ties_in_order(spark):
     assert P.keywords("beta alpha beta alpha gamma the the", 2) == ["alpha", "beta"]
     assert spark.range(1).select(F.size(X.pieces(F.lit("  a  b ")))).first()[0] == 2
+
+
+def test_conversation_shapes():
+    long = "long enough to be told"
+    msgs = [{"role": "human", "sender": "human", "text": long}, {"role": "system", "sender": "x", "text": long}, {"role": "bot", "sender": "bot", "content": [{"text": long}, {"text": "b"}]}, {"role": "user", "sender": "user", "text": "short"}]
+    told = [("user", long), ("assistant", long + " b")]
+    for value in ({"sessions": [{"info": {"sessionId": "abcdefghij"}, "messages": msgs}]}, {"uuid": "abcdefghij", "messages": msgs}, [{"uuid": "abcdefghij", "chat_messages": msgs}]):
+        got = P.conversation_entries(value)
+        assert [(e["role"], e["body"]) for e in got] == told and got[0]["session"].endswith("-abcdefgh")
+    node = lambda r, t, at: {"message": {"author": {"role": r}, "content": {"parts": [t]}, "create_time": at}}
+    got = P.conversation_entries({"id": "x", "mapping": {"a": node("assistant", long + "2", 5.0), "b": node("user", long, 1), "c": {"message": None}, "d": {}}})
+    assert [(e["role"], e["body"]) for e in got] == [("user", long), ("assistant", long + "2")]
+    assert P.conversation_entries("text") == [] == P.conversation_entries({"messages": "no"})
