@@ -5,9 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,9 +45,22 @@ def live(df: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def fields(df: DataFrame, *columns: str) -> list[T.StructField]:
-    return [df.schema[c] for c in columns]
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` in partitions by `keys`, several per core, for groups that cost more time than bytes; they are not coalesced."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
+MOST_BROADCAST_ROWS = 100_000
+
 
+def in_parts(df: DataFrame, sizes: DataFrame) -> DataFrame:
+    """`df` with `parts` of its group `g` from `sizes` (g, parts), 1 where it isn't given.
 
-def same_hash(*columns: str | Column) -> Column:
-    return F.xxhash64(*columns)
+    Only groups of several parts are joined.  They are broadcast as long as
+    they are few; beyond that the join shuffles.
+    """
+    many = cut(sizes.where("parts > 1").select("g", "parts"))
+    few = many.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS
+    return df.join(F.broadcast(many) if few else many, "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import cut, live, shared_folder
+from ._spark import cut, in_parts, live, shared_folder, spread, written
 from ._words import ID_BITS, runs, shingle_sets, slices, words
 
 SEED, DEPTH, SHARE = 5, 8, 0.25
@@ -237,14 +237,14 @@ def parts_of(items: DataFrame, chars: int) -> DataFrame:
 
 def build(items: DataFrame, name: str = "0", part_chars: int = PART_CHARS) -> DataFrame:
     """Segments of items (k long, g string, text string) with different texts per group."""
-    dealt = items.join(parts_of(items, part_chars), "g").withColumn("part", F.concat(F.lit(name + "."), F.pmod(F.xxhash64(F.lit(3), "k"), F.col("parts")).cast("string"))).select("k", "g", "text", "part")
+    dealt = in_parts(items, parts_of(items, part_chars)).withColumn("part", F.concat(F.lit(name + "."), F.pmod(F.xxhash64(F.lit(3), "k"), F.col("parts")).cast("string"))).select("k", "g", "text", "part")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("k")
         w, row = _all_words(t.column("text").to_pylist())
         return _segment_table(t.column("g")[0].as_py(), t.column("part")[0].as_py(), 0, Segment.of_words(t.column("k").to_numpy(), w, row))
 
-    return dealt.groupBy("g", "part").applyInArrow(run, SEGMENT)
+    return spread(dealt, "g", "part").groupBy("g", "part").applyInArrow(run, SEGMENT)
 
 
 class History:
@@ -285,7 +285,7 @@ class History:
             return pa.table({"k": np.concatenate(ks), "other": np.concatenate(os)})
 
         wanted = self.segments().join(asked.select("g").distinct(), "g", "left_semi")
-        return wanted.groupBy("g", "part").cogroup(ask.groupBy("g", "part")).applyInArrow(run, out)
+        return spread(wanted, "g", "part").groupBy("g", "part").cogroup(spread(ask, "g", "part").groupBy("g", "part")).applyInArrow(run, out)
 
     def compact(self, folder: str) -> History:
         """A history in `folder` with the segments of each group merged, two of one level at a time, up to the part size."""
@@ -327,7 +327,7 @@ def among(records: DataFrame, least=(8, 10), part_chars: int = PART_CHARS) -> Da
     those before, then itself, and adds its own segment, which is merged with
     others of its size class.
     """
-    base = records.join(parts_of(records, part_chars), "g")
+    base = in_parts(records, parts_of(records, part_chars))
     home = F.pmod(F.xxhash64(F.lit(5), "k"), F.col("parts")).cast("int")
     dealt = base.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("k", "g", "batch", "text", "part", (F.col("part") == home).alias("kept"))
     out = T.StructType([T.StructField("k", T.LongType()), T.StructField("other", T.LongType())])
@@ -357,7 +357,7 @@ def among(records: DataFrame, least=(8, 10), part_chars: int = PART_CHARS) -> Da
             segments.append((level, own))
         return pa.table({"k": np.concatenate(ks), "other": np.concatenate(os)})
 
-    return dealt.groupBy("g", "part").applyInArrow(run, out)
+    return spread(dealt, "g", "part").groupBy("g", "part").applyInArrow(run, out)
 
 
 def greedy_cases(edges: DataFrame) -> DataFrame:
@@ -403,7 +403,7 @@ def screen_batches(store: DataFrame, records: DataFrame, least=(7, 10), part_cha
 
     texts = store.where(F.col("g").isNotNull() & F.col("text").isNotNull()).groupBy("g", "text").agg(F.min("k").alias("k"))
     history = History(spark, f"{folder}/lorekeep-history-{uuid.uuid4().hex}", least, part_chars)
-    history.add(texts.select("k", "g", "text"))
+    history.add(written(texts.select("k", "g", "text"), "texts"))  # read twice, for the sizes and for the segments
     records = records.where(F.col("g").isNotNull() & F.col("text").isNotNull())
     firsts = records.groupBy("g", "text").agg(F.min(F.struct("batch", "k")).alias("first"), F.count("*").alias("n"))
     firsts = cut(_run_counts(firsts.select("first.*", "g", "text", "n"), "text").where("runs > 0"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import live, written
+from ._spark import in_parts, live, spread, written
 
 M = 12  # neighbours chosen per node; layer 0 keeps up to twice as many
 BUILD_BEAM, SEARCH_BEAM, EXPAND = 40, 40, 4
@@ -230,13 +230,12 @@ def nearest(rows: DataFrame, k: int = 5, dim: int = 64, key="row_no", group="nam
     """
     base = rows.select(F.col(key).cast("long").alias("k"), F.col(group).alias("g"), F.col(vector).cast("array<float>").alias("v")).where(valid_vector("v", dim) & F.col("g").isNotNull())
     base = written(base, "vectors")
-    sizes = base.groupBy("g").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
-    base = base.join(sizes, "g")
-    many = base.where("shards > 1")
-    home = F.pmod(F.xxhash64(F.lit(11), "k"), F.col("shards")).cast("int")
+    base = in_parts(base, base.groupBy("g").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts")))
+    many = base.where("parts > 1")
+    home = F.pmod(F.xxhash64(F.lit(11), "k"), F.col("parts")).cast("int")
     # each row stands once in its own shard, and asks in the others where its group has several
     asked = base.select("g", home.alias("shard"), F.lit(True).alias("own"), "k", "v").unionByName(
-        many.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).where(F.col("shard") != home).select("g", "shard", F.lit(False).alias("own"), "k", "v")
+        many.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where(F.col("shard") != home).select("g", "shard", F.lit(False).alias("own"), "k", "v")
     )
     out = T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.LongType()), T.StructField("s", T.FloatType())])
 
@@ -262,7 +261,7 @@ def nearest(rows: DataFrame, k: int = 5, dim: int = 64, key="row_no", group="nam
         cat = lambda p, t: np.concatenate(p) if p else np.empty(0, t)
         return pa.table({"k": pa.array(cat(ks, np.int64)), "n": pa.array(cat(ns, np.int64)), "s": pa.array(cat(ss, np.float32))})
 
-    got = asked.groupBy("g", "shard").applyInArrow(run, out)
+    got = spread(asked, "g", "shard").groupBy("g", "shard").applyInArrow(run, out)
     order = Window.partitionBy("k").orderBy(F.desc("s"), "n")
     return got.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("k").alias(key), F.col("n").alias("neighbour"), F.col("s").alias("similarity"), "rank")
 
