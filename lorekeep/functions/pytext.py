@@ -92,13 +92,12 @@ def sentences(text: str) -> list[str]:
             if i + 1 == n:
                 begin = close(n, n)
             elif text[i + 1].isspace():
-                so_far = text[begin : i + 1].strip()
-                if not (so_far.endswith(ABBREVIATIONS) or (len(so_far) >= 2 and so_far[-2].isupper())):
+                tail = text[max(begin, i - 5) : i + 1]
+                if not (tail.endswith(ABBREVIATIONS) or (len(tail) >= 2 and tail[-2].isupper())):
                     begin = close(i + 1, i + 2)
                     i += 1
         elif c == "\n" and text[i + 1 : i + 2] == "\n":
-            if text[begin : i + 1].strip():
-                begin = close(i + 1, i + 2)
+            begin = close(i + 1, i + 2)  # nothing but white space closes nothing
             i += 1
         i += 1
     if begin < n:

@@ -44,7 +44,7 @@ def _rows_from(df: DataFrame, make, fields: list[tuple[str, str]], keep: list[st
 def _meta(text: str | None) -> dict:
     try:
         value = json.loads(text) if text else {}
-    except ValueError:
+    except (ValueError, RecursionError):
         return {}
     return value if isinstance(value, dict) else {}
 
@@ -113,7 +113,7 @@ def json_documents(df: DataFrame, keep: list[str], text: str = "text") -> DataFr
             return []
         try:
             value = json.loads(t)
-        except ValueError:
+        except (ValueError, RecursionError):
             return [{"element": 0, "kind": "text", "content": t}]
         if isinstance(value, list):
             rows = [{"element": i, "kind": P.json_kind(v), "content": P.json_text(v)} for i, v in enumerate(value)]
@@ -140,7 +140,7 @@ def conversation_entries(df: DataFrame, keep: list[str], text: str = "text") ->
     def make(t):
         try:
             return P.conversation_entries(json.loads(t)) if t else []
-        except ValueError:
+        except (ValueError, RecursionError):
             return []
 
     return _rows_from(df, make, [("entry", "long"), *((c, "string") for c in ("session", "role", "time", "body"))], keep, [text])
