@@ -7,6 +7,7 @@ once; no Python loop runs over words.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
 
@@ -52,9 +53,17 @@ def slices(texts: list[str | None]):
         yield at, part
 
 
+_MANY_MARKS = re.compile("([\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f]{64})[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f]+")
+
+
+def _normal(t: str) -> str:
+    """NFKC; marks beyond 64 in a row are left out, as putting them in order would take their number squared."""
+    return t if t.isascii() else unicodedata.normalize("NFKC", _MANY_MARKS.sub(r"\1", t))
+
+
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word, and the number of its text, in order."""
-    parts = [t if t.isascii() else unicodedata.normalize("NFKC", t) for t in texts]
+    parts = [_normal(t) for t in texts]
     joined = "\0".join(parts)
     if joined.count("\0") != len(parts) - 1:
         joined = "\0".join(t.replace("\0", " ") for t in parts)

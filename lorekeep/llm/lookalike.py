@@ -103,8 +103,11 @@ def _compose(cp: np.ndarray, rank: np.ndarray, keys: np.ndarray, whole: np.ndarr
         base = near - nth - 1
         alive = np.ones(len(cp), bool)
         last = np.zeros(len(near), np.uint8)  # class of the last mark kept, by the first mark of its base
-        for k in range(int(nth.max()) + 1):
-            i = np.flatnonzero((nth == k) & (base >= 0))
+        ranked = np.argsort(nth, kind="stable")
+        bounds = np.searchsorted(nth[ranked], np.arange(int(nth.max()) + 2))
+        for k in range(len(bounds) - 1):
+            i = ranked[bounds[k] : bounds[k + 1]]
+            i = i[base[i] >= 0]
             if not len(i):
                 continue
             key = (cp[base[i]].astype(np.int64) << 21) | cp[near[i]].astype(np.int64)

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 LEVELS = (
     re.compile(r"\n(?=#{1,6}[ \t]\S)|\n[ \t]*(?:-{3,}|={3,}|\*{3,}|_{3,})[ \t]*\n|\f"),  # a heading or rule follows
     re.compile(r"\n[ \t]*(?:\r?\n[ \t]*)+"),  # blank lines
-    re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+[」』）]*\s*|\n"),  # sentences and lines
+    re.compile(r"(?<![.!?…])[.!?…]++[\"'”’»)\]]*+\s+|[。！？]+[」』）]*\s*|\n"),  # sentences and lines
     re.compile(r"\s+"),  # words
 )
 
