@@ -35,7 +35,7 @@ MOST_NAMES = 1_000_000  # lexicon rows that may be sent to the executors
 # ---- patterns -------------------------------------------------------------
 _AT = r"(?:@|＠|[ ]?[(\[{<][ ]?(?i:at|@)[ ]?[)\]}>][ ]?)"
 _DOT = r"(?:\.|[ ]?[(\[{][ ]?(?i:dot|\.)[ ]?[)\]}][ ]?)"
-_LOCAL = r"(?<![\w.+%-])[\w](?:[\w.+%'-]*[\w])?"
+_LOCAL = r"(?<![\w.+%'-])[\w](?:[\w.+%'-]*[\w])?"
 _LABEL = r"[^\W_](?:[\w-]*[^\W_])?"
 EMAIL = re.compile(
     rf"{_LOCAL}(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[^\W\d_]{{2,}}|[ ](?i:at)[ ]{_LABEL}(?:[ ](?i:dot)[ ]{_LABEL})*[ ](?i:dot)[ ][^\W\d_]{{2,}})(?![\w@])"
@@ -57,7 +57,7 @@ CALLED = re.compile(
     r"(?i:(?<!\w)(?:tel|phone|telefon|teléfono|mobile|mobil|cell|fax|call|sms|whatsapp|zadzwoń|llama al|rufen sie|answered on|number is|numer)[\"']?[.:]?[ \"']{0,3})$"
 )
 CALLED_NUMBER = re.compile(r"\+?\(?\d[\d ().-]{5,15}\d(?![\d:])")
-NUMBER_RUN = re.compile(r"[+(\d][\d() ./+-]{6,}\d")  # where numbers of several digits may stand
+NUMBER_RUN = re.compile(r"[+(\d][\d() ./+-]{6,60}\d")  # where numbers of several digits may stand
 ID = re.compile(
     r"(?<![\w.#/+-])(?:\d{3}-\d{2}-\d{4}|\d{3}[ ]\d{2}[ ]\d{4}|\d{11}|\d{8}[ -]?[A-Z]|[XYZ][ -]?\d{7}[ -]?[A-Z]|[A-Z]{2}[ ]?\d{7})(?![\w/]|[.:-]\d|-\w)"
 )
@@ -128,13 +128,16 @@ class Finder:
         if len(low) != len(text):  # a few capitals grow; they are left as they are, so that positions agree
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         found: list[tuple[str, int, int]] = []
-        if "@" in low or "＠" in low or (" at " in low and " dot " in low) or any(b in low for b in BRACKET_AT):
-            found += [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
+        taken = bytearray(len(text))
 
         def add(kind: str, s: int, e: int) -> None:
-            if all(e <= a or b <= s for _, a, b in found):
+            if not any(taken[s:e]):
                 found.append((kind, s, e))
+                taken[s:e] = b"\1" * (e - s)
 
+        if "@" in low or "＠" in low or (" at " in low and " dot " in low) or any(b in low for b in BRACKET_AT):
+            for m in EMAIL.finditer(text):
+                add("email", m.start(), m.end())
         if any(k in low for k in NAMED_IDS):
             for m in NAMED_ID.finditer(text):
                 add("id_number", m.start(1), m.end(1))
@@ -151,7 +154,7 @@ class Finder:
                 add("phone", m.start(), m.end())
         for s, e in self._streets(text, low):
             add("street_address", s, e)
-        self._names(text, low, add)
+        self._names(text, low, taken, [s for kind, s, _ in found if kind == "email"], add)
         found.sort(key=lambda x: x[1])
         return found
 
@@ -179,8 +182,8 @@ class Finder:
                 if free(m.start()):
                     yield m.span()
 
-    def _names(self, text: str, low: str, add) -> None:
-        marks: list[int] = []
+    def _names(self, text: str, low: str, taken: bytearray, emails: list[int], add) -> None:
+        marks = list(emails)  # names stand before addresses, too
         heads: set[int] = set()
         n = len(text)
         for end, (size, name) in self.hints.iter(low):
@@ -208,12 +211,14 @@ class Finder:
                 a -= 1
             while b < n and text[b - 1].isalpha() and text[b].isalpha():
                 b += 1
-            self._window(text, a, b, heads, add)
+            self._window(text, a, b, heads, taken, add)
 
-    def _window(self, text: str, a: int, b: int, heads: set[int], add) -> None:
+    def _window(self, text: str, a: int, b: int, heads: set[int], taken: bytearray, add) -> None:
         toks: list[tuple[int, int, str]] = []
         for m in _TOKEN.finditer(text, a, b):
             s, e, w = m.start(), m.end(), m.group()
+            if taken[s]:
+                continue
             if len(w) > 2 and w[-2] in "'’" and w[-1] in "sS" and w.lower() not in self.words:
                 e, w = e - 2, w[:-2]
             toks.append((s, e, w))
@@ -295,7 +300,7 @@ class Finder:
             between = gap(k, k + 1)
             given = is_given(k + 1) or unknown(k + 1) or initial(k + 1)
             comma = re.fullmatch(r",[ \u00a0]{1,2}", between) is not None
-            if (comma and given and (capital(k) or is_given(k + 1)) and sure(k + 1, k) and not (i and (initial(i - 1) or (unknown(i - 1) and spaced(i - 1, i))))) or (_GAP.fullmatch(between) and is_given(k + 1) and not low[k] in ORDINARY):
+            if (comma and given and (capital(k) or is_given(k + 1)) and sure(k + 1, k) and not (i and (initial(i - 1) or (not is_given(k + 1) and unknown(i - 1) and spaced(i - 1, i))))) or (_GAP.fullmatch(between) and is_given(k + 1) and not low[k] in ORDINARY):
                 last = k + 1
                 if initial(last + 1) and spaced(last, last + 1):
                     last += 1
@@ -327,7 +332,7 @@ class Finder:
                 if k >= 0 and not used[k] and strong and unknown(k) and capital(i):
                     if take(i, k):
                         continue
-                if k >= 0 and not used[k] and low[i] not in ORDINARY and not capital(i) and quiet(k) and take(i, k):
+                if k >= 0 and not used[k] and not capital(i) and ((low[i] not in ORDINARY and quiet(k)) or (headed and ((quiet(k) and self._ends(text, toks[k][1])) or (k > j and quiet(k)) or (low[i] not in ORDINARY and toks[k][2].islower() and low[k] in ORDINARY)))) and take(i, k):
                     continue
             if i and re.fullmatch(r",[ \u00a0]{1,2}", gap(i - 1, i)) and unknown(i - 1) and not used[i - 1] and capital(i) and (low[i] not in ORDINARY or toks[i - 1][0] in heads):
                 start = i - 1
@@ -338,15 +343,17 @@ class Finder:
         for i in range(n):  # two unknown names before an address of theirs, or after words that introduce a person
             if not used[i] and unknown(i) and low[i] not in ORDINARY and (j := after_given(i)) > 0:
                 k, _ = family_at(j)
-                if k >= 0 and not used[k] and unknown(k) and text.startswith(" | ", toks[k][1]):
+                if k >= 0 and not used[k] and unknown(k) and TAIL.match(text, toks[k][1]):
                     take(i, k)
-            if used[i] or toks[i][0] not in heads:
+            if used[i]:
                 continue
             if initial(i) and after_initial(i, i + 1):
                 k, _ = family_at(i + 1)
-                if k >= 0 and not used[k] and unknown(k):
+                if k >= 0 and not used[k] and unknown(k) and (toks[i][0] in heads or text.startswith(" | ", toks[k][1])):
                     take(i, k)
                 continue
+            if toks[i][0] not in heads:
+                continue
             j = after_given(i)
             if j > 0 and quiet(i) and quiet(j) and self._ends(text, toks[j][1]) and text[toks[i][0] - 1] in "\n\"'":
                 take(i, j)
