@@ -7,13 +7,13 @@ their first words.  Segments are never changed; a batch adds its own, and two
 of one size class are merged into one of the next, so a text is merged a
 logarithmic number of times.
 
-A record asks the segments of its group: every run of SEED words that the
-record has is looked up by binary search, and each interval of suffixes found
-names the texts that hold the run.  A text at the wanted similarity shares at
-least a quarter of the record's runs (words put in, taken out, changed or moved
-cost a few runs each), so the most frequent runs, a quarter less one, may be
-left out of the expansion without losing a text.  The exact similarity of the
-word sets decides.
+A record asks the segments of its group: every run of N words that the record
+has is looked up by binary search, and each interval of suffixes found names
+the texts that hold the run.  A text at the wanted similarity shares at least
+that part of the record's runs, so the runs with the longest intervals, one
+less than that part, need not be expanded, and no text is lost.  The matches of
+a record and a text are then counted in full: their coverage, the shared runs
+by all runs of either, decides.
 
 Large groups are dealt to several segments of at most about PART_CHARS
 characters, and records ask each, so no task holds a whole group.
@@ -30,9 +30,9 @@ from pyspark.sql import types as T
 from ._spark import cut, in_parts, live, shared_folder, spread, written
 from ._words import ID_BITS, runs, shingle_sets, slices, words
 
-SEED, DEPTH, SHARE = 5, 8, 0.25
+DEPTH = 4  # words by which suffixes are put in order
 PART_CHARS = 6 << 20
-N = 3  # words of a run in the similarity
+N = 3  # words of a run
 SEGMENT = T.StructType([
     T.StructField("g", T.StringType()), T.StructField("part", T.StringType()), T.StructField("level", T.IntegerType()),
     T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("starts", T.ArrayType(T.IntegerType())),
@@ -152,21 +152,26 @@ def packed_sets(w: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray,
     return key, np.bincount((key >> np.uint64(ID_BITS)).astype(np.int64), minlength=rows)
 
 
-def _seeded(segment: Segment, w: np.ndarray, number: np.ndarray, row: np.ndarray, of: np.ndarray, length: int, share: float) -> np.ndarray:
-    """Packed (record, text of the segment) for records chosen by `of` and texts with one of their runs of `length` words."""
-    h, at = runs(w, row, length)
-    chosen = of[row[at]]
-    h, at = h[chosen], at[chosen]
+def _candidates(segment: Segment, w: np.ndarray, row: np.ndarray, rows: int, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(record, text of the segment) that may be similar: texts with one of the record's rarer runs.
+
+    A similar text has at least the share `least` of the record's different
+    runs, so one run less than that share may be left out, and those with the
+    longest intervals are.
+    """
+    h, at = runs(w, row, N)
     order = np.lexsort((h, row[at]))
     r, hh = row[at][order], h[order]
     new = np.concatenate((np.ones(min(1, len(r)), bool), (r[1:] != r[:-1]) | (hh[1:] != hh[:-1])))
     at, r = at[order][new], r[new]  # different runs of each record
-    spare = np.maximum(np.ceil(np.bincount(r, minlength=len(of)) * share).astype(np.int64) - 1, 0)
+    spare = -(-np.bincount(r, minlength=rows) * least[0] // least[1]) - 1
+    place = np.minimum(np.searchsorted(segment.dictionary, w), len(segment.dictionary) - 1)
+    number = np.where(segment.dictionary[place] == w, place + 1, 0).astype(np.int32)
     known = number[at] > 0
-    for k in range(1, length):
+    for k in range(1, N):
         known &= number[at + k] > 0
     at, r = at[known], r[known]
-    lo, hi = segment.intervals(number, at, length)
+    lo, hi = segment.intervals(number, at, N)
     size = hi - lo
     hit = size > 0
     lo, size, r = lo[hit], size[hit], r[hit]
@@ -177,26 +182,20 @@ def _seeded(segment: Segment, w: np.ndarray, number: np.ndarray, row: np.ndarray
     lo, size, r = lo[keep], size[keep], r[keep]
     found = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
     doc = np.searchsorted(segment.starts, segment.suffixes[found], "right") - 1
-    return np.unique((np.repeat(r, size).astype(np.int64) << 32) | doc)
+    pair = np.unique((np.repeat(r, size).astype(np.int64) << 32) | doc)
+    return pair >> 32, pair & 0xFFFFFFFF
 
 
 def similar(segment: Segment, w: np.ndarray, row: np.ndarray, rows: int, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(record, text of the segment) for all at the least similarity (0.7 or more); records are given by their words.
-
-    Records of one or two different runs of three words can only be as similar
-    to texts with the same runs, so for them those runs are looked up.
-    """
+    """(record, text of the segment) for all at the least similarity; records are given by their words."""
     none = np.empty(0, np.int64)
     if not len(w) or not len(segment.suffixes):
         return none, none
-    own, own_n = packed_sets(w, row, rows)
-    place = np.minimum(np.searchsorted(segment.dictionary, w), len(segment.dictionary) - 1)
-    number = np.where(segment.dictionary[place] == w, place + 1, 0).astype(np.int32)
-    pair = np.concatenate((_seeded(segment, w, number, row, own_n > 2, SEED, SHARE), _seeded(segment, w, number, row, (own_n > 0) & (own_n <= 2), N, 0.0)))
-    if not len(pair):
+    q, d = _candidates(segment, w, row, rows, least)
+    if not len(q):
         return none, none
-    q, d = pair >> 32, pair & 0xFFFFFFFF
     # exact similarity: the record's runs are looked up among the text's
+    own, own_n = packed_sets(w, row, rows)
     have, have_n = segment.sets()
     # sizes alone rule out some
     small, large = np.minimum(own_n[q], have_n[d]), np.maximum(own_n[q], have_n[d])
