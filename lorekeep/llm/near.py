@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 from ._spark import cut, written
 from ._words import mix, shingle_sets, slices
 
-BLOCKS, PER_BLOCK = 24, 4
+BLOCKS, PER_BLOCK = 32, 4
 LANES = BLOCKS * PER_BLOCK
-MAX_DISTANCE = 31  # of LANES bits; at similarity 0.7 the mean is 14.4 and the deviation 3.5
+MAX_DISTANCE = 41  # of LANES bits; at similarity 0.7 the mean is 19.2 and the deviation 4.0
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 1 << 63, LANES, dtype=np.uint64) | np.uint64(1)
@@ -106,7 +106,7 @@ class NearCopies:
     """
 
     def __init__(self, records: DataFrame, key="row_no", group="namespace", text="text", n=5, least=(8, 10), identity=(), extra=(), where=None, max_distance=MAX_DISTANCE):
-        self.key, self.group, self.text, self.n, self.least = key, group, text, n, least
+        self.key, self.group, self.text, self.n, self.least, self.max_distance = key, group, text, n, least, max_distance
         self.source = records.select(key, group, text)
         cols = list(dict.fromkeys([key, group, *identity, *extra, text]))
         base = records.select(*cols)
@@ -145,7 +145,7 @@ class NearCopies:
         a, b = half.alias("a"), half.alias("b")
         distance = F.bit_count(F.col("a.p").bitwiseXOR(F.col("b.p"))) + F.bit_count(F.col("a.q").bitwiseXOR(F.col("b.q")))
         pairs = (
-            a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.k") < F.col("b.k")) & (distance <= MAX_DISTANCE))
+            a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.k") < F.col("b.k")) & (distance <= self.max_distance))
             .select(F.col("a.k").alias("a"), F.col("b.k").alias("b"))
             .distinct()
         )
