@@ -55,12 +55,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 MOST_BROADCAST_ROWS = 100_000
 
 
-def in_parts(df: DataFrame, sizes: DataFrame) -> DataFrame:
-    """`df` with `parts` of its group `g` from `sizes` (g, parts), 1 where it isn't given.
+def small(df: DataFrame) -> DataFrame:
+    """`df`, which must be cheap to count, to be broadcast if it has few rows; larger ones are left to a shuffle."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS else df
+
 
-    Only groups of several parts are joined.  They are broadcast as long as
-    they are few; beyond that the join shuffles.
-    """
+def in_parts(df: DataFrame, sizes: DataFrame) -> DataFrame:
+    """`df` with `parts` of its group `g` from `sizes` (g, parts), 1 where it isn't given; only groups of several parts are joined."""
     many = cut(sizes.where("parts > 1").select("g", "parts"))
-    few = many.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS
-    return df.join(F.broadcast(many) if few else many, "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return df.join(small(many), "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))

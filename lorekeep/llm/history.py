@@ -16,7 +16,8 @@ a record and a text are then counted in full: their coverage, the shared runs
 by all runs of either, decides.
 
 Large groups are dealt to several segments of at most about PART_CHARS
-characters, and records ask each, so no task holds a whole group.
+characters, and their records to blocks of ASK_CHARS; every block asks every
+segment, so no task holds a whole group.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import cut, in_parts, live, shared_folder, spread, written
+from ._spark import cut, in_parts, live, shared_folder, small, spread, written
 from ._words import ID_BITS, runs, shingle_sets, slices, words
 
 DEPTH = 4  # words by which suffixes are put in order
-PART_CHARS = 6 << 20
+PART_CHARS, ASK_CHARS = 6 << 20, 64 << 20  # of the texts of one segment, and of the records that ask one in a task
 N = 3  # words of a run
 SEGMENT = T.StructType([
     T.StructField("g", T.StringType()), T.StructField("part", T.StringType()), T.StructField("level", T.IntegerType()),
@@ -267,7 +268,8 @@ class History:
         """
         least = self.least
         parts = self.segments().select("g", "part")
-        ask = asked.select("k", "g", "text").join(parts, "g")
+        asked = in_parts(asked.select("k", "g", "text"), parts_of(asked, ASK_CHARS)).withColumnRenamed("parts", "blocks")
+        ask = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "k"), F.col("blocks")).cast("int")).drop("blocks").join(parts, "g")
         out = T.StructType([T.StructField("k", T.LongType()), T.StructField("other", T.LongType())])
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -275,7 +277,6 @@ class History:
             if left.num_rows and right.num_rows:
                 seg = _segment(left)
                 keys = right.column("k").to_numpy()
-                at = 0
                 for first, texts in slices(right.column("text").to_pylist()):
                     w, row = words(texts)
                     q, d = similar(seg, w, row, len(texts), least)
@@ -283,8 +284,11 @@ class History:
                     os.append(seg.keys[d])
             return pa.table({"k": np.concatenate(ks), "other": np.concatenate(os)})
 
-        wanted = self.segments().join(asked.select("g").distinct(), "g", "left_semi")
-        return spread(wanted, "g", "part").groupBy("g", "part").cogroup(spread(ask, "g", "part").groupBy("g", "part")).applyInArrow(run, out)
+        # a segment goes to each block of askers of its group
+        groups = cut(asked.groupBy("g").agg(F.max("blocks").alias("blocks")))
+        wanted = self.segments().join(small(groups), "g").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        by = ("g", "part", "block")
+        return spread(wanted, *by).groupBy(*by).cogroup(spread(ask, *by).groupBy(*by)).applyInArrow(run, out)
 
     def compact(self, folder: str) -> History:
         """A history in `folder` with the segments of each group merged, two of one level at a time, up to the part size."""
@@ -318,22 +322,29 @@ class History:
         return new
 
 
-def among(records: DataFrame, least=(8, 10), part_chars: int = PART_CHARS) -> DataFrame:
+def among(records: DataFrame, least=(8, 10), part_chars: int = PART_CHARS, ask_chars: int = ASK_CHARS) -> DataFrame:
     """(k, other): for each record (k, g, batch, text) the earlier ones of its group at the least similarity.
 
-    Records of a large group are dealt to parts, and all of them ask each part.
+    Records of a large group are dealt to parts, and all of them ask each part,
+    in blocks of at most about `ask_chars` characters.
     Within a part the batches come one by one: a batch asks the segments of
     those before, then itself, and adds its own segment, which is merged with
     others of its size class.
     """
     base = in_parts(records, parts_of(records, part_chars))
     home = F.pmod(F.xxhash64(F.lit(5), "k"), F.col("parts")).cast("int")
-    dealt = base.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("k", "g", "batch", "text", "part", (F.col("part") == home).alias("kept"))
+    blocks = F.ceil(F.col("parts") * F.lit(part_chars / ask_chars)).cast("int")
+    mine = F.pmod(F.xxhash64(F.lit(7), "k"), F.col("blocks")).cast("int")
+    base = base.withColumn("home", home).withColumn("blocks", blocks).withColumn("mine", mine)
+    cols = ("k", "g", "batch", "text")
+    kept = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*cols, F.col("home").alias("part"), "block", F.lit(True).alias("kept"), (F.col("block") == F.col("mine")).alias("asks"))
+    away = base.where("parts > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("part != home").select(*cols, "part", F.col("mine").alias("block"), F.lit(False).alias("kept"), F.lit(True).alias("asks"))
+    dealt = kept.unionByName(away)
     out = T.StructType([T.StructField("k", T.LongType()), T.StructField("other", T.LongType())])
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("batch", "ascending"), ("k", "ascending")])
-        keys, batch, kept = t.column("k").to_numpy(), t.column("batch").to_numpy(), t.column("kept").to_numpy()
+        keys, batch, kept, asks = (t.column(c).to_numpy() for c in ("k", "batch", "kept", "asks"))
         w, row = _all_words(t.column("text").to_pylist())
         ks, os = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         segments: list[tuple[int, Segment]] = []
@@ -341,11 +352,13 @@ def among(records: DataFrame, least=(8, 10), part_chars: int = PART_CHARS) -> Da
         for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             a, b = np.searchsorted(row, (s, e))
             bw, brow = w[a:b], row[a:b] - s
+            told = asks[s:e][brow] if len(brow) else np.empty(0, bool)
+            aw, arow = bw[told], brow[told]
             mine = kept[s:e]
             sel = mine[brow] if len(brow) else np.empty(0, bool)
             own = Segment.of_words(keys[s:e][mine], bw[sel], (np.cumsum(mine) - 1)[brow[sel]])
             for seg in (*(x for _, x in segments), own):
-                q, d = similar(seg, bw, brow, e - s, least)
+                q, d = similar(seg, aw, arow, e - s, least)
                 k, o = keys[s + q], seg.keys[d]
                 ok = (o < k) if seg is own else np.ones(len(k), bool)
                 ks.append(k[ok])
@@ -356,7 +369,7 @@ def among(records: DataFrame, least=(8, 10), part_chars: int = PART_CHARS) -> Da
             segments.append((level, own))
         return pa.table({"k": np.concatenate(ks), "other": np.concatenate(os)})
 
-    return spread(dealt, "g", "part").groupBy("g", "part").applyInArrow(run, out)
+    return spread(dealt, "g", "part", "block").groupBy("g", "part", "block").applyInArrow(run, out)
 
 
 def greedy_cases(edges: DataFrame) -> DataFrame:

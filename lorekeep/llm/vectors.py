@@ -27,7 +27,7 @@ from ._spark import in_parts, live, spread, written
 M = 12  # neighbours chosen per node; layer 0 keeps up to twice as many
 BUILD_BEAM, SEARCH_BEAM, EXPAND = 40, 40, 4
 BLOCK = 512  # vectors searched together
-SHARD_ROWS = 16384
+SHARD_ROWS, ASK_ROWS = 16384, 65536
 FLOOR = np.float32(-4.0)
 
 
@@ -220,37 +220,40 @@ def valid_vector(column: str, dim: int):
     return F.coalesce((F.size(c) == dim) & finite & F.exists(c, lambda v: v != 0), F.lit(False))
 
 
-def nearest(rows: DataFrame, k: int = 5, dim: int = 64, key="row_no", group="namespace", vector="vector", shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(rows: DataFrame, k: int = 5, dim: int = 64, key="row_no", group="namespace", vector="vector", shard_rows: int = SHARD_ROWS, ask_rows: int = ASK_ROWS) -> DataFrame:
     """(key, neighbour, similarity, rank): for every row the k nearest others of its group.
 
     Rows with a null group or an invalid vector neither ask nor answer; a group
     with fewer rows gives fewer answers.  Rows are dealt to shards by a hash of
-    their key, as many as the size of their group needs, so that no task gets
-    more than about `shard_rows` rows of one group to index.
+    their key, as many as the size of their group needs, and the askers of a
+    group to blocks, so that no task gets more than about `shard_rows` rows to
+    index and `ask_rows` to answer.
     """
     base = rows.select(F.col(key).cast("long").alias("k"), F.col(group).alias("g"), F.col(vector).cast("array<float>").alias("v")).where(valid_vector("v", dim) & F.col("g").isNotNull())
     base = written(base, "vectors")
     base = in_parts(base, base.groupBy("g").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts")))
-    many = base.where("parts > 1")
     home = F.pmod(F.xxhash64(F.lit(11), "k"), F.col("parts")).cast("int")
-    # each row stands once in its own shard, and asks in the others where its group has several
-    asked = base.select("g", home.alias("shard"), F.lit(True).alias("own"), "k", "v").unionByName(
-        many.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where(F.col("shard") != home).select("g", "shard", F.lit(False).alias("own"), "k", "v")
-    )
+    blocks = F.ceil(F.col("parts") * F.lit(shard_rows / ask_rows)).cast("int")
+    mine = F.pmod(F.xxhash64(F.lit(13), "k"), F.col("blocks")).cast("int")
+    base = base.withColumn("home", home).withColumn("blocks", blocks).withColumn("mine", mine)
+    # each row stands in its own shard, once for every block of askers, and asks in every shard in its own block
+    kept = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", F.col("home").alias("shard"), "block", F.lit(True).alias("kept"), (F.col("block") == F.col("mine")).alias("asks"), "k", "v")
+    away = base.where("parts > 1").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("shard != home").select("g", "shard", F.col("mine").alias("block"), F.lit(False).alias("kept"), F.lit(True).alias("asks"), "k", "v")
+    asked = kept.unionByName(away)
     out = T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.LongType()), T.StructField("s", T.FloatType())])
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        own = t.column("own").to_numpy()
         keys = t.column("k").to_numpy()
-        x = unit(_matrix(t.column("v").chunk(0), dim))
         order = np.argsort(keys, kind="stable")  # the same graph wherever and however often the task runs
-        own, keys, x = own[order], keys[order], x[order]
-        mine = np.flatnonzero(own)
+        kept, asks, keys = t.column("kept").to_numpy()[order], t.column("asks").to_numpy()[order], keys[order]
+        x = unit(_matrix(t.column("v").chunk(0), dim))[order]
+        mine = np.flatnonzero(kept)
         graph = Graph(x[mine])
         ks, ns, ss = [], [], []
-        for ids, inside in ((mine, np.arange(len(mine))), (np.flatnonzero(~own), None)):
-            for at, node, sim in graph.search(x[ids], k, own=inside):
+        inside = np.flatnonzero(asks[mine])
+        for ids, own in ((mine[inside], inside), (np.flatnonzero(asks & ~kept), None)):
+            for at, node, sim in graph.search(x[ids], k, own=own):
                 q = ids[at : at + len(node)]
                 good = (node >= 0) & (sim > FLOOR) & (keys[mine[node]] != keys[q][:, None])
                 good &= np.cumsum(good, axis=1) <= k
@@ -261,7 +264,7 @@ def nearest(rows: DataFrame, k: int = 5, dim: int = 64, key="row_no", group="nam
         cat = lambda p, t: np.concatenate(p) if p else np.empty(0, t)
         return pa.table({"k": pa.array(cat(ks, np.int64)), "n": pa.array(cat(ns, np.int64)), "s": pa.array(cat(ss, np.float32))})
 
-    got = spread(asked, "g", "shard").groupBy("g", "shard").applyInArrow(run, out)
+    got = spread(asked, "g", "shard", "block").groupBy("g", "shard", "block").applyInArrow(run, out)
     order = Window.partitionBy("k").orderBy(F.desc("s"), "n")
     return got.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("k").alias(key), F.col("n").alias("neighbour"), F.col("s").alias("similarity"), "rank")
 

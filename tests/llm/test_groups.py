@@ -77,7 +77,7 @@ def test_components(spark):
     assert {(x.node, x.group_key) for x in near.groups(links, nodes).collect()} == {(i, root(i)) for i in range(170)}
 
 
-def test_history_matches_a_loop(spark):
+def test_history_matches_a_loop(spark, monkeypatch):
     texts = made_texts(200, 7) + EDGE
     store = [(i, f"g{i % 2}", t) for i, t in enumerate(texts[:60])]
     recs = [(i, f"g{i % 2}", 1 + i // 50, t) for i, t in enumerate(texts[60:])] + [(900, None, 1, "a b c d e"), (901, "new", 2, "a b c d e"), (902, "new", 3, "a b c d e"), (903, "new", 3, "")]
@@ -92,7 +92,9 @@ def test_history_matches_a_loop(spark):
             want.add(k)
         else:
             kept.append((g, s))
-    for chars in (history.PART_CHARS, 4000):  # one part, and several per group
+    for chars, ask in ((history.PART_CHARS, history.ASK_CHARS), (4000, history.ASK_CHARS), (4000, 9000)):  # one part, several, several with blocks of askers
+        monkeypatch.setattr(history, "ASK_CHARS", ask)
+        monkeypatch.setattr(history.among, "__defaults__", ((8, 10), history.PART_CHARS, ask))
         assert {r.k for r in history.screen_batches(sdf, rdf, part_chars=chars).collect()} == want
     assert history.screen_batches(sdf.limit(0), rdf.limit(0)).count() == 0
 
@@ -128,12 +130,12 @@ def exact(x, k):
     return np.sort(-s, axis=1)[:, :k] * -1, s
 
 
-@pytest.mark.parametrize("shard_rows", [10_000, 150])
-def test_recall(spark, shard_rows):
+@pytest.mark.parametrize(("shard_rows", "ask_rows"), [(10_000, 10_000), (150, 10_000), (150, 200)])
+def test_recall(spark, shard_rows, ask_rows):
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal(size=(300, 16)), np.repeat(rng.normal(size=(10, 16)), 20, 0) + 0.05 * rng.normal(size=(200, 16))]).astype("f4")
     df = spark.createDataFrame([(i, "g", v.tolist(), "clash") for i, v in enumerate(x)], "row_no long, namespace string, vector array<float>, shard string")
-    got = vectors.nearest(df, 5, 16, shard_rows=shard_rows).collect()
+    got = vectors.nearest(df, 5, 16, shard_rows=shard_rows, ask_rows=ask_rows).collect()
     best, s = exact(x.astype("f8"), 5)
     assert len(got) == 500 * 5 and len({(r.row_no, r.neighbour) for r in got}) == 2500
     hits = sum(s[r.row_no, r.neighbour] >= best[r.row_no, -1] - 1e-5 for r in got)
