@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .parallel import busy
 
 # Patterns of noise, in the order they are removed.  (?d) makes only \n a line end.
 _TAG = lambda name: rf"(?s)<{name}>.*?</{name}>"
@@ -70,7 +71,7 @@ def mostly_cli(text) -> Column:
 
 def kept_messages(df: DataFrame, text: str = "content", order: str = "block_no") -> DataFrame:
     """Messages that are long enough once cleaned, the first of each normal form in order of arrival."""
-    c = df.withColumn("clean", cleaned(text)).where(F.octet_length("clean") >= MIN_BYTES)
+    c = busy(df).withColumn("clean", cleaned(text)).where(F.octet_length("clean") >= MIN_BYTES)
     # the first per hash by an aggregate: partial sums keep hot texts from meeting in one task
     first = c.groupBy(X.normal_hash("clean").alias("hash")).agg(F.min_by(F.struct(order, "clean"), F.col(order)).alias("m"))
     return first.select("m.*", "hash")
@@ -97,7 +98,7 @@ def filtered_conversations(df: DataFrame, session: str = "session_id", order: st
     ones (prefix filter), so candidates come from a join on such words, and the
     greedy choice is made on the links by rounds.
     """
-    base = df.where(F.col(text).isNotNull()).select(session, order, cleaned(text).alias("clean"), drop_reason(text).alias("reason"))
+    base = busy(df.where(F.col(text).isNotNull()).select(session, order, text)).select(session, order, cleaned(text).alias("clean"), drop_reason(text).alias("reason"))
     kept = base.where("reason is null").select(F.col(session).alias("s"), F.col(order).alias("o"), "clean")
     words = F.array_sort(F.array_distinct(X.pieces("clean")))
     sets = kept.select("s", "o", words.alias("w"))

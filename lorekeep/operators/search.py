@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import meta as M
 from ..functions import text as X
 from ..functions import vectors as V
+from .parallel import busy
 from .store import layer_predicate
 
 K1, B = 1.2, 0.75
@@ -58,8 +59,9 @@ def features(df: DataFrame, query: str | None, vector: list[float] | None, dim:
     if vector is not None:
         cols.append(F.when(V.usable("vector", dim), V.l2(V.doubles("vector"), V.literal(vector))).alias("dist"))
     if query is not None:
-        terms = term_array(text)
-        cols += [F.size(terms).alias("_n"), *[_occurrences(terms, t).alias(f"_f{i}") for i, t in enumerate(terms_of(query))]]
+        used = [text, *(["vector"] if vector is not None else [])]
+        df = busy(df.select(*dict.fromkeys([*keep, *used]))).withColumn("_terms", term_array(text))  # made once per row, in a projection of its own
+        cols += [F.size("_terms").alias("_n"), *[_occurrences("_terms", t).alias(f"_f{i}") for i, t in enumerate(terms_of(query))]]
         cols.append(F.col(text).isNotNull().alias("_has"))
     return df.select(*cols)
 
@@ -71,9 +73,13 @@ def nearest(feats: DataFrame, k: int, layer: int | None = None, key: str = "row_
 
 
 def keyword_scores(feats: DataFrame, terms: int, key: str = "row_no") -> DataFrame:
-    """key and BM25 score of the rows of `features` that have a term; statistics are those of all its rows with text."""
+    """key and BM25 score of the rows of `features` with text, null for those without a term; statistics are those of all these rows.
+
+    Rows without a term are not filtered here: the filter would be pushed below
+    the projections and make the terms of every text once per query term.
+    """
     if not terms:
-        return feats.select(key, F.lit(0.0).alias("score")).limit(0)
+        return feats.select(key, F.lit(None).cast("double").alias("score")).limit(0)
     counts = feats.where("_has")
     stats = counts.agg(F.count("*").alias("rows"), F.avg("_n").alias("mean"), *[F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"d{i}") for i in range(terms)]).first()  # one row
     score = F.lit(0.0)
@@ -81,7 +87,12 @@ def keyword_scores(feats: DataFrame, terms: int, key: str = "row_no") -> DataFra
         tf = F.col(f"_f{i}").cast("double")
         score = score + _idf(stats["rows"], stats[f"d{i}"] or 0) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_n") / F.lit(stats["mean"] or 1.0)))
     hit = F.greatest(F.lit(0), *[F.col(f"_f{i}") for i in range(terms)])
-    return counts.where(hit > 0).select(key, score.alias("score"))
+    return counts.select(key, F.when(hit > 0, score).alias("score"))
+
+
+def best(scores: DataFrame, k: int, key: str = "row_no") -> DataFrame:
+    """The k best rows that have a score."""
+    return scores.orderBy(F.desc_nulls_last("score"), key).limit(k).where(F.col("score").isNotNull())
 
 
 def _idf(rows: int, having: int) -> float:
@@ -89,7 +100,7 @@ def _idf(rows: int, having: int) -> float:
 
 
 def bm25_scores(df: DataFrame, query: str, key: str = "row_no", text: str = "text") -> DataFrame:
-    """key and score of every row that has a term of the query; statistics are those of all rows of `df`.
+    """key and score of every row with text, null without a term of the query; statistics are those of all rows of `df`.
 
     One pass counts rows, lengths and document frequencies, a second scores;
     rows are not shuffled.
@@ -99,10 +110,10 @@ def bm25_scores(df: DataFrame, query: str, key: str = "row_no", text: str = "tex
 
 def bm25_top(df: DataFrame, query: str, k: int, namespace: str | None = None, key: str = "row_no") -> DataFrame:
     """The k best rows; with a namespace, those of the best 2k rows that lie in it, at most k."""
-    best = bm25_scores(df, query, key).orderBy(F.desc("score"), key).limit(2 * k)
+    hits = best(bm25_scores(df, query, key), 2 * k, key)
     if namespace is not None:
-        best = best.join(df.select(key, "namespace"), key).where(F.col("namespace") == namespace).select(key, "score")
-    return best.orderBy(F.desc("score"), key).limit(k)
+        hits = hits.join(df.select(key, "namespace"), key).where(F.col("namespace") == namespace).select(key, "score")
+    return best(hits, k, key)
 
 
 def postings(df: DataFrame, key: str = "row_no", text: str = "text") -> DataFrame:
@@ -198,7 +209,7 @@ def _fetched(df: DataFrame, hits: DataFrame, key: str, *more: str) -> DataFrame:
 
 
 def best_keywords(feats: DataFrame, query: str, k: int, key: str = "row_no") -> DataFrame:
-    return keyword_scores(feats, len(terms_of(query)), key).orderBy(F.desc("score"), key).limit(k)
+    return best(keyword_scores(feats, len(terms_of(query)), key), k, key)
 
 
 # The modes take the store, for what is fetched of candidates, and the features of the rows that count.
@@ -268,6 +279,6 @@ def batch_bm25(df: DataFrame, queries: DataFrame, k: int, key: str = "row_no") -
     scored = hits.join(F.broadcast(freq), "term").join(sizes, key).join(F.broadcast(q), "term")
     tf, total = F.col("tf").cast("double"), F.lit(stats.total)
     part = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.lit(stats.mean or 1.0)))
-    best = scored.groupBy("query_id", key).agg(F.sum(part).alias("score"))
+    sums = scored.groupBy("query_id", key).agg(F.sum(part).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import pytext as P
 from ..functions import text as X
+from .parallel import busy
 
 SLICE = [("id", "string"), ("layer", "int"), ("content", "string"), ("parent_id", "string"), ("children_ids", "array<string>"), ("keywords", "array<string>")]
 
@@ -38,7 +39,7 @@ def _rows_from(df: DataFrame, make, fields: list[tuple[str, str]], keep: list[st
             new = [pa.array([r[f.name] for r in made], f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(index) for k in keep), *new], schema.names)
 
-    return df.select(*dict.fromkeys([*keep, *needs])).mapInArrow(run, schema)
+    return busy(df.select(*dict.fromkeys([*keep, *needs]))).mapInArrow(run, schema)
 
 
 def _meta(text: str | None) -> dict:

@@ -167,7 +167,7 @@ def _(spark, base):
 # ---- keywords ------------------------------------------------------------------
 @R.add("r1_bm25_search", f"WITH {sql_bm25('mcp_documents')} SELECT row_no, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, row_no LIMIT 20")
 def _(spark, base):
-    return Q.bm25_scores(docs(spark, base, "row_no", "text"), QUERY).orderBy(F.desc("score"), "row_no").limit(20).select("row_no", F.round("score", 6).alias("score"))
+    return Q.best(Q.bm25_scores(docs(spark, base, "row_no", "text"), QUERY), 20).select("row_no", F.round("score", 6).alias("score"))
 
 
 @R.add("l5_bm25_namespace", f"""WITH {sql_bm25('mcp_documents')}, t AS (SELECT row_no, score FROM bm ORDER BY score DESC, row_no LIMIT 400)
