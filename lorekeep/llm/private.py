@@ -10,8 +10,9 @@ don't count.
 keyed stand-ins of the same type and format instead: equal people, numbers and
 addresses get equal stand-ins across all texts and spellings, different ones
 get different ones, and no stand-in is a value that occurs.  Digits stay
-digits, capitals stay capitals, order and disguise of the original are kept,
-and given names keep their ending's gender.
+digits, capitals stay capitals, order and disguise of the original are kept.
+Names keep their script and the gender that a title, the name or its ending
+shows; an initial is taken for the one full name of the text that it fits.
 
 Null texts give null; empty texts stay empty.
 """
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._given import gender, script, syllables
 from ._spark import cut, written
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
@@ -432,6 +434,45 @@ HEADS = "Ba Be Bo Ca Da De Do Fa Fe Ga Ha He Jo Ka Ke La Le Li Lo Ma Me Mi Na Ne
 TAILS = "bren dral fern gast hald jorn kest lorn mund nerd pold quist rand sted tand vard wick zell".split()
 
 
+# a title that shows the gender, before a name
+TITLE_BEFORE = re.compile(r"(?<!\w)(?:(?P<f>Frau|Pani|Señora|Sra\.|Mrs\.?|Ms\.?|Miss|[Dd]oña|Patientin)|(?P<m>Herrn?|Pan|Señor|Sr\.|Mr\.?|Sir|Don))[ ](?:(?:Dr|Prof|Ing)\.[ ])*$")
+COUNTRY = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
+STREET_WORD = re.compile(r"\w+(?:['’-]\w+)*")
+EN_KINDS = frozenset("street road lane avenue boulevard drive court crescent terrace close square place parkway highway st rd ln ave blvd dr".split())
+FIRST_KINDS = PL_WORDS | frozenset("calle avenida avda paseo plaza camino carrera c".split())
+DE_KIND_END = re.compile(r"(?i)(?:straße|strasse|str|gasse|allee|weg|platz|ring|damm|ufer)$")
+
+
+def national(value: str) -> str:
+    """The digits of a phone number without country code, leading zeros and extension."""
+    main = re.split(r"ext|x|durch|wew", value.lower())[0]
+    digits = "".join(c for c in main if c.isdigit())
+    if "+" in main or digits.startswith("00"):
+        abroad = digits.lstrip("0")
+        digits = abroad[m.end() :] if (m := COUNTRY.match(abroad)) else abroad
+    return digits.lstrip("0") or digits
+
+
+def street_names(words: list[str]) -> list[tuple[int, int]]:
+    """(number of the word, its length without a kind of street at its end) of the words that make up the name of a street."""
+    low = [w.lower() for w in words]
+    numbers = {i for i, w in enumerate(low) if any(c.isdigit() for c in w)}
+    aside = numbers | {i + 1 for i in numbers if i + 1 < len(low) and len(low[i + 1]) == 1}  # letters of numbers
+    length = [len(w) for w in words]
+    if 0 in numbers and low[1:2] and low[1] in ("rue", "impasse", "quai"):
+        inside = [i for i in range(2, len(low)) if i not in aside]
+    elif 0 in numbers:
+        end = len(low) - 2 if low[-2:-1] and low[-2] in ("apt", "flat", "unit", "suite") else len(low)
+        kind = next((i for i in range(end - 1, 0, -1) if low[i] in EN_KINDS), end)
+        return [(i, length[i]) for i in range(1, kind) if i not in aside] or [(i, length[i]) for i in range(1, kind)]
+    elif low and low[0] in FIRST_KINDS:
+        inside = [i for i in range(1, len(low)) if i not in aside]
+    else:
+        length = [len(DE_KIND_END.sub("", w)) for w in words]
+        inside = [i for i in range(len(low)) if i not in aside and length[i]]
+    return [(i, length[i]) for i in inside if low[i] not in PARTICLES and low[i] not in ("am", "an", "im")] or [(i, length[i]) for i in inside]
+
+
 def canonical_value(kind: str, value: str, given: set[str]) -> str:
     """One spelling for values that mean the same."""
     v = value.lower()
@@ -439,35 +480,71 @@ def canonical_value(kind: str, value: str, given: set[str]) -> str:
         v = re.sub(r"[ ]?[(\[{<][ ]?(?:at|@)[ ]?[)\]}>][ ]?|[ ]at[ ]|＠", "@", v)
         return re.sub(r"[ ]?[(\[{][ ]?(?:dot|\.)[ ]?[)\]}][ ]?|[ ]dot[ ]", ".", v)
     if kind == "phone":
-        return "".join(c for c in re.split(r"ext|x|durch|wew", v)[0] if c.isdigit())[-9:]
+        return national(v)
     if kind == "id_number":
         return "".join(c for c in v if c.isalnum())
     if kind == "street_address":
-        return " ".join(re.findall(r"\w+", v))
+        return " ".join(STREET_WORD.findall(v))
     if "," in v:
         last, first = v.split(",", 1)
         v = f"{first} {last}"
     toks = re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\.?", v)
     if len(toks) > 1 and toks[-1] in given and toks[0] not in given:
         toks = [toks[-1], *toks[:-1]]
-    return " ".join([toks[0].rstrip("."), *(t for t in toks[1:] if not t.endswith("."))]) if toks else v
+    return " ".join([toks[0].rstrip("."), *(t for t in toks[1:] if len(t.rstrip(".")) > 1 and not t.endswith("."))]) if toks else v
+
 
+def canonical_entities(text: str, entities: list[dict], given: set[str]) -> list[tuple[str, str | None]]:
+    """(canonical value, gender by title) of each entity of a text.
 
-def surrogate_value(key: str, kind: str, canon: str, attempt: int) -> str:
-    """A stand-in for a canonical value, in canonical spelling."""
+    An initial stands for the full given name if just one such name comes with
+    the same family name in the text.
+    """
+    canons = [canonical_value(e["kind"], e["value"], given) for e in entities]
+    full: dict[tuple[str, str], set[str]] = {}
+    people = [i for i, e in enumerate(entities) if e["kind"] == "person_name"]
+    for i in people:
+        first, _, family = canons[i].partition(" ")
+        if len(first) > 1:
+            full.setdefault((first[0], family), set()).add(canons[i])
+    out: list[tuple[str, str | None]] = [(c, None) for c in canons]
+    for i in people:
+        first, _, family = canons[i].partition(" ")
+        fits = full.get((first, family), ())
+        at = entities[i]["start_at"] - 1
+        m = TITLE_BEFORE.search(text[max(0, at - 30) : at])
+        out[i] = (next(iter(fits)) if len(fits) == 1 else canons[i], m.lastgroup if m else None)
+    return out
+
+
+def surrogate_value(key: str, kind: str, canon: str, attempt: int, sex: str | None = None) -> str:
+    """A stand-in for a canonical value, in canonical spelling; `sex` (f or m) goes before what the name tells."""
     s = _stream(key, kind, canon, str(attempt))
-    name = lambda: HEADS[next(s) % len(HEADS)] + TAILS[next(s) % len(TAILS)]
-    more = "".join(TAILS[next(s) % len(TAILS)] for _ in range(attempt // 2))
-    if kind in ("phone", "id_number"):
+
+    def pick(few):
+        return few[next(s) % len(few)]
+
+    def name(like: str, size: int = 1, of: str | None = None) -> str:
+        heads, tails, ends = (HEADS, TAILS, {"f": ("a",), "m": ("",), "n": ("e",)}) if (used := script(like)) == "LATIN" else syllables(used)
+        return pick(heads) + "".join(pick(tails) for _ in range(size)) + (pick(ends[of]) if of else "")
+
+    longer = attempt // 2
+    if kind == "phone":  # the first digit of a long number, its kind, stays
+        keep = len(canon) > 9
+        return "".join(c if keep and i == 0 else str(next(s) % 9 + 1 if i == 0 else next(s) % 10) for i, c in enumerate(canon))
+    if kind == "id_number":
         swap = lambda c: str(next(s) % 10) if c.isdigit() else chr(97 + next(s) % 26) if c.isalpha() else c
         return "".join(map(swap, canon))
     if kind == "email":
-        return f"{name()}.{name()}{more}@{name()}.example".lower()  # a domain that can't be owned
+        local = canon.split("@")[0]
+        return f"{name(local)}.{name(local, 1 + longer)}@{name('a')}.example".lower()  # a domain that can't be owned
     if kind == "street_address":
         number = "".join(str(next(s) % 9 + 1) for c in (re.findall(r"\d+", canon) or ["1"])[0])
-        return f"{number} {name()}{more}".lower()
-    first = name() + ("a" if canon.split(" ")[0].endswith("a") else "")
-    return f"{first} {name()}{TAILS[next(s) % len(TAILS)]}{more}".lower()
+        words = canon.split(" ")
+        names = street_names(words) or [(0, len(words[0]))]
+        return " ".join([number, *(name(words[i], 1 + (longer if j == len(names) - 1 else 0)) for j, (i, _) in enumerate(names))]).lower()
+    first, _, family = canon.partition(" ")
+    return f"{name(first, of=sex or gender(first))} {name(family or first, 2 + longer)}".lower()
 
 
 def _cased(like: str, word: str) -> str:
@@ -492,23 +569,29 @@ def render(kind: str, value: str, stand_in: str) -> str:
         local, _, domain = stand_in.partition("@")
         return _cased(value if value.isupper() else "a", local) + (at.group() if at else "@") + (dot.group() if dot else ".").join(_cased(value if value.isupper() else "a", d) for d in domain.split("."))
     if kind == "street_address":
-        number, stem = stand_in.split(" ", 1)
-        out, done = [], False
-        for w in value.split(" "):
-            bare = re.sub(r"(?i)(straße|strasse|str\.|gasse|allee|weg|platz|ring|damm|ufer)$", "", w.rstrip(","))
-            if any(c.isdigit() for c in w):
-                it = iter(number * (len(w) // max(1, len(number)) + 1))
-                out.append("".join(next(it) if c.isdigit() else c for c in w))
-            elif not done and bare[:1].isalpha() and bare.lower() not in PARTICLES and not re.fullmatch(r"(?i)ul\.|al\.|os\.|pl\.|calle|avenida|avda\.|paseo|plaza|camino|carrera|old|new|rue", w):
-                out.append(_cased(bare, stem) + w[len(bare) :])
-                done = True
-            else:
-                out.append(w)
-        return " ".join(out)
+        number, *stems = stand_in.split(" ")
+        words = list(STREET_WORD.finditer(value))
+        names = {i: (size, stems[j % len(stems)]) for j, (i, size) in enumerate(street_names([w.group() for w in words]))}
+        out, at = [], 0
+        for i, w in enumerate(words):
+            new = w.group()
+            if i in names:
+                size, stem = names[i]
+                new = _cased(new[:size], stem) + new[size:]
+            elif any(c.isdigit() for c in new):
+                it = iter(number * (len(new) // max(1, len(number)) + 1))
+                new = "".join(next(it) if c.isdigit() else c for c in new)
+            out += [value[at : w.start()], new]
+            at = w.end()
+        return "".join(out) + value[at:]
     first, last = stand_in.split(" ", 1)
     if "," in value:
         a, b = value.split(",", 1)
-        return _cased(a.split(" ")[-1], last) + "," + (" " if b.startswith(" ") else "") + _cased(b.strip().split(" ")[0], first)
+        given, *more = b.strip().split(" ")
+        lead = first[0].upper() + given[1:] if len(given.rstrip(".")) == 1 else _cased(given, first)
+        return _cased(a.split(" ")[-1], last) + "," + (" " if b.startswith(" ") else "") + " ".join([lead, *(t for t in more if len(t.rstrip(".")) == 1)])
+    if m := re.fullmatch(r"[^\W\d_]\.([^\W\d_].*)", value):  # an initial without blank after it
+        return first[0].upper() + "." + _cased(m.group(1).split(" ")[-1], last)
     toks = value.split(" ")
     lead = first[0] + "." if toks[0].endswith(".") and len(toks[0]) == 2 else first
     mid = [t for t in toks[1:-1] if t.endswith(".")]
@@ -519,17 +602,20 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, stand_in): a different stand-in for each different canonical value, none of which occurs.
 
     Values whose stand-in is taken, by a smaller value or by an original, try
-    again with the next attempt until none is left.
+    again with the next attempt until none is left.  `sex`, if there, is the
+    gender by title of each mention; it counts where all mentions agree.
     """
-    originals = cut(entities.select("kind", "canon").distinct())
+    said = F.col("sex") if "sex" in entities.columns else F.lit(None).cast("string")
+    people = entities.groupBy("kind", "canon").agg(F.min(said).alias("a"), F.max(said).alias("b"))
+    originals = cut(people.select("kind", "canon", F.when(F.col("a") == F.col("b"), F.col("a")).alias("sex")))
 
     def tried(df: DataFrame, attempt: int) -> DataFrame:
         def run(batches):
             for b in batches:
-                kinds, canons = b.column("kind").to_pylist(), b.column("canon").to_pylist()
-                yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("canon"), pa.array([surrogate_value(key, k, c, attempt) for k, c in zip(kinds, canons, strict=True)], pa.string())], ["kind", "canon", "stand_in"])
+                kinds, canons, sexes = (b.column(c).to_pylist() for c in ("kind", "canon", "sex"))
+                yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("canon"), pa.array([surrogate_value(key, k, c, attempt, x) for k, c, x in zip(kinds, canons, sexes, strict=True)], pa.string())], ["kind", "canon", "stand_in"])
 
-        return df.select("kind", "canon").mapInArrow(run, "kind string, canon string, stand_in string")
+        return df.select("kind", "canon", "sex").mapInArrow(run, "kind string, canon string, stand_in string")
 
     done, left, attempt = None, originals, 0
     while True:
@@ -539,7 +625,7 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
             free = free.join(done.select("kind", "stand_in"), ["kind", "stand_in"], "left_anti")
         free = cut(free.select("kind", "canon", "stand_in"))
         done = free if done is None else done.union(free)
-        left = cut(left.join(free, ["kind", "canon"], "left_anti").select("kind", "canon"))
+        left = cut(left.join(free, ["kind", "canon"], "left_anti").select("kind", "canon", "sex"))
         attempt += 1
         if not left.limit(1).count():
             return done
@@ -549,16 +635,20 @@ def surrogates(df: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "
     """`keys`, `text` and `out`: the text with keyed stand-ins.  `keys` identify a row."""
     names = _lexicon(lexicon)
     found = find(df.select(*keys, text), lexicon, text)
-    flat = found.where(F.size("entities") > 0).select(*keys, F.explode("entities").alias("e")).select(*keys, "e.*")
-    schema = T.StructType([*flat.schema.fields, T.StructField("canon", T.StringType())])
+    some = found.where(F.size("entities") > 0)
+    schema = T.StructType([*(some.schema[k] for k in keys), *(f for f in ENTITY.fields), T.StructField("canon", T.StringType()), T.StructField("sex", T.StringType())])
 
     def canon(batches):
         given = {g.lower() for g in names.value[0]}
         for b in batches:
-            c = [canonical_value(k, v, given) for k, v in zip(b.column("kind").to_pylist(), b.column("value").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c, pa.string())], schema.names)
-
-    occ = written(flat.mapInArrow(canon, schema), "entities")
+            texts, lists = b.column(text).to_pylist(), b.column("entities").to_pylist()
+            row = pa.array([i for i, es in enumerate(lists) for _ in es], pa.int64())
+            flat = [e for es in lists for e in es]
+            told = [c for t, es in zip(texts, lists, strict=True) for c in canonical_entities(t, es, given)]
+            cols = [pa.array([e["kind"] for e in flat], pa.string()), pa.array([e["start_at"] for e in flat], pa.int32()), pa.array([e["value"] for e in flat], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(row) for k in keys), *cols, *(pa.array([c[n] for c in told], pa.string()) for n in (0, 1))], schema.names)
+
+    occ = written(some.mapInArrow(canon, schema), "entities")
     table = surrogate_table(occ, key)
     rendered = T.StructType([*(df.schema[k] for k in keys), T.StructField("start_at", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("new", T.StringType())])
 

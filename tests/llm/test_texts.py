@@ -202,3 +202,52 @@ def test_repetitive_texts_take_linear_time():
         lookalike.canonical_texts([t])
         _words.words([t])
         assert time.perf_counter() - start < 5
+
+
+def test_stand_ins_keep_script_and_gender():
+    from lorekeep.llm import _given
+
+    def first(name, sex=None):
+        return private.surrogate_value("k", "person_name", name, 0, sex).split(" ")[0]
+
+    for n in ("ines", "ilse", "grace", "rose", "siobhan", "ysolde", "łucja"):
+        assert first(f"{n} banks").endswith("a")
+    for n in ("ravindra", "mark", "jürgen"):
+        assert not first(f"{n} banks").endswith(("a", "e"))
+    assert first("drew banks").endswith("e") and first("drew banks", "f").endswith("a") and not first("drew banks", "m").endswith(("a", "e"))
+    for name in ("иван петров", "мария петрова", "νίκος παππάς", "דוד כהן", "علي حسن", "山田 太郎", "김 민수", "გიორგი ბერიძე"):
+        new = private.surrogate_value("k", "person_name", name, 0)
+        assert [_given.script(w) for w in new.split(" ")] == [_given.script(w) for w in name.split(" ")] != ["LATIN", "LATIN"]
+    assert _given.script(private.surrogate_value("k", "street_address", "ul садовая 5", 0).split(" ")[1]) == "CYRILLIC"
+
+
+def test_initials_stand_for_the_full_name(spark):
+    lex = spark.createDataFrame([("Agata", "given"), ("Mark", "given"), ("May", "given"), ("Banks", "family")], "name_token string, role string")
+    rows = [(1, "Agata Banks wrote; A. Banks agreed; Banks, A. left"), (2, "A. Banks is alone"), (3, "Mark Banks and May Banks met M. Banks"), (4, "asked Frau Drew Banks")]
+    new = {r.k: r.clean for r in private.surrogates(spark.createDataFrame(rows, "k long, text string"), lex, ["k"]).collect()}
+    first, last = new[1].split(" wrote")[0].split(" ")
+    assert new[1] == f"{first} {last} wrote; {first[0]}. {last} agreed; {last}, {first[0]}. left"
+    assert last not in new[2]
+    assert private.canonical_value("person_name", "Banks, Agata M", set()) == "agata banks" == private.canonical_value("person_name", "AGATA M. BANKS", set())
+    assert private.render("person_name", "Banks, Agata M", "vasteda fajorn") == "Fajorn, Vasteda M"
+    mark, may, m = (new[3].split(" ")[i] for i in (1, 4, 7))
+    assert len({mark, may, m}) == 3  # open which of the two
+    assert new[4].split(" ")[2].endswith("a")  # by the title
+
+
+@pytest.mark.parametrize(("a", "b", "same"), [("+1 796 555 0158", "(796) 555-0158", True), ("0044 7700 900652", "07700 900652", True), ("+44 (0)20 7946 0040", "020 7946 0040", True), ("+33 1 99 00 07 40", "01 99 00 07 40", True), ("(646) 555-0161", "(746) 555-0161", False), ("+49 30 23125 432", "+49 40 23125 432", False)])
+def test_phones_are_told_by_the_national_number(a, b, same):
+    assert (private.canonical_value("phone", a, set()) == private.canonical_value("phone", b, set())) is same
+
+
+@pytest.mark.parametrize(
+    ("value", "kept", "gone"),
+    [
+        ("12 Saint Mary Street", "Street", "Saint Mary"), ("127 Old Marlow Rd, Apt 8", "Rd Apt", "Old Marlow"), ("9 Court Spring Lane", "Lane", "Court Spring"), ("5 O'Hara Hill Road", "Road", "O'Hara Hill"), ("Calle de los Telares Viejos, 65", "Calle de los", "Telares Viejos"),
+        ("ul. Jana Pawła 21/34", "ul", "Jana Pawła"), ("Lange Gartenstraße 114a", "straße", "Lange Garten"), ("12 rue Victor Hugo", "rue", "Victor Hugo"),
+    ],
+)
+def test_every_name_word_of_a_street_goes(value, kept, gone):
+    new = private.render("street_address", value, private.surrogate_value("k", "street_address", private.canonical_value("street_address", value, set()), 0))
+    assert all(w in new for w in kept.split(" ")) and not any(w in new for w in gone.split(" "))
+    assert len(new.split(" ")) == len(value.split(" ")) and [c for c in new if not c.isalnum() and c != "'"] == [c for c in value if not c.isalnum() and c != "'"]
