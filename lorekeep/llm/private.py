@@ -35,7 +35,8 @@ KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 MOST_NAMES = 1_000_000  # lexicon rows that may be sent to the executors
 
 # ---- patterns -------------------------------------------------------------
-_AT = r"(?:@|＠|[ ]?[(\[{<][ ]?(?i:at|@)[ ]?[)\]}>][ ]?)"
+_OPEN, _SHUT = r"[(\[{<][ ]?", r"[ ]?[)\]}>]"  # brackets of a disguised address
+_AT = rf"(?:@|＠|[ ]?{_OPEN}(?i:at|@){_SHUT}[ ]?)"
 _DOT = r"(?:\.|[ ]?[(\[{][ ]?(?i:dot|\.)[ ]?[)\]}][ ]?)"
 _LOCAL = r"(?<![\w.+%'-])[\w](?:[\w.+%'-]*[\w])?"
 _LABEL = r"[^\W_](?:[\w-]*[^\W_])?"
@@ -59,7 +60,7 @@ CALLED = re.compile(
     r"(?i:(?<!\w)(?:tel|phone|telefon|teléfono|mobile|mobil|cell|fax|call|sms|whatsapp|zadzwoń|llama al|rufen sie|answered on|number is|numer)[\"']?[.:]?[ \"']{0,3})$"
 )
 CALLED_NUMBER = re.compile(r"\+?\(?\d[\d ().-]{5,15}\d(?![\d:])")
-NUMBER_RUN = re.compile(r"[+(\d][\d() ./+-]{6,60}\d")  # where numbers of several digits may stand
+NUMBER_RUN = re.compile(r"[+(\d][\d() ./+-]{6,}+")  # where numbers of several digits may stand; as short as the shortest CALLED_NUMBER
 ID = re.compile(
     r"(?<![\w.#/+-])(?:\d{3}-\d{2}-\d{4}|\d{3}[ ]\d{2}[ ]\d{4}|\d{11}|\d{8}[ -]?[A-Z]|[XYZ][ -]?\d{7}[ -]?[A-Z]|[A-Z]{2}[ ]?\d{7})(?![\w/]|[.:-]\d|-\w)"
 )
@@ -97,12 +98,13 @@ NOT_NAME = TITLES | PARTICLES | frozenset(
 ORDINARY = frozenset("will may mark hope grace rose frank drew stone cross field page price banks bright lamb birch key".split())
 # second words of names of places and products
 NOT_FAMILY = frozenset("gate avenue street road lane drive court blvd project agent team server cluster".split())
-INTROS = ("patient ", "pacjent ", "dr. ", "prof. ", "herr ", "frau ", "pan ", "pani ", "señor ", "señora ", "sr. ", "sra. ", "mr ", "mr. ", "mrs ", "mrs. ", "ms. ", "reviewer was ", "assigned_to: ", "author: ", "spoke with ", "according to ", "thanks to ", "asked ", "reviewed by ", "by ", "from ", "cc ", "name\": \"", "name': '", "--\n", "-- \n")
-NAMED_IDS = ("ssn", "social security", "national id", "pesel", "dni", "nie", "nif", "passport", "paszport", "pasaporte", "ausweis", "id card")
-BRACKET_AT = ("(at)", "[at]", "{at}", "<at>", "( at", "[ at", "(@)", "[@]")
+INTROS = ("patient ", "pacjent ", "dr. ", "prof. ", "herr ", "frau ", "pan ", "pani ", "señor ", "señora ", "sr. ", "sra. ", "mr ", "mr. ", "mrs ", "mrs. ", "ms. ", "reviewer was ", "assigned_to: ", "author: ", "spoke with ", "according to ", "thanks to ", "asked ", "reviewed by ", "by ", "from ", "cc ", *(f"name{a}:{gap}{b}" for a in "\"'" for gap in ("", " ") for b in "\"'"), "--\n", "-- \n")
+NAMED_IDS = ("ssn", "social security", "national id", "pesel", "dni", "nie", "nif", "passport", "paszport", "pasaporte", "reisepass", "ausweis", "id card")
+BRACKET_AT = re.compile(rf"{_OPEN}at{_SHUT}")
 BEFORE_PERSON = re.compile(
-    r"(?:(?<!\w)(?:Patient|Pacjent|Dr\.|Prof\.|Herr|Frau|Pan|Pani|Señor|Señora|Sra?\.|Mrs?\.|Ms\.|Reviewer was|assigned_to:|Author:|I spoke with|spoke with|According to|thanks to|Thanks to|asked|reviewed by|by|from|cc)[ ]|[\"']name[\"']:[ ]?[\"']|(?<!\S)--[ ]?\n|\[\d\d:\d\d\][ ])"
+    r"(?:(?<!\w)(?:Patient|Pacjent|Dr\.|Prof\.|Herr|Frau|Pan|Pani|Señor|Señora|Sra?\.|Mrs?\.|Ms\.|Reviewer was|assigned_to:|Author:|I spoke with|spoke with|According to|thanks to|Thanks to|asked|reviewed by|by|from|cc)[ ]|[\"']name[\"']:[ ]?[\"']|(?<!\S)--[ ]?\n)"
 )
+CHAT_TIME = re.compile(r"\[\d\d:\d\d\][ ]")  # introduces a person, too
 TAIL = re.compile(r" \| | asked ")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _GAP = re.compile(r"[ \t\u00a0]{1,2}")
@@ -137,7 +139,7 @@ class Finder:
                 found.append((kind, s, e))
                 taken[s:e] = b"\1" * (e - s)
 
-        if "@" in low or "＠" in low or (" at " in low and " dot " in low) or any(b in low for b in BRACKET_AT):
+        if "@" in low or "＠" in low or (" at " in low and " dot " in low) or BRACKET_AT.search(low):
             for m in EMAIL.finditer(text):
                 add("email", m.start(), m.end())
         if any(k in low for k in NAMED_IDS):
@@ -145,7 +147,9 @@ class Finder:
                 add("id_number", m.start(1), m.end(1))
         runs = [m.span() for m in NUMBER_RUN.finditer(text)]
         for a, b in runs:
-            for m in PHONE.finditer(text, a, min(len(text), b + 16)):
+            for m in PHONE.finditer(text, a, min(len(text), b + 24)):  # an extension may follow
+                if m.start() >= b:  # of a later run, and maybe cut here
+                    break
                 n = sum(c.isdigit() for c in re.split(r"[ ]?(?:ext|x|Durch|wew)", m.group())[0])
                 if 9 <= n <= 15:
                     add("phone", m.start(), m.end())
@@ -198,6 +202,10 @@ class Finder:
             elif (m := BEFORE_PERSON.match(text, s)) or (s and text[s - 1] in "\"'" and (m := BEFORE_PERSON.match(text, s - 1))):
                 heads.add(m.end())
                 marks.append(m.end())
+        if ":" in text and "] " in text:
+            for m in CHAT_TIME.finditer(text):
+                heads.add(m.end())
+                marks.append(m.end())
         if not marks:
             return
         marks.sort()

@@ -251,3 +251,15 @@ def test_every_name_word_of_a_street_goes(value, kept, gone):
     new = private.render("street_address", value, private.surrogate_value("k", "street_address", private.canonical_value("street_address", value, set()), 0))
     assert all(w in new for w in kept.split(" ")) and not any(w in new for w in gone.split(" "))
     assert len(new.split(" ")) == len(value.split(" ")) and [c for c in new if not c.isalnum() and c != "'"] == [c for c in value if not c.isalnum() and c != "'"]
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [
+        ("call 5551234 now", "phone", "5551234"), ("write to name { at } host.org", "email", "name { at } host.org"), ("write to name < AT > host.org", "email", "name < AT > host.org"), ("write to name {at ] host.org", "email", "name {at ] host.org"),
+        ("Reisepass 12345678", "id_number", "12345678"), ('{"name":"mark varnholt"}', "person_name", "mark varnholt"), ("1 " * 28 + "1 / +44 (0)20 7946 0040 ext. 12", "phone", "+44 (0)20 7946 0040 ext. 12"),
+        ("07700 900785 tel.020 7946 0692", "phone", "020 7946 0692"), ("[20:33] Zorlan Varnholt: ok", "person_name", "Zorlan Varnholt"),
+    ],
+)
+def test_prefilters_keep_what_the_patterns_accept(text, kind, value):
+    assert (kind, value) in [(k, text[s:e]) for k, s, e in FINDER.spans(text)]
