@@ -16,10 +16,12 @@ from pyspark.sql import types as T
 
 from ..functions import pytext as P
 
-MOST_CHARS = 32_000  # longer texts are cut at a sentence end before they are embedded
+BATCH_CHARS = 128_000  # of a request
 
 
 class Embedder(Protocol):
+    """May have `most_chars`, the longest text it takes, None for no limit; without, it is half of `BATCH_CHARS`."""
+
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
@@ -30,6 +32,8 @@ class Reranker(Protocol):
 class HashedEmbedder:
     """FNV-1a of each lower-cased word, counted modulo the dimension, divided by the norm."""
 
+    most_chars = None
+
     def __init__(self, dim: int = 64):
         self.dim = dim
 
@@ -69,23 +73,41 @@ def _with_retries(call: Callable, texts: list[str], tries: int = 10, alone: int
     return [_with_retries(call, [t], alone)[0] for t in texts]
 
 
+def _within(text: str, most: int | None) -> list[str]:
+    """The text in pieces of at most `most` characters, at sentence ends where there are any."""
+    out, at = [], 0
+    while most is not None and len(text) - at > most:
+        out.append(P.cut_sentence(text[at : at + most + 1], most) or text[at : at + most])
+        at += len(out[-1])
+    return [*out, text[at:]]
+
+
+def _mean(vectors: list[list[float]], weights: list[int]) -> list[float]:
+    total = sum(weights)
+    return [sum(w * x for w, x in zip(weights, xs, strict=True)) / total for xs in zip(*vectors, strict=True)]
+
+
 def embedded(df: DataFrame, keep: list[str], text: str = "text", make: Callable[[], Embedder] = HashedEmbedder, out: str = "vector") -> DataFrame:
-    """`keep` and the vector of each text, in requests of at most 64 texts and 128,000 characters; null texts give null."""
+    """`keep` and the vector of each text, in requests of at most 64 texts and 128,000 characters; null texts give null.
+
+    A text too long for the embedder goes in pieces; its vector is their mean, weighted by length.
+    """
     schema = T.StructType([*(df.schema[k] for k in keep), T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches):
         model = make()
+        most = getattr(model, "most_chars", BATCH_CHARS // 2)
         for b in batches:
             texts = b.column(text).to_pylist()
-            there = [i for i, t in enumerate(texts) if t is not None]
-            cut = [P.cut_sentence(texts[i], MOST_CHARS) for i in there]
-            vectors: list = [None] * len(texts)
-            groups: dict[int, list[int]] = {}
-            for j, g in enumerate(P.embed_batches([len(t) for t in cut])):
-                groups.setdefault(g, []).append(j)
-            for js in groups.values():
-                for j, v in zip(js, _with_retries(model.embed, [cut[j] for j in js]), strict=True):
-                    vectors[there[j]] = v
+            pieces = [(i, p) for i, t in enumerate(texts) if t is not None for p in _within(t, most)]
+            got: dict[int, list] = {}
+            groups: dict[int, list[tuple[int, str]]] = {}
+            for ip, g in zip(pieces, P.embed_batches([len(p) for _, p in pieces], most_chars=BATCH_CHARS), strict=True):
+                groups.setdefault(g, []).append(ip)
+            for ips in groups.values():
+                for (i, p), v in zip(ips, _with_retries(model.embed, [p for _, p in ips]), strict=True):
+                    got.setdefault(i, []).append((v, len(p)))
+            vectors = [None if i not in got else got[i][0][0] if len(got[i]) == 1 else _mean(*zip(*got[i], strict=True)) for i in range(len(texts))]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(vectors, pa.list_(pa.float32()))], schema.names)
 
     return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)

@@ -173,3 +173,21 @@ def test_hashed_embedding_is_unit_length(spark):
     d = spark.createDataFrame([(1, "alpha beta"), (2, ""), (3, None), (4, "alpha beta")], "i int, text string")
     v = {r.i: r.vector for r in E.embedded(d, ["i"]).collect()}
     assert sum(x * x for x in v[1]) == pytest.approx(1) and v[1] == v[4] and v[3] is None and not any(v[2])
+
+
+def test_long_texts_are_embedded_whole(spark, monkeypatch):
+    long = "alpha beta. " * 3_500 + "omega " * 1_000  # 48,000 characters
+    d = spark.createDataFrame([(1, long), (2, None), (3, "")], "i int, text string")
+    v = {r.i: r.vector for r in E.embedded(d, ["i"]).collect()}
+    assert v[1] == pytest.approx(E.HashedEmbedder().embed([long])[0]) and v[2] is None and not any(v[3])
+
+    class Short:
+        most_chars = 20
+
+        def embed(self, texts):
+            assert all(len(t) <= 20 for t in texts)
+            return [[float(t.count("a")) / len(t), float(len(t))] for t in texts]
+
+    t = "One a. " * 9 + "a" * 50
+    assert "".join(E._within(t, 20)) == t
+    assert E.embedded(d.limit(0).union(spark.createDataFrame([(1, t)], "i int, text string")), ["i"], make=Short).first().vector[0] == pytest.approx(t.count("a") / len(t))
