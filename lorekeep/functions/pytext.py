@@ -334,12 +334,16 @@ def slices(content: str, meta: dict, fast: bool = False) -> list[dict]:
 
 
 # ---- JSON -----------------------------------------------------------------
-def json_text(value) -> str:
-    """Readable text of a JSON value: message fields, role and content, nested messages, observations, title."""
+def json_text(value, most_elements: int | None = None, most_messages: int | None = None, most_observations: int | None = None, most_chars: int | None = None) -> str:
+    """Readable text of a JSON value: message fields, role and content, nested messages, observations, title.
+
+    Limits, off by default: elements of an array, nested messages, observations, characters of a value without text.
+    """
+    within = lambda v: json_text(v, most_elements, most_messages, most_observations, most_chars)
     if isinstance(value, str):
         return value
     if isinstance(value, list):
-        return "\n".join(t for t in map(json_text, value[:20]) if t)
+        return "\n".join(t for t in map(within, value[:most_elements]) if t)
     if not isinstance(value, dict):
         return json.dumps(value)
     parts = [v for k in ("content", "text", "message", "summary", "description", "body") if isinstance(v := value.get(k), str) and v]
@@ -351,15 +355,15 @@ def json_text(value) -> str:
             parts += [f"{role}: {b['text']}" for b in content if isinstance(b, dict) and isinstance(b.get("text"), str)]
     for k in ("messages", "chat_messages"):
         if isinstance(value.get(k), list):
-            parts += [t for t in map(json_text, value[k][:50]) if size(t) > 10]
+            parts += [t for t in map(within, value[k][:most_messages]) if size(t) > 10]
     if isinstance(value.get("name"), str) and isinstance(value.get("observations"), list):
-        seen = [o for o in value["observations"] if isinstance(o, str)][:10]
+        seen = [o for o in value["observations"] if isinstance(o, str)][:most_observations]
         if seen:
             parts.append(f"{value['name']}: {'; '.join(seen)}")
     title = next((value[k] for k in ("title", "name", "uuid", "id") if isinstance(value.get(k), str)), "")
     if title and not any(title in p for p in parts):
         parts.insert(0, f"[{title}]")
-    return "\n".join(parts) if parts else json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True)[:5000]
+    return "\n".join(parts) if parts else json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True)[:most_chars]
 
 
 def json_kind(value) -> str:

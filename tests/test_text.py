@@ -106,3 +106,13 @@ def test_conversation_shapes():
     got = P.conversation_entries({"id": "x", "mapping": {"a": node("assistant", long + "2", 5.0), "b": node("user", long, 1), "c": {"message": None}, "d": {}}})
     assert [(e["role"], e["body"]) for e in got] == [("user", long), ("assistant", long + "2")]
     assert P.conversation_entries("text") == [] == P.conversation_entries({"messages": "no"})
+
+
+def test_json_texts_are_whole():
+    many = [f"element {i:03}" for i in range(70)]
+    assert P.json_text(many).split("\n") == many and P.json_text(many, most_elements=20).split("\n") == many[:20]
+    for k in ("messages", "chat_messages"):
+        assert P.json_text({k: many}).split("\n") == many and P.json_text({k: many}, most_messages=50).split("\n") == many[:50]
+    assert P.json_text({"name": "n", "observations": many}) == "n: " + "; ".join(many)
+    assert P.json_text({"messages": [many]}).split("\n") == many
+    assert len(P.json_text({"x": "y" * 6000})) == 6008 and len(P.json_text({"x": "y" * 6000}, most_chars=5000)) == 5000
