@@ -53,12 +53,25 @@ def slices(texts: list[str | None]):
         yield at, part
 
 
-_MANY_MARKS = re.compile("([\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f]{64})[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f]+")
+_HIGH = re.compile("[\u0300-\U0001ffff]{65}")  # all marks are above; much faster than _many_marks
+
+
+@cache
+def _many_marks() -> re.Pattern:
+    """Over 64 characters in a row that are marks or decompose to marks."""
+    top = 0x20000  # no marks with a combining class are assigned above
+    marks = [c for c in map(chr, range(0x300, top)) if unicodedata.combining(c) or (unicodedata.decomposition(c) and unicodedata.combining(unicodedata.normalize("NFKD", c)[0]))]
+    return re.compile(f"[{''.join(marks)}]{{65,}}")
+
+
+def _in_order(m: re.Match) -> str:
+    """The same marks by combining class, equal classes as they come; normalising alone would take their number squared."""
+    return "".join(sorted("".join(unicodedata.normalize("NFKD", c) for c in m.group()), key=unicodedata.combining))
 
 
 def _normal(t: str) -> str:
-    """NFKC; marks beyond 64 in a row are left out, as putting them in order would take their number squared."""
-    return t if t.isascii() else unicodedata.normalize("NFKC", _MANY_MARKS.sub(r"\1", t))
+    """NFKC."""
+    return t if t.isascii() else unicodedata.normalize("NFKC", _many_marks().sub(_in_order, t) if _HIGH.search(t) else t)
 
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

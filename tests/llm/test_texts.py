@@ -263,3 +263,16 @@ def test_every_name_word_of_a_street_goes(value, kept, gone):
 )
 def test_prefilters_keep_what_the_patterns_accept(text, kind, value):
     assert (kind, value) in [(k, text[s:e]) for k, s, e in FINDER.spans(text)]
+
+
+def test_long_runs_of_marks_are_normalised_whole():
+    import time
+
+    for t in ("e" + "\u0323" * 70 + "\u0302", "e" + "\u0301" * 70 + "\u0323", "a" + "\u0344\u0316" * 50 + "\u0323 b", "\u0f40" + "\u0f73" * 80, "x" + "\u0301" * 66 + "\u034f" + "\u0323\u0301" * 70):
+        assert _words._normal(t) == unicodedata.normalize("NFKC", t)
+        w, _ = _words.words([t])
+        assert len(w) == len(slow_words(t))
+    assert list(_words.words(["e" + "\u0301" * 70 + "\u0323\u0302"])[0]) == list(_words.words(["\u1eb9"])[0])
+    start = time.perf_counter()
+    _words.words(["é" + "\u0323\u0301" * 100_000, "\u0f40" + "\u0f73" * 100_000, "a" + "\u1dc4\u1dc2" * 100_000])
+    assert time.perf_counter() - start < 5
