@@ -10,13 +10,29 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset, as in tests."""
+    """The folder of this application in spark.checkpoint.dir, which all executors share; it is removed when the application ends.
+
+    Only on a local master, as in tests, a temporary folder stands in where
+    the setting is missing; elsewhere that raises.
+    """
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lorekeep-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
+    if getattr(sc, "_lorekeep_folder", None):
+        return sc._lorekeep_folder
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="lorekeep-")
+    folder = f"{root}/lorekeep-{sc.applicationId}-{uuid.uuid4().hex[:8]}"
+    own = not sc.getCheckpointDir()
+    if own:
+        sc.setCheckpointDir(root)
+    for made in (folder, *([sc.getCheckpointDir()] if own else [])):
+        path = sc._jvm.org.apache.hadoop.fs.Path(made)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    sc._lorekeep_folder = folder
     return folder
 
 
@@ -29,20 +45,18 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet into the shared folder and read again."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lorekeep-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def live(df: DataFrame, *keep: str) -> DataFrame:
-    """The live rows: non-empty id and namespace, and the smallest row_no of their key; `keep` are the columns wanted."""
-    best = F.struct("row_no", *[F.col(c) for c in keep])
-    return (
-        df.where((F.col("id") != "") & (F.col("namespace") != ""))
-        .groupBy("namespace", "id")
-        .agg(F.min_by(best, F.col("row_no")).alias("_best"))
-        .select("namespace", "_best.*")
-    )
+def live_keys(df: DataFrame, *keep: str) -> DataFrame:
+    """(namespace, row_no, keep) of the live rows: non-empty id and namespace, and the smallest row_no of their key.
+
+    `keep` should be numbers: then the choice is a hash aggregation that shuffles nothing else.
+    """
+    firsts = [F.min_by(c, "row_no").alias(c) for c in keep]
+    return df.where((F.col("id") != "") & (F.col("namespace") != "")).groupBy("namespace", "id").agg(F.min("row_no").alias("_first"), *firsts).select("namespace", F.col("_first").alias("row_no"), *keep)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -52,12 +66,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-MOST_BROADCAST_ROWS = 100_000
+MOST_BROADCAST_BYTES = 16 << 20
+
+
+def bytes_of(df: DataFrame) -> int:
+    """Bytes of the values of `df`, which must be cheap to read: lengths of texts, eight for others."""
+    size = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) + 4 if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in df.schema.fields), F.lit(0))
+    return df.agg(F.sum(size.cast("long"))).first()[0] or 0
 
 
 def small(df: DataFrame) -> DataFrame:
-    """`df`, which must be cheap to count, to be broadcast if it has few rows; larger ones are left to a shuffle."""
-    return F.broadcast(df) if df.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS else df
+    """`df`, which must be cheap to read, to be broadcast if it has at most MOST_BROADCAST_BYTES; larger ones are left to a shuffle."""
+    return F.broadcast(df) if bytes_of(df) <= MOST_BROADCAST_BYTES else df
 
 
 def in_parts(df: DataFrame, sizes: DataFrame) -> DataFrame:

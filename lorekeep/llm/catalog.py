@@ -20,6 +20,7 @@ def queries():
         "p2_surrogates": private.p2_surrogates,
         "p3_found": history.p3_found,
         "p3_decisions": history.p3_decisions,
+        "p3_batches": history.p3_batches,
         "p4_found": vectors.p4_found,
         "p4_neighbours": vectors.p4_neighbours,
         "p7_mix": mixing.p7_mix,

@@ -1,11 +1,13 @@
 """New batches against all history: immutable suffix arrays.
 
-Accepted texts are kept as segments.  A segment is one Parquet row: the
-concatenated words of some texts of one group as numbers of its own sorted
+Accepted texts are kept as segments.  A segment is one row of a Parquet table:
+the concatenated words of some texts of one group as numbers of its own sorted
 dictionary, a 0 behind each text, and the array of its suffixes in the order of
-their first words.  Segments are never changed; a batch adds its own, and two
-of one size class are merged into one of the next, so a text is merged a
-logarithmic number of times.
+their first words, all as bytes.  Segments are never changed.  Every batch adds
+a table of its own; a manifest names the tables that count.  FAN tables of one
+level are merged into one of the next, and segments that have reached the part
+size are never touched again, so a text is rewritten a logarithmic number of
+times.  A history is opened again from its folder alone.
 
 A record asks the segments of its group: every run of N words that the record
 has is looked up by binary search, and each interval of suffixes found names
@@ -13,32 +15,43 @@ the texts that hold the run.  A text at the wanted similarity shares at least
 that part of the record's runs, so the runs with the longest intervals, one
 less than that part, need not be expanded, and no text is lost.  The matches of
 a record and a text are then counted in full: their coverage, the shared runs
-by all runs of either, decides.
+by all runs of either, decides.  (The similarity counts runs of N words
+wherever they stand, so a longer match can't be made a condition.)
 
-Large groups are dealt to several segments of at most about PART_CHARS
-characters, and their records to blocks of ASK_CHARS; every block asks every
-segment, so no task holds a whole group.
+Tables are partitioned by a hash of the group; a batch reads the partitions of
+its groups only.  Large groups are dealt to several segments of at most about
+PART_CHARS characters, and their records to blocks of ASK_CHARS; every block
+asks every segment, so no task holds a whole group.
 """
 
 from __future__ import annotations
 
+import heapq
+import json
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import cut, in_parts, live, shared_folder, small, spread, written
+from ._spark import bytes_of, cut, in_parts, live_keys, shared_folder, small, spread, written
 from ._words import ID_BITS, runs, shingle_sets, slices, words
 
 DEPTH = 4  # words by which suffixes are put in order
-PART_CHARS, ASK_CHARS = 6 << 20, 64 << 20  # of the texts of one segment, and of the records that ask one in a task
+PART_CHARS, ASK_CHARS = 6 << 20, 16 << 20  # of the texts of one segment, and of the records that ask one in a task
 N = 3  # words of a run
+BUCKETS = 32  # partitions of the tables of a history
+FAN = 4  # tables of one level that are merged
+MOST_EDGES = 2_000_000  # links that one task settles in order
+ASK_BROADCAST = 32 << 20  # bytes of askers that are sent to all tasks; more are joined by a shuffle
+ARRAYS = {"keys": np.int64, "starts": np.int32, "dictionary": np.uint64, "text": np.int32, "suffixes": np.int32}
 SEGMENT = T.StructType([
-    T.StructField("g", T.StringType()), T.StructField("part", T.StringType()), T.StructField("level", T.IntegerType()),
-    T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("starts", T.ArrayType(T.IntegerType())),
-    T.StructField("dictionary", T.ArrayType(T.LongType())), T.StructField("text", T.ArrayType(T.IntegerType())), T.StructField("suffixes", T.ArrayType(T.IntegerType())),
+    T.StructField("g", T.StringType()), T.StructField("part", T.StringType()), T.StructField("words", T.IntegerType()),
+    *(T.StructField(c, T.BinaryType()) for c in ARRAYS), T.StructField("full", T.BooleanType()), T.StructField("b", T.IntegerType()),
 ])
+LINKS = T.StructType([T.StructField("k", T.LongType()), T.StructField("other", T.LongType())])
 
 
 def _all_words(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +67,6 @@ class Segment:
     def __init__(self, keys, starts, dictionary, text, suffixes):
         self.keys, self.starts, self.dictionary, self.text, self.suffixes = keys, starts, dictionary, text, suffixes
         self.padded = np.concatenate((text, np.zeros(DEPTH, np.int32)))
-        self._sets = None
 
     @classmethod
     def of_words(cls, keys: np.ndarray, w: np.ndarray, row: np.ndarray) -> Segment:
@@ -74,13 +86,12 @@ class Segment:
         order = np.argsort(rank, kind="stable")
         return cls(keys, starts, dictionary, text, order[text[order] > 0].astype(np.int32))
 
-    def sets(self) -> tuple[np.ndarray, np.ndarray]:
-        """Packed (text, run id) keys in order, and the number of different runs of each text."""
-        if self._sets is None:
-            inside = np.flatnonzero(self.text)
-            row = np.repeat(np.arange(len(self.keys)), np.diff(self.starts))[inside]
-            self._sets = packed_sets(self.dictionary[self.text[inside] - 1], row, len(self.keys))
-        return self._sets
+    def sets(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Packed (place in `docs`, run id) keys in order, and the number of different runs, of the texts `docs` (ascending)."""
+        size = self.starts[docs + 1] - self.starts[docs] - 1
+        row = np.repeat(np.arange(len(docs)), size)
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.starts[docs], size)
+        return packed_sets(self.dictionary[self.text[inside] - 1], row, len(docs))
 
     def intervals(self, number: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """[low, high) of the suffixes that begin with the `length` words at each position of `number` (word numbers)."""
@@ -142,8 +153,19 @@ class Segment:
             todo = todo[lo[todo] < hi[todo]]
         return lo
 
-    def record(self) -> list:
-        return [self.keys, self.starts, self.dictionary.view(np.int64), self.text, self.suffixes]
+    def row(self, g: str, part: str, most: int, bucket: int) -> dict:
+        """The segment as a row of SEGMENT; it is full from half of `most` words on."""
+        arrays = {c: np.ascontiguousarray(getattr(self, c), t).tobytes() for c, t in ARRAYS.items()}
+        return {"g": g, "part": part, "words": len(self.text), **arrays, "full": 2 * len(self.text) >= most, "b": bucket}
+
+    @classmethod
+    def of_row(cls, table, i: int) -> Segment:
+        return cls(*(np.frombuffer(table.column(c)[i].as_buffer(), t) for c, t in ARRAYS.items()))
+
+
+def _table(rows: list[dict]) -> pa.Table:
+    kinds = {"words": pa.int32(), "full": pa.bool_(), "b": pa.int32(), "g": pa.string(), "part": pa.string()}
+    return pa.table({c: pa.array([r[c] for r in rows], kinds.get(c, pa.binary())) for c in SEGMENT.names})
 
 
 def packed_sets(w: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,10 +219,11 @@ def similar(segment: Segment, w: np.ndarray, row: np.ndarray, rows: int, least:
         return none, none
     # exact similarity: the record's runs are looked up among the text's
     own, own_n = packed_sets(w, row, rows)
-    have, have_n = segment.sets()
+    docs, d = np.unique(d, return_inverse=True)
+    have, have_n = segment.sets(docs)
     # sizes alone rule out some
-    small, large = np.minimum(own_n[q], have_n[d]), np.maximum(own_n[q], have_n[d])
-    ok = small * least[1] >= large * least[0]
+    few, many = np.minimum(own_n[q], have_n[d]), np.maximum(own_n[q], have_n[d])
+    ok = few * least[1] >= many * least[0]
     q, d = q[ok], d[ok]
     begin = np.concatenate(([0], np.cumsum(own_n)))
     hits = np.zeros(len(q), np.int64)
@@ -213,116 +236,223 @@ def similar(segment: Segment, w: np.ndarray, row: np.ndarray, rows: int, least:
         j = np.minimum(np.searchsorted(have, key), len(have) - 1)
         hits[s : s + 4096] = np.add.reduceat((have[j] == key).astype(np.int64), np.cumsum(n) - n) if len(n) else 0
     ok = hits * least[1] >= (own_n[q] + have_n[d] - hits) * least[0]
-    return q[ok], d[ok]
+    return q[ok], docs[d[ok]]
+
 
+def parts_of(items: DataFrame, chars: int) -> DataFrame:
+    """(g, parts): how many segments the items (g, chars) of each group need."""
+    return items.groupBy("g").agg(F.ceil(F.sum(F.coalesce("chars", F.lit(0)) + 16) / chars).cast("int").alias("parts"))
 
-def _list(values: np.ndarray, kind) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
+def bucket_of(buckets: int):
+    return F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int")
 
-def _segment_table(g: str, part: str, level: int, s: Segment) -> pa.Table:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-    return pa.table([pa.array([g]), pa.array([part]), pa.array([level], pa.int32()), *(_list(v, k) for v, k in zip(s.record(), kinds, strict=True))], SEGMENT.names)
 
+def build(items: DataFrame, name: str, part_chars: int = PART_CHARS, buckets: int = BUCKETS, sizes: DataFrame | None = None) -> DataFrame:
+    """Segments of items (k long, g string, text string), dealt by key within a group; `sizes` (g, chars) may be given where it is cheaper to read."""
+    sizes = items.select("g", F.length("text").alias("chars")) if sizes is None else sizes
+    number = F.pmod(F.xxhash64(F.lit(3), "k"), F.col("parts")).cast("int")
+    dealt = in_parts(items, parts_of(sizes, part_chars)).select("k", "g", "text", number.alias("part"), bucket_of(buckets).alias("b"))
+    dealt = dealt.withColumn("s", F.pmod(F.col("part"), F.lit(1024)))
+    most = part_chars // 4
 
-def _segment(table: pa.Table, i: int = 0) -> Segment:
-    get = lambda c: np.asarray(table.column(c).combine_chunks().slice(i, 1).flatten())
-    return Segment(get("keys"), get("starts"), get("dictionary").view(np.uint64), get("text"), get("suffixes"))
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("k")
+        w, row = _all_words(t.column("text").to_pylist())
+        seg = Segment.of_words(t.column("k").to_numpy(), w, row)
+        return _table([seg.row(t.column("g")[0].as_py(), f"{name}.{t.column('part')[0].as_py()}", most, t.column("b")[0].as_py())])
 
+    # groups of one bucket come to one task, so a table has few files; the parts of a large group are spread
+    return spread(dealt, "b", "s").groupBy("b", "s", "g", "part").applyInArrow(run, SEGMENT)
 
-def parts_of(items: DataFrame, chars: int) -> DataFrame:
-    """(g, parts): how many segments the items (g, text) of each group need."""
-    return items.groupBy("g").agg(F.ceil(F.sum(F.length("text") + 16) / chars).cast("int").alias("parts"))
 
+class _Files:
+    """The few file operations that a manifest needs, on the file system of the folder."""
 
-def build(items: DataFrame, name: str = "0", part_chars: int = PART_CHARS) -> DataFrame:
-    """Segments of items (k long, g string, text string) with different texts per group."""
-    dealt = in_parts(items, parts_of(items, part_chars)).withColumn("part", F.concat(F.lit(name + "."), F.pmod(F.xxhash64(F.lit(3), "k"), F.col("parts")).cast("string"))).select("k", "g", "text", "part")
+    def __init__(self, spark, folder: str):
+        self.hadoop = spark._jvm.org.apache.hadoop.fs
+        self.fs = self.path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("k")
-        w, row = _all_words(t.column("text").to_pylist())
-        return _segment_table(t.column("g")[0].as_py(), t.column("part")[0].as_py(), 0, Segment.of_words(t.column("k").to_numpy(), w, row))
+    def path(self, p: str):
+        return self.hadoop.Path(p)
 
-    return spread(dealt, "g", "part").groupBy("g", "part").applyInArrow(run, SEGMENT)
+    def exists(self, p: str) -> bool:
+        return self.fs.exists(self.path(p))
+
+    def names(self, p: str) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self.path(p))] if self.exists(p) else []
+
+    def read(self, p: str) -> str:
+        stream = self.fs.open(self.path(p))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def create(self, p: str, text: str) -> None:
+        """Write a file that must not exist yet; it appears whole or not at all."""
+        tmp = f"{p}.{uuid.uuid4().hex}.tmp"
+        stream = self.fs.create(self.path(tmp), False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if self.exists(p) or not self.fs.rename(self.path(tmp), self.path(p)):
+            self.fs.delete(self.path(tmp), False)
+            raise RuntimeError(f"another writer made {p}")
+
+    def delete(self, p: str) -> None:
+        self.fs.delete(self.path(p), True)
 
 
 class History:
-    """Segments in a folder: `add` appends, `screen` asks, `compact` merges."""
+    """Segments in a folder: `add` appends a batch, `screen` asks, `compact` merges.
+
+    `folder` holds `data/d=<table>/full=<bool>/b=<bucket>` and `manifest/<version>.json`;
+    the newest manifest names the tables with their levels, the batches that are in, and the settings.
+    A writer that loses a race to the next manifest raises, and its table is ignored.
+    """
+
+    def __init__(self, spark, folder: str, least=(8, 10), part_chars: int = PART_CHARS, buckets: int = BUCKETS):
+        self.spark, self.folder, self.least = spark, folder, least
+        self.files = _Files(spark, folder)
+        state = self._newest()
+        self.part_chars, self.buckets = state.get("part_chars", part_chars), state.get("buckets", buckets)
 
-    def __init__(self, spark, folder: str, least=(8, 10), part_chars: int = PART_CHARS):
-        self.spark, self.folder, self.least, self.part_chars, self.number = spark, folder, least, part_chars, 0
+    def _newest(self) -> dict:
+        versions = sorted(n for n in self.files.names(f"{self.folder}/manifest") if n.endswith(".json"))
+        return json.loads(self.files.read(f"{self.folder}/manifest/{versions[-1]}")) if versions else {"version": 0, "tables": [], "batches": []}
 
-    def add(self, items: DataFrame) -> None:
-        """Append segments of accepted items (k, g, text)."""
-        build(items, str(self.number), self.part_chars).write.mode("append").parquet(self.folder)
-        self.number += 1
+    def _commit(self, state: dict, tables: list, batches: list) -> None:
+        new = {"version": state["version"] + 1, "tables": tables, "batches": batches, "part_chars": self.part_chars, "buckets": self.buckets}
+        self.files.create(f"{self.folder}/manifest/{new['version']:09d}.json", json.dumps(new))
+
+    def _write(self, segments: DataFrame, level: int) -> list:
+        """Write a table; its entries for the manifest (path, level), -1 for full segments."""
+        path = f"{self.folder}/data/d=t{uuid.uuid4().hex}"
+        segments.write.partitionBy("full", "b").parquet(path)
+        return [[p, lv] for p, lv in ((f"{path}/full=true", -1), (f"{path}/full=false", level)) if self.files.exists(p)]
+
+    def _read(self, tables: list) -> DataFrame:
+        if not tables:
+            return self.spark.createDataFrame([], SEGMENT)
+        return self.spark.read.schema(SEGMENT).option("basePath", f"{self.folder}/data").parquet(*(p for p, _ in tables))
+
+    def batches(self) -> list[str]:
+        return self._newest()["batches"]
 
     def segments(self) -> DataFrame:
-        return self.spark.read.schema(SEGMENT).parquet(self.folder)
+        return self._read(self._newest()["tables"])
+
+    def add(self, items: DataFrame, batch: str | None = None, sizes: DataFrame | None = None) -> None:
+        """Append accepted items (k, g, text); a batch that is in already is left out, so a repeated attempt does no harm."""
+        state = self._newest()
+        batch = batch or uuid.uuid4().hex
+        if batch not in state["batches"]:
+            made = self._write(build(items, batch, self.part_chars, self.buckets, sizes), 0)
+            self._commit(state, [*state["tables"], *made], [*state["batches"], batch])
+
+    def _asks(self, asked: DataFrame) -> DataFrame:
+        """(b, g, block, keys, counts, words): the words of the asking records (k, g, text), in blocks of a bounded size."""
+        sizes = asked.select("g", F.length("text").alias("chars"))
+        dealt = in_parts(asked.select("k", "g", "text"), parts_of(sizes, ASK_CHARS)).withColumn("block", F.pmod(F.xxhash64(F.lit(7), "k"), F.col("parts")).cast("int")).drop("parts").withColumn("b", bucket_of(self.buckets))
+
+        def run(t: pa.Table) -> pa.Table:
+            w, row = _all_words(t.column("text").to_pylist())
+            count = np.bincount(row, minlength=t.num_rows).astype(np.int32)
+            one = [t.column(c)[:1] for c in ("b", "g", "block")]
+            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (t.column("k").to_numpy(), count, w)]
+            return pa.table([*one, *blobs], ["b", "g", "block", "keys_", "counts_", "words_"])
+
+        return written(spread(dealt, "g", "block").groupBy("b", "g", "block").applyInArrow(run, "b int, g string, block int, keys_ binary, counts_ binary, words_ binary"), "asks")
 
     def screen(self, asked: DataFrame) -> DataFrame:
-        """(k, other): for each asked record (k, g, text) the texts of its group at the least similarity.
+        """(k, other): for each asking record (k, g, text) the texts of its group at the least similarity.
 
-        Only the segments of the groups that are asked for are read into tasks.
+        Only the partitions of the groups that are asked for are read.  Words
+        of the askers, not their texts, go to the segments; segments are only
+        shuffled where the askers are more than ASK_BROADCAST bytes.
         """
         least = self.least
-        parts = self.segments().select("g", "part")
-        asked = in_parts(asked.select("k", "g", "text"), parts_of(asked, ASK_CHARS)).withColumnRenamed("parts", "blocks")
-        ask = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "k"), F.col("blocks")).cast("int")).drop("blocks").join(parts, "g")
-        out = T.StructType([T.StructField("k", T.LongType()), T.StructField("other", T.LongType())])
-
-        def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            ks, os = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            if left.num_rows and right.num_rows:
-                seg = _segment(left)
-                keys = right.column("k").to_numpy()
-                for first, texts in slices(right.column("text").to_pylist()):
-                    w, row = words(texts)
-                    q, d = similar(seg, w, row, len(texts), least)
-                    ks.append(keys[first + q])
-                    os.append(seg.keys[d])
-            return pa.table({"k": np.concatenate(ks), "other": np.concatenate(os)})
-
-        # a segment goes to each block of askers of its group
-        groups = cut(asked.groupBy("g").agg(F.max("blocks").alias("blocks")))
-        wanted = self.segments().join(small(groups), "g").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        by = ("g", "part", "block")
-        return spread(wanted, *by).groupBy(*by).cogroup(spread(ask, *by).groupBy(*by)).applyInArrow(run, out)
-
-    def compact(self, folder: str) -> History:
-        """A history in `folder` with the segments of each group merged, two of one level at a time, up to the part size."""
+        asks = self._asks(asked)
+        buckets = sorted(r.b for r in asks.select("b").distinct().collect())  # at most `buckets` numbers
+        if not buckets:
+            return self.spark.createDataFrame([], LINKS)
+        wanted = self.segments().where(F.col("b").isin(buckets))
+        if bytes_of(asks) <= ASK_BROADCAST:
+            both = wanted.join(F.broadcast(asks.drop("b")), "g")
+        else:  # a block goes to each segment of its group
+            parts = self._parts(buckets)
+            both = wanted.join(asks.join(parts, ["b", "g"]), ["b", "g", "part"])
+
+        def run(batches):
+            last, seg = None, None
+            for t in batches:
+                ks, os = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for i in range(t.num_rows):
+                    this = (t.column("g")[i], t.column("part")[i])
+                    if this != last:
+                        last, seg = this, Segment.of_row(t, i)
+                    keys, count, w = (np.frombuffer(t.column(c)[i].as_buffer(), d) for c, d in (("keys_", np.int64), ("counts_", np.int32), ("words_", np.uint64)))
+                    begin = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
+                    s = 0
+                    while s < len(keys):  # some 128,000 words at a time
+                        e = max(s + 1, int(np.searchsorted(begin, begin[s] + (1 << 17), "right")) - 1)
+                        q, d = similar(seg, w[begin[s] : begin[e]], np.repeat(np.arange(e - s), count[s:e]), e - s, least)
+                        ks.append(keys[s + q])
+                        os.append(seg.keys[d])
+                        s = e
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks)), pa.array(np.concatenate(os))], LINKS.names)
+
+        return both.select("g", "part", *ARRAYS, "keys_", "counts_", "words_").mapInArrow(run, LINKS)
+
+    def _parts(self, buckets: list[int]) -> DataFrame:
+        return self.segments().where(F.col("b").isin(buckets)).select("b", "g", "part")
+
+    def compact(self, fan: int = FAN) -> None:
+        """Merge `fan` or more tables of one level into one of the next, until no level has so many.
+
+        Only segments under the part size are read and written again; those of
+        a group are merged two at a time, the smallest first.
+        """
         most = self.part_chars // 4  # words
-
-        def run(t: pa.Table) -> pa.Table:
-            levels: dict[int, tuple[str, Segment]] = {}
-            done: list[tuple[str, int, Segment]] = []
-            for i in range(t.num_rows):
-                part, level, seg = t.column("part")[i].as_py(), t.column("level")[i].as_py(), _segment(t, i)
-                while level in levels and len(seg.text) + len(levels[level][1].text) <= most:
-                    p, s = levels.pop(level)
-                    part, seg, level = f"{p}+{part}", s.merged(seg), level + 1
-                if level in levels:
-                    done.append((part, level, seg))
-                else:
-                    levels[level] = (part, seg)
-            done += [(p, lv, s) for lv, (p, s) in levels.items()]
-            return pa.concat_tables([_segment_table(t.column("g")[0].as_py(), p, lv, s) for p, lv, s in done])
-
-        # whole segments of about the part size stay as they are, and only small ones come together in a task
-        size = F.size("text")
-        segs = self.segments()
-        segs.where(size > most // 2).write.parquet(folder)
-        small = segs.where(size <= most // 2)
-        many = small.groupBy("g").agg(F.ceil(F.sum(size) / most).cast("int").alias("bins"))
-        binned = small.join(many, "g").withColumn("bin", F.pmod(F.xxhash64("part"), F.col("bins"))).drop("bins")
-        binned.groupBy("g", "bin").applyInArrow(lambda t: run(t.drop_columns(["bin"]).sort_by("part")), SEGMENT).write.mode("append").parquet(folder)
-        new = History(self.spark, folder, self.least, self.part_chars)
-        new.number = self.number
-        return new
-
-
-def among(records: DataFrame, least=(8, 10), part_chars: int = PART_CHARS, ask_chars: int = ASK_CHARS) -> DataFrame:
+        while True:
+            state = self._newest()
+            levels = [lv for _, lv in state["tables"]]
+            level = min((lv for lv in levels if lv >= 0 and levels.count(lv) >= fan), default=None)
+            if level is None:
+                return
+            old = [e for e in state["tables"] if e[1] == level]
+            segs = self._read(old)
+            many = cut(segs.groupBy("g").agg(F.ceil(F.sum("words") / most).cast("int").alias("parts")).where("parts > 1"))
+            bins = segs.join(small(many), "g", "left").withColumn("bin", F.pmod(F.xxhash64("part"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts", "full")
+
+            def run(t: pa.Table) -> pa.Table:
+                g, bucket = t.column("g")[0].as_py(), t.column("b")[0].as_py()
+                # the part name settles equal sizes, so a repeated task gives the same
+                left = [(w, p, i) for i, (w, p) in enumerate(zip(t.column("words").to_pylist(), t.column("part").to_pylist(), strict=True))]
+                heapq.heapify(left)
+                made: dict[str, Segment] = {}
+                take = lambda p, i: made.pop(p) if p in made else Segment.of_row(t, i)
+                while len(left) > 1 and left[0][0] + left[1][0] <= most:
+                    (_, p, i), (_, q, j) = heapq.heappop(left), heapq.heappop(left)
+                    new = take(p, i).merged(take(q, j))
+                    name = uuid.uuid5(uuid.NAMESPACE_OID, f"{p} {q}").hex
+                    made[name] = new
+                    heapq.heappush(left, (len(new.text), name, -1))
+                return _table([take(p, i).row(g, p, most, bucket) for _, p, i in sorted(left, key=lambda x: x[1])])
+
+            merged = spread(bins, "b", "bin").groupBy("b", "bin", "g").applyInArrow(run, SEGMENT)
+            made = self._write(merged, level + 1)
+            self._commit(state, [*(e for e in state["tables"] if e not in old), *made], state["batches"])
+
+    def vacuum(self) -> None:
+        """Delete tables that no manifest in force names; no reader or writer may be at work on them."""
+        used = {p.split("/d=")[1].split("/")[0] for p, _ in self._newest()["tables"]}
+        for name in self.files.names(f"{self.folder}/data"):
+            if name.startswith("d=") and name[2:] not in used:
+                self.files.delete(f"{self.folder}/data/{name}")
+
+
+def among(records: DataFrame, least=(8, 10), part_chars: int = PART_CHARS, ask_chars: int = 4 * ASK_CHARS) -> DataFrame:
     """(k, other): for each record (k, g, batch, text) the earlier ones of its group at the least similarity.
 
     Records of a large group are dealt to parts, and all of them ask each part,
@@ -331,7 +461,7 @@ def among(records: DataFrame, least=(8, 10), part_chars: int = PART_CHARS, ask_c
     those before, then itself, and adds its own segment, which is merged with
     others of its size class.
     """
-    base = in_parts(records, parts_of(records, part_chars))
+    base = in_parts(records, parts_of(records.select("g", F.length("text").alias("chars")), part_chars))
     home = F.pmod(F.xxhash64(F.lit(5), "k"), F.col("parts")).cast("int")
     blocks = F.ceil(F.col("parts") * F.lit(part_chars / ask_chars)).cast("int")
     mine = F.pmod(F.xxhash64(F.lit(7), "k"), F.col("blocks")).cast("int")
@@ -340,7 +470,6 @@ def among(records: DataFrame, least=(8, 10), part_chars: int = PART_CHARS, ask_c
     kept = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*cols, F.col("home").alias("part"), "block", F.lit(True).alias("kept"), (F.col("block") == F.col("mine")).alias("asks"))
     away = base.where("parts > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("part != home").select(*cols, "part", F.col("mine").alias("block"), F.lit(False).alias("kept"), F.lit(True).alias("asks"))
     dealt = kept.unionByName(away)
-    out = T.StructType([T.StructField("k", T.LongType()), T.StructField("other", T.LongType())])
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("batch", "ascending"), ("k", "ascending")])
@@ -369,23 +498,34 @@ def among(records: DataFrame, least=(8, 10), part_chars: int = PART_CHARS, ask_c
             segments.append((level, own))
         return pa.table({"k": np.concatenate(ks), "other": np.concatenate(os)})
 
-    return spread(dealt, "g", "part", "block").groupBy("g", "part", "block").applyInArrow(run, out)
+    return spread(dealt, "g", "part", "block").groupBy("g", "part", "block").applyInArrow(run, LINKS)
 
 
-def greedy_cases(edges: DataFrame) -> DataFrame:
+def greedy_cases(edges: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
     """(k): the records to turn away, if in order a record is turned away when an earlier one it is linked to (other) is not.
 
-    Each round settles the records whose earlier partners are settled; edges of
-    settled records leave.  Only the number of edges left comes to the driver.
+    Up to `most_edges` links are settled in order by one task.  As long as there
+    are more, a round settles the records whose earlier partners are settled,
+    and edges of settled records leave.  Only the number of edges left comes to
+    the driver.
     """
     edges = cut(edges.distinct())
-    out = None
-    while edges.limit(1).count():
+    out = edges.select("k").limit(0)
+    while edges.count() > most_edges:
         free = edges.select(F.col("other").alias("k")).distinct().join(edges.select("k"), "k", "left_anti").select(F.col("k").alias("other"))
         gone = cut(edges.join(free, "other", "left_semi").select("k").distinct())
         edges = cut(edges.join(gone, "k", "left_anti").join(gone.select(F.col("k").alias("other")), "other", "left_anti"))
-        out = gone if out is None else out.union(gone)
-    return edges.select("k").limit(0) if out is None else out
+        out = out.union(gone)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("k", "ascending")])
+        gone: set[int] = set()
+        for k, o in zip(t.column("k").to_pylist(), t.column("other").to_pylist(), strict=True):
+            if o not in gone:
+                gone.add(k)
+        return pa.table({"k": pa.array(sorted(gone), pa.int64())})
+
+    return out.union(edges.groupBy(F.lit(1).alias("_all")).applyInArrow(run, "k long"))
 
 
 def _run_counts(df: DataFrame, text: str) -> DataFrame:
@@ -400,37 +540,65 @@ def _run_counts(df: DataFrame, text: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def screen_batches(store: DataFrame, records: DataFrame, least=(7, 10), part_chars: int = PART_CHARS) -> DataFrame:
+def _texts_hash(text: str = "text"):
+    """128 bits that stand for a text wherever equal texts are looked for."""
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
+
+
+def new_texts(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(firsts, copies) of records (k, g, batch, text) with words to compare.
+
+    firsts: the first record of equal texts of a group, (k, g, batch, text); copies: (k, first) for the others.
+    """
+    known = records.where(F.col("g").isNotNull() & F.col("text").isNotNull()).select("k", "g", "batch", _texts_hash().alias("h"))
+    named = known.join(known.groupBy("g", "h").agg(F.min(F.struct("batch", "k")).alias("f")), ["g", "h"]).select("k", "g", "batch", F.col("f.k").alias("first"))
+    named = cut(named)
+    firsts = records.select("k", "text").join(named.where("k = first").select("k", "g", "batch"), "k").select("k", "g", "batch", "text")
+    firsts = cut(_run_counts(firsts, "text").where("runs > 0").drop("runs"))
+    copies = named.where("k != first").join(firsts.select(F.col("k").alias("first")), "first", "left_semi").select("k", "first")
+    return firsts, copies
+
+
+def screen_batches(history: History, records: DataFrame) -> DataFrame:
     """(k, duplicate_of): records turned away, and one text they repeat (a stored key, or null where it is an earlier record).
 
-    store: (k, g, text), records: (k, g, batch, text); keys of records must
-    rise with their order inside a batch, batches come in the order of `batch`.
-    Null groups and texts without a run of three words repeat nothing.
-    The first record of equal texts decides for all: the others are turned away
+    records: (k, g, batch, text), of one batch or of several that wait; keys
+    must rise with their order inside a batch, batches come in the order of
+    `batch`, and all waiting batches are screened in one pass over the history.
+    Null groups and texts without a run of three words repeat nothing.  The
+    first record of equal texts decides for all: the others are turned away
     whether it is or not.
     """
-    spark = store.sparkSession
-    folder = shared_folder(spark)
-    import uuid
-
-    texts = store.where(F.col("g").isNotNull() & F.col("text").isNotNull()).groupBy("g", "text").agg(F.min("k").alias("k"))
-    history = History(spark, f"{folder}/lorekeep-history-{uuid.uuid4().hex}", least, part_chars)
-    history.add(written(texts.select("k", "g", "text"), "texts"))  # read twice, for the sizes and for the segments
-    records = records.where(F.col("g").isNotNull() & F.col("text").isNotNull())
-    firsts = records.groupBy("g", "text").agg(F.min(F.struct("batch", "k")).alias("first"), F.count("*").alias("n"))
-    firsts = cut(_run_counts(firsts.select("first.*", "g", "text", "n"), "text").where("runs > 0"))
+    firsts, copies = new_texts(records)
     stored = cut(history.screen(firsts).groupBy("k").agg(F.min("other").alias("duplicate_of")))
-    fresh = firsts.join(stored, "k", "left_anti").select("k", "g", "batch", "text")
-    later = greedy_cases(among(fresh, least, part_chars)).select("k", F.lit(None).cast("long").alias("duplicate_of"))
-    copies = records.join(firsts.where("n > 1").select(F.col("k").alias("first"), "g", "text"), ["g", "text"]).where(F.col("k") != F.col("first")).select("k", F.lit(None).cast("long").alias("duplicate_of"))
-    return stored.union(later).union(copies)
+    fresh = firsts.join(stored, "k", "left_anti")
+    none = F.lit(None).cast("long").alias("duplicate_of")
+    later = greedy_cases(among(fresh, history.least, history.part_chars)).select("k", none)
+    return stored.union(later).union(copies.select("k", none))
+
+
+LEAST = (7, 10)
 
 
-def _here(spark, base):
-    docs = live(spark.read.parquet(f"{base}/mcp_documents.parquet").select("row_no", "id", "namespace", "layer", "text"), "layer", "text")
-    store = docs.where(F.col("layer").isin(0, 4)).select(F.col("row_no").alias("k"), F.col("namespace").alias("g"), "text")
+def store_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((k, g, text), (g, chars)) of the live rows of layer 0 or 4, one row for equal texts of a namespace.
+
+    The choice is made on numbers; texts are read once more for the rows chosen.
+    """
+    h = [F.xxhash64(F.lit(i), "text").alias(f"h{i}") for i in (0, 1)]
+    keys = live_keys(docs.select("id", "namespace", "row_no", "layer", F.length("text").alias("chars"), *h), "layer", "chars", "h0", "h1").where(F.col("layer").isin(0, 4) & F.col("chars").isNotNull())
+    keys = written(keys.groupBy("namespace", "h0", "h1").agg(F.min("row_no").alias("k"), F.min("chars").alias("chars")).select("k", F.col("namespace").alias("g"), "chars"), "texts")
+    items = docs.select(F.col("row_no").alias("k"), "text").join(keys.select("k", "g"), "k").select("k", "g", "text")
+    return items, keys.select("g", "chars")
+
+
+def _here(spark, base) -> tuple[History, DataFrame]:
+    """A history of the stored rows, in a folder of this run, and the records."""
+    history = History(spark, f"{shared_folder(spark)}/history-{uuid.uuid4().hex}", LEAST)
+    items, sizes = store_texts(spark.read.parquet(f"{base}/mcp_documents.parquet").select("row_no", "id", "namespace", "layer", "text"))
+    history.add(items, "stored", sizes)
     records = spark.read.parquet(f"{base}/import_records.parquet").select(F.col("rec_no").alias("k"), F.col("namespace").alias("g"), F.col("batch_no").alias("batch"), "text")
-    return store, records
+    return history, records
 
 
 def p3_found(spark, base) -> DataFrame:
@@ -439,7 +607,30 @@ def p3_found(spark, base) -> DataFrame:
 
 def p3_decisions(spark, base) -> DataFrame:
     """Every import record with its decision and, where it repeats a stored row, that row."""
-    store, records = _here(spark, base)
-    cases = screen_batches(store, records).select(F.col("k").alias("rec_no"), "duplicate_of", F.lit(False).alias("accepted"))
+    history, records = _here(spark, base)
+    cases = screen_batches(history, records).select(F.col("k").alias("rec_no"), "duplicate_of", F.lit(False).alias("accepted"))
     all_ = spark.read.parquet(f"{base}/import_records.parquet").select("rec_no", "batch_no")
     return all_.join(cases, "rec_no", "left").select("rec_no", "batch_no", F.coalesce("accepted", F.lit(True)).alias("accepted"), "duplicate_of")
+
+
+def take_batch(history: History, records: DataFrame, batch: str) -> DataFrame:
+    """(k): the records of one batch that are turned away; the others are added to the history, which is compacted where that is due.
+
+    `records` are (k, g, batch, text).  Accepted texts without a run of three words, and copies, add nothing.
+    """
+    cases = cut(screen_batches(history, records).select("k"))
+    firsts = records.where(F.col("g").isNotNull() & F.col("text").isNotNull()).join(cases, "k", "left_anti").select("k", "g", "text")
+    history.add(firsts, batch)
+    history.compact()
+    return cases
+
+
+def p3_batches(spark, base) -> DataFrame:
+    """The decisions when the batches come one after the other, each to the history opened again from its folder."""
+    history, records = _here(spark, base)
+    out = None
+    for (no,) in sorted(tuple(r) for r in records.select("batch").where("batch is not null").distinct().collect()):  # one number a batch
+        again = History(spark, history.folder, history.least)
+        cases = take_batch(again, records.where(F.col("batch") == no), f"import-{no}").select(F.col("k").alias("rec_no"), F.lit(no).alias("batch_no"))
+        out = cases if out is None else out.union(cases)
+    return out if out is not None else spark.createDataFrame([], "rec_no long, batch_no int")

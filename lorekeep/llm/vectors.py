@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import in_parts, live, spread, written
+from ._spark import in_parts, live_keys, spread, written
 
 M = 12  # neighbours chosen per node; layer 0 keeps up to twice as many
 BUILD_BEAM, SEARCH_BEAM, EXPAND = 40, 40, 4
@@ -270,8 +270,9 @@ def nearest(rows: DataFrame, k: int = 5, dim: int = 64, key="row_no", group="nam
 
 
 def store_vectors(spark, base) -> DataFrame:
+    """(namespace, row_no, vector) of the live rows; they are chosen on keys, before vectors are read."""
     docs = spark.read.parquet(f"{base}/mcp_documents.parquet").select("row_no", "id", "namespace", "vector")
-    return live(docs, "vector")
+    return docs.select("row_no", "namespace", "vector").join(live_keys(docs).select("row_no"), "row_no", "left_semi")
 
 
 def p4_found(spark, base) -> DataFrame:

@@ -77,7 +77,7 @@ def test_components(spark):
     assert {(x.node, x.group_key) for x in near.groups(links, nodes).collect()} == {(i, root(i)) for i in range(170)}
 
 
-def test_history_matches_a_loop(spark, monkeypatch):
+def test_history_matches_a_loop(spark, monkeypatch, tmp_path):
     texts = made_texts(200, 7) + EDGE
     store = [(i, f"g{i % 2}", t) for i, t in enumerate(texts[:60])]
     recs = [(i, f"g{i % 2}", 1 + i // 50, t) for i, t in enumerate(texts[60:])] + [(900, None, 1, "a b c d e"), (901, "new", 2, "a b c d e"), (902, "new", 3, "a b c d e"), (903, "new", 3, "")]
@@ -92,24 +92,87 @@ def test_history_matches_a_loop(spark, monkeypatch):
             want.add(k)
         else:
             kept.append((g, s))
-    for chars, ask in ((history.PART_CHARS, history.ASK_CHARS), (4000, history.ASK_CHARS), (4000, 9000)):  # one part, several, several with blocks of askers
+    rounds = history.greedy_cases
+    for n, (chars, ask, sent, edges) in enumerate(((history.PART_CHARS, history.ASK_CHARS, 1 << 20, 1000), (4000, history.ASK_CHARS, 0, 1000), (4000, 9000, 1 << 20, 10), (4000, 9000, 0, 10))):
+        # one part, several, several with blocks of askers; askers sent to all tasks or shuffled; links settled by rounds or by one task
         monkeypatch.setattr(history, "ASK_CHARS", ask)
+        monkeypatch.setattr(history, "ASK_BROADCAST", sent)
         monkeypatch.setattr(history.among, "__defaults__", ((8, 10), history.PART_CHARS, ask))
-        assert {r.k for r in history.screen_batches(sdf, rdf, part_chars=chars).collect()} == want
-    assert history.screen_batches(sdf.limit(0), rdf.limit(0)).count() == 0
+        monkeypatch.setattr(history, "greedy_cases", lambda e, most=edges: rounds(e, most))
+        h = history.History(spark, str(tmp_path / f"h{n}"), (7, 10), chars)
+        h.add(sdf)
+        assert {r.k for r in history.screen_batches(h, rdf).collect()} == want
+    empty = history.History(spark, str(tmp_path / "empty"), (7, 10))
+    assert history.screen_batches(empty, rdf.limit(0)).count() == 0
+    empty.add(sdf.limit(0))
+    assert history.screen_batches(empty, rdf.limit(0)).count() == 0 and empty.segments().count() == 0
+
+
+def test_batches_to_a_history_opened_again(spark, tmp_path):
+    """One batch after the other, each to a new object on the same folder, decides like all in one pass."""
+    texts = made_texts(150, 11)
+    rows = [(i, f"g{i % 3}", i // 25, t, "clash") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "k long, g string, batch int, text string, part string")
+    store, recs = df.where("batch = 0"), df.where("batch > 0")
+    path = str(tmp_path / "again")
+    history.History(spark, path, (7, 10), 3000, 4).add(store, "stored")
+    once = {r.k for r in history.screen_batches(history.History(spark, path, (7, 10)), recs).collect()}
+    got = set()
+    for no in range(1, 6):
+        h = history.History(spark, path, (7, 10))
+        assert (h.part_chars, h.buckets) == (3000, 4)
+        got |= {r.k for r in history.take_batch(h, recs.where(F.col("batch") == no), f"b{no}").collect()}
+    assert got == once and got
+    h = history.History(spark, path, (7, 10))
+    assert h.batches() == ["stored", *(f"b{no}" for no in range(1, 6))]
+    before = h.segments().count()
+    h.add(store, "stored")  # a repeated attempt
+    assert h.segments().count() == before
+    h.vacuum()
+    assert h.segments().count() == before
+
+
+def test_a_batch_reads_the_partitions_of_its_groups(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"g{i}", t) for i, t in enumerate(made_texts(20))], "k long, g string, text string")
+    h = history.History(spark, str(tmp_path / "h"), (7, 10))
+    h.add(df)
+    plan = h.screen(df.where("k = 3"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(b" in plan or "b#" in plan.split("PartitionFilters:")[1][:80]
+    assert [(r.k, r.other) for r in h.screen(df.where("k = 3")).collect()] == [(3, 3)]
+
+
+def test_two_writers(spark, tmp_path):
+    df = spark.createDataFrame([(1, "g", "a b c d")], "k long, g string, text string")
+    a = history.History(spark, str(tmp_path / "h"), (7, 10))
+    state = a._newest()
+    a.add(df, "first")
+    with pytest.raises(RuntimeError):
+        a._commit(state, [], ["second"])
+    assert a.batches() == ["first"]
 
 
 def test_segments_merge(spark, tmp_path):
     texts = made_texts(80, 3)
     rows = [(i, "g", t) for i, t in enumerate(texts)]
     h = history.History(spark, str(tmp_path / "a"), (7, 10))
+    asked = spark.createDataFrame([(i, "g", t) for i, t in enumerate(made_texts(30, 9) + [texts[5]])], "k long, g string, text string")
+    pairs = lambda: sorted((r.k, r.other) for r in h.screen(asked).collect())
     for s in range(0, 80, 20):
         h.add(spark.createDataFrame(rows[s : s + 20], "k long, g string, text string"))
-    c = h.compact(str(tmp_path / "b"))
-    assert h.segments().count() == 4 and c.segments().count() == 1 and c.segments().first().level >= 2
-    asked = spark.createDataFrame([(i, "g", t) for i, t in enumerate(made_texts(30, 9) + [texts[5]])], "k long, g string, text string")
-    pairs = lambda x: sorted((r.k, r.other) for r in x.screen(asked).collect())
-    assert pairs(c) == pairs(h) and (30, 5) in pairs(h)
+    before, tables = pairs(), h._newest()["tables"]
+    h.compact(5)
+    assert h._newest()["tables"] == tables  # not due
+    h.compact(4)
+    assert len(tables) == 4 and h.segments().count() == 1 and [lv for _, lv in h._newest()["tables"]] == [1]
+    assert pairs() == before and (30, 5) in before
+    # segments that have reached the part size are never written again
+    big = history.History(spark, str(tmp_path / "b"), (7, 10), part_chars=2000)
+    for s in range(0, 80, 20):
+        big.add(spark.createDataFrame(rows[s : s + 20], "k long, g string, text string"))
+    full = {p for p, lv in big._newest()["tables"] if lv < 0}
+    big.compact(2)
+    assert full and full <= {p for p, _ in big._newest()["tables"]}
+    assert sorted((r.k, r.other) for r in big.screen(asked).collect()) == before
 
 
 def test_merged_suffixes_are_in_order():
