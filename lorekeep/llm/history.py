@@ -45,7 +45,7 @@ N = 3  # words of a run
 BUCKETS = 32  # partitions of the tables of a history
 FAN = 4  # tables of one level that are merged
 MOST_EDGES = 2_000_000  # links that one task settles in order
-ASK_BROADCAST = 32 << 20  # bytes of askers that are sent to all tasks; more are joined by a shuffle
+ASK_BROADCAST = 32 << 20  # bytes of askers that may be sent to all executors
 ARRAYS = {"keys": np.int64, "starts": np.int32, "dictionary": np.uint64, "text": np.int32, "suffixes": np.int32}
 SEGMENT = T.StructType([
     T.StructField("g", T.StringType()), T.StructField("part", T.StringType()), T.StructField("words", T.IntegerType()),
@@ -299,6 +299,9 @@ class _Files:
             self.fs.delete(self.path(tmp), False)
             raise RuntimeError(f"another writer made {p}")
 
+    def size(self, p: str) -> int:
+        return self.fs.getContentSummary(self.path(p)).getLength()
+
     def delete(self, p: str) -> None:
         self.fs.delete(self.path(p), True)
 
@@ -368,8 +371,10 @@ class History:
         """(k, other): for each asking record (k, g, text) the texts of its group at the least similarity.
 
         Only the partitions of the groups that are asked for are read.  Words
-        of the askers, not their texts, go to the segments; segments are only
-        shuffled where the askers are more than ASK_BROADCAST bytes.
+        of the askers, not their texts, go to the segments.  A batch that is
+        small beside the history is sent to all executors, so that no segment
+        is shuffled: that is where a copy for every core is less than the
+        tables, and at most ASK_BROADCAST bytes.
         """
         least = self.least
         asks = self._asks(asked)
@@ -377,7 +382,8 @@ class History:
         if not buckets:
             return self.spark.createDataFrame([], LINKS)
         wanted = self.segments().where(F.col("b").isin(buckets))
-        if bytes_of(asks) <= ASK_BROADCAST:
+        size = bytes_of(asks)
+        if size <= ASK_BROADCAST and size * self.spark.sparkContext.defaultParallelism < self._stored_bytes():
             both = wanted.join(F.broadcast(asks.drop("b")), "g")
         else:  # a block goes to each segment of its group
             parts = self._parts(buckets)
@@ -404,6 +410,9 @@ class History:
 
         return both.select("g", "part", *ARRAYS, "keys_", "counts_", "words_").mapInArrow(run, LINKS)
 
+    def _stored_bytes(self) -> int:
+        return sum(self.files.size(p) for p, _ in self._newest()["tables"])
+
     def _parts(self, buckets: list[int]) -> DataFrame:
         return self.segments().where(F.col("b").isin(buckets)).select("b", "g", "part")
 

@@ -97,6 +97,7 @@ def test_history_matches_a_loop(spark, monkeypatch, tmp_path):
         # one part, several, several with blocks of askers; askers sent to all tasks or shuffled; links settled by rounds or by one task
         monkeypatch.setattr(history, "ASK_CHARS", ask)
         monkeypatch.setattr(history, "ASK_BROADCAST", sent)
+        monkeypatch.setattr(history.History, "_stored_bytes", lambda _: 1 << 40)
         monkeypatch.setattr(history.among, "__defaults__", ((8, 10), history.PART_CHARS, ask))
         monkeypatch.setattr(history, "greedy_cases", lambda e, most=edges: rounds(e, most))
         h = history.History(spark, str(tmp_path / f"h{n}"), (7, 10), chars)
