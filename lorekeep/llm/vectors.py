@@ -2,12 +2,18 @@
 
 Rows of a group are dealt to shards of about `shard_rows` rows, and each shard
 gets a hierarchical navigable small-world graph kept as flat neighbour arrays
-(one int32 row of neighbours per node and layer).  Every row of the group asks
-every shard of its group, and the answers of the shards are merged.  Graphs
-are built and searched for whole blocks of vectors at a time: one step of the
+(one int32 row of neighbours per node and layer).  A shard is one row of a
+written table: keys, vectors and arrays as bytes, and what its own rows found
+in it.  Every graph is built once.  Rows of groups of several shards then ask
+the other shards, a whole shard of askers at a time, and answers are merged.
+Graphs are built and searched for whole blocks of vectors: one step of the
 beam search expands the best open candidates of all queries of a block with a
 few numpy calls.
 
+How wide the search beam has to be depends on the data.  Each search tries a
+sample of its queries against all vectors of the shard and doubles the beam
+until the sample's recall is at least RECALL.
+
 Similarity is the cosine.  Equal similarities are settled by the smaller key,
 as far as the search sees them.
 """
@@ -24,10 +30,12 @@ from pyspark.sql import types as T
 
 from ._spark import in_parts, live_keys, spread, written
 
-M = 12  # neighbours chosen per node; layer 0 keeps up to twice as many
-BUILD_BEAM, SEARCH_BEAM, EXPAND = 40, 40, 4
+M = 16  # neighbours chosen per node; layer 0 keeps up to twice as many
+BUILD_BEAM, SEARCH_BEAM, EXPAND = 48, 40, 4
+ENTRIES = 8  # nodes that a layer hands to the next
 BLOCK = 512  # vectors searched together
-SHARD_ROWS, ASK_ROWS = 16384, 65536
+SHARD_ROWS = 16384
+RECALL, SAMPLE = 0.97, 200  # the least recall among so many sampled queries
 FLOOR = np.float32(-4.0)
 
 
@@ -66,7 +74,10 @@ class Graph:
             got, sim = [], []
             for s in range(at, end, BLOCK):
                 q = x[s : min(s + BLOCK, end)]
-                start = self._descend(q, above) % at  # entries that aren't linked in this layer yet are swapped for some that are
+                start = self._descend(q, above)
+                start = np.where(start < at, start, start % at)  # entries that aren't linked in this layer yet are swapped for some that are
+                start.sort(axis=1)
+                start[:, 1:][start[:, 1:] == start[:, :-1]] = -1
                 a, b = self._beam(q, nb, start, at, self.beam)
                 got.append(a)
                 sim.append(b)
@@ -127,21 +138,11 @@ class Graph:
             nb[u] = self._choose(both, near, width)
 
     def _descend(self, q: np.ndarray, above: list[np.ndarray]) -> np.ndarray:
-        """Entry nodes for the next layer: greedy walk down from the top."""
-        at = np.zeros(len(q), np.int32)
+        """Entry nodes for the next layer, -1 where there are fewer: a narrow beam on each layer from the top."""
+        at = np.zeros((len(q), 1), np.int32)
         for nb in above:
-            best = np.einsum("ij,ij->i", q, self.x[at])
-            while True:
-                near = nb[at]
-                sims = np.where(near >= 0, np.matmul(self.x[np.maximum(near, 0)], q[:, :, None])[:, :, 0], FLOOR)
-                j = sims.argmax(1)
-                top = sims[np.arange(len(q)), j]
-                up = top > best
-                if not up.any():
-                    break
-                at = np.where(up, near[np.arange(len(q)), j], at)
-                best = np.maximum(best, top)
-        return at[:, None]
+            at = self._beam(q, nb, at, len(nb), ENTRIES)[0]
+        return at
 
     def _beam(self, q: np.ndarray, nb: np.ndarray, start: np.ndarray, count: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, similarities) of the `beam` nearest of the first `count` nodes found from `start`, nearest first."""
@@ -184,23 +185,68 @@ class Graph:
         order = np.argsort(-sim, axis=1, kind="stable")
         return np.take_along_axis(node, order, 1), np.take_along_axis(sim, order, 1)
 
-    def search(self, q: np.ndarray, k: int, beam: int = SEARCH_BEAM, own: np.ndarray | None = None):
+    def search(self, q: np.ndarray, k: int, beam: int, own: np.ndarray | None = None):
         """Yields (first query, original numbers, similarities) block by block; `own` are the queries' own numbers, where they are in the graph."""
         if not len(self.x):
             return
         base, place = self.layers[0], np.empty(len(self.x), np.int32)
         place[self.order] = np.arange(len(self.x))
-        beam = max(beam, k)
+        beam = max(beam, k + 1)
         for s in range(0, len(q), BLOCK):
             part = q[s : s + BLOCK]
             if own is None:
                 start = self._descend(part, self.layers[:0:-1])
-            else:
+            else:  # a node that is in the graph was led to its place when it was linked
                 me = place[own[s : s + BLOCK]]
                 start = np.hstack((me[:, None], base[me]))
             node, sim = self._beam(part, base, start, len(self.x), beam)
             yield s, np.where(node >= 0, self.order[np.maximum(node, 0)], -1)[:, : k + 1], sim[:, : k + 1]
 
+    def beam_for(self, q: np.ndarray, k: int, own: np.ndarray | None = None) -> int:
+        """The beam that gives a sample of the queries RECALL against a look at all vectors."""
+        if not len(q) or not len(self.x):
+            return SEARCH_BEAM
+        at = np.unique(np.linspace(0, len(q) - 1, min(len(q), SAMPLE)).astype(np.int64))
+        every = q[at] @ self.x.T  # SAMPLE x the rows of a shard
+        most = min(k + (own is not None), len(self.x))  # with itself
+        least = -np.partition(-every, most - 1, axis=1)[:, most - 1] - 1e-6
+        beam = SEARCH_BEAM
+        while beam < len(self.x):
+            got = sum(int((sim[:, :most] >= least[s : s + len(sim), None]).sum()) for s, _, sim in self.search(q[at], k, beam, None if own is None else own[at]))
+            if got >= RECALL * most * len(at):
+                break
+            beam *= 2
+        return beam
+
+    def arrays(self) -> list[bytes]:
+        return [np.ascontiguousarray(x).tobytes() for x in (self.x, self.order.astype(np.int32), np.array(self.counts, np.int32), np.concatenate([nb.ravel() for nb in self.layers]) if self.layers else np.empty(0, np.int32))]
+
+    @classmethod
+    def of_arrays(cls, dim: int, x, order, counts, layers, m: int = M) -> Graph:
+        g = cls.__new__(cls)
+        g.m, g.beam = m, BUILD_BEAM
+        g.x, g.order, g.counts = np.frombuffer(x, np.float32).reshape(-1, dim), np.frombuffer(order, np.int32), np.frombuffer(counts, np.int32).tolist()
+        flat, at, g.layers = np.frombuffer(layers, np.int32), 0, []
+        for lv, n in enumerate(g.counts):
+            width = 2 * m if lv == 0 else m
+            g.layers.append(flat[at : at + n * width].reshape(n, width))
+            at += n * width
+        return g
+
+
+def answers(graph: Graph, keys: np.ndarray, q: np.ndarray, ask: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(asker, neighbour, similarity) of the k nearest of the graph's nodes (`keys` in original order) for the queries `q` of keys `ask`."""
+    ks, ns, ss = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
+    for s, node, sim in graph.search(q, k, graph.beam_for(q, k, own), own):
+        who = ask[s : s + len(node)]
+        good = (node >= 0) & (sim > FLOOR) & (keys[node] != who[:, None])
+        good &= np.cumsum(good, axis=1) <= k
+        r, c = np.nonzero(good)
+        ks.append(who[r])
+        ns.append(keys[node[r, c]])
+        ss.append(sim[r, c])
+    return np.concatenate(ks), np.concatenate(ns), np.concatenate(ss)
+
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     v = vectors.astype(np.float64)
@@ -220,51 +266,63 @@ def valid_vector(column: str, dim: int):
     return F.coalesce((F.size(c) == dim) & finite & F.exists(c, lambda v: v != 0), F.lit(False))
 
 
-def nearest(rows: DataFrame, k: int = 5, dim: int = 64, key="row_no", group="namespace", vector="vector", shard_rows: int = SHARD_ROWS, ask_rows: int = ASK_ROWS) -> DataFrame:
-    """(key, neighbour, similarity, rank): for every row the k nearest others of its group.
+FOUND = T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.LongType()), T.StructField("s", T.FloatType())])
+PARTS = ("keys", "x", "order", "counts", "layers")
+SHARD = T.StructType([
+    T.StructField("g", T.StringType()), T.StructField("shard", T.IntegerType()), T.StructField("parts", T.IntegerType()),
+    *(T.StructField(c, T.BinaryType()) for c in (*PARTS, "k", "n", "s")),
+])
 
-    Rows with a null group or an invalid vector neither ask nor answer; a group
-    with fewer rows gives fewer answers.  Rows are dealt to shards by a hash of
-    their key, as many as the size of their group needs, and the askers of a
-    group to blocks, so that no task gets more than about `shard_rows` rows to
-    index and `ask_rows` to answer.
-    """
-    base = rows.select(F.col(key).cast("long").alias("k"), F.col(group).alias("g"), F.col(vector).cast("array<float>").alias("v")).where(valid_vector("v", dim) & F.col("g").isNotNull())
-    base = written(base, "vectors")
-    base = in_parts(base, base.groupBy("g").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts")))
-    home = F.pmod(F.xxhash64(F.lit(11), "k"), F.col("parts")).cast("int")
-    blocks = F.ceil(F.col("parts") * F.lit(shard_rows / ask_rows)).cast("int")
-    mine = F.pmod(F.xxhash64(F.lit(13), "k"), F.col("blocks")).cast("int")
-    base = base.withColumn("home", home).withColumn("blocks", blocks).withColumn("mine", mine)
-    # each row stands in its own shard, once for every block of askers, and asks in every shard in its own block
-    kept = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", F.col("home").alias("shard"), "block", F.lit(True).alias("kept"), (F.col("block") == F.col("mine")).alias("asks"), "k", "v")
-    away = base.where("parts > 1").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("shard != home").select("g", "shard", F.col("mine").alias("block"), F.lit(False).alias("kept"), F.lit(True).alias("asks"), "k", "v")
-    asked = kept.unionByName(away)
-    out = T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.LongType()), T.StructField("s", T.FloatType())])
+
+def graphs(rows: DataFrame, k: int, dim: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """One row a shard for rows (k, g, v): its graph, and the k nearest in it of each of its own rows (k, n, s)."""
+    base = in_parts(rows, rows.groupBy("g").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts")))
+    base = base.withColumn("shard", F.pmod(F.xxhash64(F.lit(11), "k"), F.col("parts")).cast("int"))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         keys = t.column("k").to_numpy()
         order = np.argsort(keys, kind="stable")  # the same graph wherever and however often the task runs
-        kept, asks, keys = t.column("kept").to_numpy()[order], t.column("asks").to_numpy()[order], keys[order]
-        x = unit(_matrix(t.column("v").chunk(0), dim))[order]
-        mine = np.flatnonzero(kept)
-        graph = Graph(x[mine])
-        ks, ns, ss = [], [], []
-        inside = np.flatnonzero(asks[mine])
-        for ids, own in ((mine[inside], inside), (np.flatnonzero(asks & ~kept), None)):
-            for at, node, sim in graph.search(x[ids], k, own=own):
-                q = ids[at : at + len(node)]
-                good = (node >= 0) & (sim > FLOOR) & (keys[mine[node]] != keys[q][:, None])
-                good &= np.cumsum(good, axis=1) <= k
-                r, c = np.nonzero(good)
-                ks.append(keys[q[r]])
-                ns.append(keys[mine[node[r, c]]])
-                ss.append(sim[r, c])
-        cat = lambda p, t: np.concatenate(p) if p else np.empty(0, t)
-        return pa.table({"k": pa.array(cat(ks, np.int64)), "n": pa.array(cat(ns, np.int64)), "s": pa.array(cat(ss, np.float32))})
-
-    got = spread(asked, "g", "shard", "block").groupBy("g", "shard", "block").applyInArrow(run, out)
+        keys, x = keys[order], unit(_matrix(t.column("v").chunk(0), dim))[order]
+        graph = Graph(x)
+        found = answers(graph, keys, x, keys, k, np.arange(len(x)))
+        blobs = [keys.tobytes(), *graph.arrays(), *(f.tobytes() for f in found)]
+        return pa.table([*(t.column(c)[:1] for c in ("g", "shard", "parts")), *(pa.array([b], pa.binary()) for b in blobs)], SHARD.names)
+
+    return spread(base, "g", "shard").groupBy("g", "shard").applyInArrow(run, SHARD)
+
+
+def nearest(rows: DataFrame, k: int = 5, dim: int = 64, key="row_no", group="namespace", vector="vector", shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(key, neighbour, similarity, rank): for every row the k nearest others of its group.
+
+    Rows with a null group or an invalid vector neither ask nor answer; a group
+    with fewer rows gives fewer answers.  Rows are dealt to shards by a hash of
+    their key, as many as the size of their group needs, so no task holds more
+    than about `shard_rows` rows to index and as many to answer at a time.
+    Askers of a group of several shards go to each of the others, so vectors
+    moved there are rows times shards.
+    """
+    base = rows.select(F.col(key).cast("long").alias("k"), F.col(group).alias("g"), F.col(vector).cast("array<float>").alias("v")).where(valid_vector("v", dim) & F.col("g").isNotNull())
+    made = written(graphs(written(base, "vectors"), k, dim, shard_rows), "graphs")
+
+    def own(batches):
+        for t in batches:
+            cols = [np.concatenate([np.empty(0, d), *(np.frombuffer(v.as_buffer(), d) for v in t.column(c))]) for c, d in (("k", np.int64), ("n", np.int64), ("s", np.float32))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], FOUND.names)
+
+    def foreign(batches):
+        for t in batches:
+            for i in range(t.num_rows):
+                graph = Graph.of_arrays(dim, *(t.column(c)[i].as_buffer() for c in PARTS[1:]))
+                ask = np.frombuffer(t.column("ask")[i].as_buffer(), np.int64)[np.frombuffer(t.column("ask_order")[i].as_buffer(), np.int32)]
+                q = np.frombuffer(t.column("q")[i].as_buffer(), np.float32).reshape(-1, dim)
+                found = answers(graph, np.frombuffer(t.column("keys")[i].as_buffer(), np.int64), q, ask, k)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], FOUND.names)
+
+    several = made.where("parts > 1")
+    asks = several.select("g", F.col("shard").alias("home"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("shard"), F.col("keys").alias("ask"), F.col("order").alias("ask_order"), F.col("x").alias("q")).where("shard != home")
+    met = spread(several.select("g", "shard", *PARTS), "g", "shard").join(spread(asks, "g", "shard"), ["g", "shard"])
+    got = made.select("k", "n", "s").mapInArrow(own, FOUND).unionByName(met.select(*PARTS, "ask", "ask_order", "q").mapInArrow(foreign, FOUND))
     order = Window.partitionBy("k").orderBy(F.desc("s"), "n")
     return got.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("k").alias(key), F.col("n").alias("neighbour"), F.col("s").alias("similarity"), "rank")
 
