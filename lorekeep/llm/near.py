@@ -6,11 +6,14 @@ their similarity.  The lanes are split into BLOCKS blocks.  By the pigeonhole
 principle two fingerprints that differ in fewer than BLOCKS lanes have a block
 in common; records are joined on (group, block number, block value).  One bit
 of every lane makes a bit fingerprint; joined pairs whose Hamming distance is
-over `max_distance` are dropped, and the exact similarity of the word runs
-decides on the rest.
+over `max_distance` are dropped (none if it is None), and the exact similarity
+of the word runs decides on the rest.
 
 Records with equal sets of word runs form a class.  Only one representative of
-each class is joined, so copies cost no pairs.
+each class is joined, so copies cost no pairs.  Blocks with one member are left
+out by a count before anything is paired, and those with more than CHUNK are
+dealt to cells of at most about CHUNK by CHUNK rows, so no task holds a whole
+block.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from ._spark import cut, written
 from ._words import mix, shingle_sets, slices
 
 BLOCKS, PER_BLOCK = 32, 4
+CHUNK = 2000  # members of a block that are paired in one cell
 LANES = BLOCKS * PER_BLOCK
 MAX_DISTANCE = 41  # of LANES bits; at similarity 0.7 the mean is 19.2 and the deviation 4.0
 
@@ -93,6 +97,26 @@ def _run_sets(df: DataFrame, text: str, n: int) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def pairs_within(df: DataFrame, by: str, k: str, keep=None, carry: tuple[str, ...] = (), chunk: int | None = None) -> DataFrame:
+    """(a, b) for rows of `df` with equal `by` and keys a < b; `keep(x, y)` may compare the columns `carry` of both.
+
+    Rows that are alone are dropped after a count, which combines before its
+    shuffle; groups of more than `chunk` rows are dealt to cells.
+    """
+    chunk = chunk or CHUNK
+    count = df.groupBy(by).agg(F.count("*").alias("_n")).where("_n > 1")
+    chunks = F.ceil(F.col("_n") / chunk).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(17), k), F.col("_c")).cast("int")
+    shared = df.select(by, k, *carry).join(count, by).withColumn("_c", chunks).withColumn("_o", own).drop("_n")
+    shared = written(shared, "shared")
+    x = shared.select(by, F.col("_o").alias("_i"), F.explode(F.sequence("_o", F.col("_c") - 1)).alias("_j"), F.struct(k, *carry).alias("x"))
+    y = shared.select(by, F.explode(F.sequence(F.lit(0), "_o")).alias("_i"), F.col("_o").alias("_j"), F.struct(k, *carry).alias("y"))
+    met = x.join(y, [by, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col(f"x.{k}") < F.col(f"y.{k}")))
+    if keep is not None:
+        met = met.where(keep(F.col("x"), F.col("y")))
+    return met.select(F.least(f"x.{k}", f"y.{k}").alias("a"), F.greatest(f"x.{k}", f"y.{k}").alias("b"))
+
+
 class NearCopies:
     """Classes of equal word-run sets and links between similar classes.
 
@@ -142,13 +166,11 @@ class NearCopies:
         half = self._representatives().select(
             F.col(key).alias("k"), F.col("_bits_a").alias("p"), F.col("_bits_b").alias("q"), F.explode("_blocks").alias("v"), F.xxhash64(group).alias("g")
         ).select(F.xxhash64("g", "v").alias("block"), "k", "p", "q")
-        a, b = half.alias("a"), half.alias("b")
-        distance = F.bit_count(F.col("a.p").bitwiseXOR(F.col("b.p"))) + F.bit_count(F.col("a.q").bitwiseXOR(F.col("b.q")))
-        pairs = (
-            a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.k") < F.col("b.k")) & (distance <= self.max_distance))
-            .select(F.col("a.k").alias("a"), F.col("b.k").alias("b"))
-            .distinct()
-        )
+
+        def near(x, y):
+            return F.bit_count(x["p"].bitwiseXOR(y["p"])) + F.bit_count(x["q"].bitwiseXOR(y["q"])) <= self.max_distance
+
+        pairs = pairs_within(half, "block", "k", None if self.max_distance is None else near, ("p", "q")).distinct()
         pairs = written(pairs, "pairs")
         wanted = pairs.select(F.col("a").alias(key)).union(pairs.select(F.col("b").alias(key))).distinct()
         sets = written(_run_sets(self.source.join(wanted, key, "left_semi"), self.text, self.n), "sets")
@@ -167,7 +189,7 @@ class NearCopies:
     def all_pairs(self, links: DataFrame) -> DataFrame:
         """(a, b) for every linked pair of records a < b, copies expanded; its size is that of the result asked for."""
         m = cut(self.members())
-        within = m.select("class_key", F.col(self.key).alias("a")).join(m.select("class_key", F.col(self.key).alias("b")), "class_key").where(F.col("a") < F.col("b")).select("a", "b")
+        within = pairs_within(m.select("class_key", F.col(self.key).alias("k")), "class_key", "k")
         across = (
             links.select(F.col("a").alias("_p"), F.col("b").alias("_q"))
             .join(m.select(F.col("class_key").alias("_p"), F.col(self.key).alias("_x")), "_p")

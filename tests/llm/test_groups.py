@@ -47,6 +47,23 @@ def test_near_links_match_brute_force(spark):
     assert got == want and want
 
 
+def test_large_blocks_are_dealt_to_cells(spark, monkeypatch):
+    """Variants of a template share blocks; one class has many copies.  Small cells and no bit filter give the same links."""
+    r = random.Random(6)
+    voc = [f"v{i}" for i in range(200)]
+    base = [r.choice(voc) for _ in range(80)]
+    texts = [" ".join(r.choice(voc) if r.random() < 0.03 else w for w in base) for _ in range(120)] + [" ".join(base)] * 30 + EDGE
+    df = spark.createDataFrame([(i, "hot" if i % 10 else "other", t) for i, t in enumerate(texts)], "row_no long, namespace string, text string")
+    s = [shingles((t or "").lower().replace(",", "").replace("!", "")) for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if (i % 10 == 0) == (j % 10 == 0) and sim(s[i], s[j]) >= 0.7}
+    for chunk, distance in ((2000, 41), (7, 41), (7, None)):
+        monkeypatch.setattr(near, "CHUNK", chunk)
+        nc = near.NearCopies(df, n=3, least=(7, 10), max_distance=distance)
+        got = [(x.a, x.b) for x in nc.all_pairs(nc.class_links()).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > 1000
+
+
 def test_near_live_rows_and_copies(spark):
     t = "the quick brown fox jumps over the lazy dog again"
     rows = [(1, "n", "a", 0, t), (2, "n", "a", 0, "something else entirely different here now"), (3, "n", "b", 0, t), (4, "n", "c", 1, t), (5, "", "d", 0, t), (6, "n", "", 0, t), (7, "m", "a", 0, t), (8, "n", "e", 4, t), (9, "n", None, 4, t), (10, "n", "f", 0, None), (11, "n", "f", 0, t)]
