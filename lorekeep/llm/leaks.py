@@ -1,15 +1,17 @@
 """Test items that leak into training text: greedy string tiling.
 
 Seeds: the Karp-Rabin hashes of all runs of `least` words of the items are
-joined with those of the documents.  Tiling: for every (document, item) with a
-seed, seeds on one diagonal are merged into maximal matches; the longest match
-is marked again and again, others are cut where they overlap marked words, and
-what stays shorter than `least` words is dropped.  The words of the tiles by
-the words of the item is its coverage, whatever the order of the passages.
-
-The item side is broadcast in blocks of at most BLOCK_CHARS characters of item
-text, as many passes over the documents as there are blocks; documents are
-never shuffled.
+joined with those of the documents.  A sieve of the items' hashes, at most
+SIEVE_BITS bits whatever the items hold, goes to all executors first, so only
+the few runs of documents that pass it are shuffled.  Tiling: for every
+(document, item) with a seed, seeds on one diagonal are merged into maximal
+matches; the longest match is marked again and again, others are cut where they
+overlap marked words, and what stays shorter than `least` words is dropped.
+The words of the tiles by the words of the item is its coverage, whatever the
+order of the passages.
+
+Every joined seed belongs to a result, as one run of `least` words is enough
+for it.  Neither items nor documents are collected, and documents are read once.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._spark import small, spread, written
 from ._words import runs, slices, words
 
 LEAST_WORDS = 12
-BLOCK_CHARS = 32 << 20
+SIEVE_BITS = 1 << 27  # 16 MB
+SALTS = 8  # parts of a seed's documents where seeds are joined by a shuffle
 FIELDS = [("tiles", T.IntegerType()), ("longest", T.IntegerType()), ("tiled_words", T.IntegerType()), ("item_words", T.IntegerType())]
 
 
@@ -55,74 +59,63 @@ def tiles(at_a: np.ndarray, at_b: np.ndarray, least: int) -> list[tuple[int, int
     return done
 
 
-class _Items:
-    """One block of items, ready for lookups."""
-
-    def __init__(self, keys: list[int], texts: list[str], least: int):
-        self.keys, self.least = np.array(keys, np.int64), least
-        w, row = words([t or "" for t in texts])
-        h, at = runs(w, row, least)
-        order = np.argsort(h, kind="stable")
-        self.hash, self.at, self.row = h[order], at[order], row[at[order]]
-        self.first = np.searchsorted(row, np.arange(len(keys)))
-        self.size = np.bincount(row, minlength=len(keys))
-        low = (self.hash >> np.uint64(44)).astype(np.int64)
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[low] = True
-
-    def match(self, texts: list[str]):
-        """(text, item, tiles, longest, tiled words) for every text and item with a tile."""
-        w, row = words(texts)
-        h, at = runs(w, row, self.least)
-        maybe = np.flatnonzero(self.sieve[(h >> np.uint64(44)).astype(np.int64)])
-        h, at = h[maybe], at[maybe]
-        lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-        n = hi - lo
-        if not n.sum():
-            return
-        src = np.repeat(np.arange(len(h)), n)
-        hit = np.arange(len(src)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        doc, item = row[at[src]], self.row[hit]
-        order = np.lexsort((item, doc))
-        doc, item, src, hit = doc[order], item[order], src[order], hit[order]
-        cuts = np.flatnonzero(np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(item) != 0), [True])))
-        begin = np.searchsorted(row, doc[cuts[:-1]])
-        for s, e, d0 in zip(cuts[:-1].tolist(), cuts[1:].tolist(), begin.tolist(), strict=True):
-            t = tiles(at[src[s:e]] - d0, self.at[hit[s:e]] - self.first[item[s]], self.least)
-            yield int(doc[s]), int(item[s]), len(t), max(x[2] for x in t), sum(x[2] for x in t)
-
-
-def leaks(docs: DataFrame, items: DataFrame, key="doc_id", text="text", item_key="item_id", item_text="text", least=LEAST_WORDS, block_chars=BLOCK_CHARS) -> DataFrame:
+def seeds_of(df: DataFrame, key: str, text: str, least: int, sieve=None) -> DataFrame:
+    """(key, h, at, words): every run of `least` words of each text that passes the sieve, by its hash and its first word's place."""
+    schema = T.StructType([df.schema[key], T.StructField("h", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("words", T.IntegerType())])
+
+    def run(batches):
+        bits = None if sieve is None else sieve.value
+        for batch in batches:
+            for first, texts in slices(batch.column(text).to_pylist()):
+                w, row = words(texts)
+                h, at = runs(w, row, least)
+                if bits is not None:
+                    place = h & np.uint64(len(bits) * 64 - 1)
+                    pass_ = np.flatnonzero((bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1))
+                    h, at = h[pass_], at[pass_]
+                if len(h):
+                    of = row[at]
+                    begin, size = np.searchsorted(row, np.arange(len(texts))), np.bincount(row, minlength=len(texts))
+                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(of + first)), pa.array(h.view(np.int64)), pa.array((at - begin[of]).astype(np.int32)), pa.array(size[of].astype(np.int32))], schema.names)
+
+    return df.select(key, text).where(F.col(text).isNotNull()).mapInArrow(run, schema)
+
+
+def sieve_of(seeds: DataFrame, rows: int) -> np.ndarray:
+    """A bitmap of the hashes: 16 to 32 bits for each, at most SIEVE_BITS; it is made by the executors, and its words that aren't 0 come to the driver."""
+    size = min(SIEVE_BITS, max(1 << 10, 1 << (16 * max(1, rows)).bit_length()))
+    place = F.col("h").bitwiseAND(F.lit(size - 1))
+    parts = seeds.select(F.shiftright(place, 6).alias("i"), F.expr(f"shiftleft(1L, cast((h & {size - 1}) & 63 AS INT))").alias("bit")).groupBy("i").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[parts.column("i").to_numpy()] = parts.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def leaks(docs: DataFrame, items: DataFrame, key="doc_id", text="text", item_key="item_id", item_text="text", least=LEAST_WORDS) -> DataFrame:
     """(key, item_key, tiles, longest, tiled_words, item_words) for every document and item with a common run of `least` words.
 
-    Null and short texts leak nothing; repeated documents and items each count.
+    Null and short texts leak nothing.  Keys must be unique; repeated texts under other keys each count.
     """
     spark = docs.sparkSession
-    docs = docs.select(key, text).where(F.col(text).isNotNull())
-    items = items.select(F.col(item_key).cast("long").alias("k"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
-    total = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = -(-total // block_chars) or 1
-    schema = T.StructType([docs.schema[key], T.StructField(item_key, T.LongType()), *(T.StructField(n, t) for n, t in FIELDS)])
-    if blocks > 1:
-        blocks += blocks // 4 + 1
-    out = None
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b)
-        rows = part.collect()  # at most about block_chars characters
-        shared = spark.sparkContext.broadcast(_Items([r.k for r in rows], [r.t for r in rows], least))
-
-        def run(batches, shared=shared):
-            side = shared.value
-            for batch in batches:
-                for at, texts in slices(batch.column(text).to_pylist()):
-                    found = list(side.match(texts))
-                    if found:
-                        d, i, *rest = (np.array(c) for c in zip(*found, strict=True))
-                        yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(d + at)), pa.array(side.keys[i]), *(pa.array(c.astype(np.int32)) for c in (*rest, side.size[i]))], schema.names)
-
-        got = docs.mapInArrow(run, schema)
-        out = got if out is None else out.union(got)
-    return out
+    seeds = written(seeds_of(items.select(F.col(item_key).cast("long").alias("_item"), F.col(item_text).alias("_t")), "_item", "_t", least).withColumnsRenamed({"at": "item_at", "words": "item_words"}), "seeds")
+    sieve = spark.sparkContext.broadcast(sieve_of(seeds, seeds.count()))
+    found = seeds_of(docs.select(F.col(key).alias("_doc"), F.col(text).alias("_t")), "_doc", "_t", least, sieve).select("_doc", "h", "at")
+    few = small(seeds)
+    if few is not seeds:
+        met = found.join(few, "h")
+    else:  # a seed of many documents is met in several parts
+        salted = seeds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = found.withColumn("_salt", F.pmod(F.xxhash64("_doc"), F.lit(SALTS)).cast("int")).join(salted, ["h", "_salt"])
+    schema = T.StructType([T.StructField("_doc", docs.schema[key].dataType), T.StructField("_item", T.LongType()), *(T.StructField(n, t) for n, t in FIELDS)])
+
+    def run(t: pa.Table) -> pa.Table:
+        done = tiles(t.column("at").to_numpy(), t.column("item_at").to_numpy(), least)
+        size = [x[2] for x in done]
+        numbers = (len(done), max(size), sum(size))
+        return pa.table([t.column("_doc")[:1], t.column("_item")[:1], *(pa.array([n], pa.int32()) for n in numbers), t.column("item_words")[:1]], schema.names)
+
+    tiled = spread(met.select("_doc", "_item", "at", "item_at", "item_words"), "_doc", "_item").groupBy("_doc", "_item").applyInArrow(run, schema)
+    return tiled.withColumnsRenamed({"_doc": key, "_item": item_key})
 
 
 def _leaks_here(spark, base) -> DataFrame:
