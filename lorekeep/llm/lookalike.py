@@ -1,12 +1,13 @@
 """One consistent form for texts that look the same.
 
-The code points of many Arrow texts are put into one numpy array.  A lookup
-table says for every code point how many it becomes, and at which offset of a
+The data and offset buffers of an Arrow column become one numpy array of code
+points, a break behind every text; columns of plain ASCII pass as they are.  A
+lookup table says for every code point how many it becomes, and at which offset of a
 flat table they stand: none for characters without width, one for width
 variants, blanks and look-alike letters, several for ligatures and for letters
 with accents.  After that gather, marks are put in canonical order and composed
-with their base letter by searching pair keys, mark rank by mark rank.  No
-string function is called per row.
+with their base letter by searching pair keys, mark rank by mark rank.  The
+result is written as buffers again; no string is made for a row.
 
 Line ends, tabs, case, accents, digits and spelling are kept.  Null stays null
 and the empty text stays empty.
@@ -19,20 +20,25 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._spark import written
-from ._words import slices
+from .near import pairs_within
+
+SLICE_BYTES = 1 << 20  # texts are taken together up to about so many bytes
+BREAK = np.uint32(0x110000)  # no code point
 
 # Letters of other scripts and the Latin letters they look like.
 LOOKALIKES = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G",
-    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "Ϲ": "C", "ϲ": "c", "Ϳ": "J", "ϳ": "j",
-    "Օ": "O", "օ": "o", "Տ": "S", "Լ": "L", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "յ": "j",
-    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮤ": "W", "Ꮓ": "Z",
+    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "ү": "y", "г": "r", "Ь": "b",
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "α": "a", "γ": "y", "ι": "i", "ο": "o", "ν": "v", "ρ": "p", "σ": "o", "Ϲ": "C", "ϲ": "c", "Ϳ": "J", "ϳ": "j",
+    "Օ": "O", "Ս": "U", "օ": "o", "Տ": "S", "Լ": "L", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "յ": "j",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮤ": "W", "Ꮓ": "Z", "Ꮃ": "W", "Ꮍ": "Y", "Ꭵ": "i", "Ꮷ": "d",
+    "Ⲏ": "H", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
 }
 # Format characters that do show.
 SHOWN_FORMAT = frozenset(map(chr, [*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD]))
@@ -131,16 +137,9 @@ def _compose(cp: np.ndarray, rank: np.ndarray, keys: np.ndarray, whole: np.ndarr
     return cp
 
 
-def canonical_texts(texts: list[str]) -> list[str]:
-    """The consistent form of each text."""
+def _form(cp: np.ndarray) -> np.ndarray:
+    """The consistent form of code points with breaks between texts."""
     size, start, flat, rank, keys, whole = _tables()
-    joined = "\0".join(texts)
-    own = joined.count("\0") != len(texts) - 1
-    if own:  # texts that hold the separator themselves: it is swapped with a code point no text can hold
-        joined = "\0".join(t.replace("\0", "\U0010ffff") for t in texts)
-    if joined.isascii():
-        return joined.split("\0")
-    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     low = np.minimum(cp, TOP - 1)
     n = np.where(cp < TOP, size[low], ~((cp >= 0xE0000) & (cp < 0xE01F0)))
     if (n == 1).all():
@@ -150,9 +149,49 @@ def canonical_texts(texts: list[str]) -> list[str]:
         within = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
         src = np.repeat(cp, n)
         out = np.where(src < TOP, flat[np.minimum(np.repeat(start[low], n) + within, len(flat) - 1)], src)
-    out = _compose(out.astype(np.uint32), rank, keys, whole)
-    found = out.tobytes().decode("utf-32-le", "surrogatepass").split("\0")
-    return [t.replace("\U0010ffff", "\0") for t in found] if own else found
+    return _compose(out.astype(np.uint32), rank, keys, whole)
+
+
+def _form_of_bytes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes and the end of each text in them, as bytes and ends of the consistent form."""
+    cp = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    number = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # code points before each byte
+    out = _form(np.insert(cp, number[ends], BREAK))
+    at = np.flatnonzero(out == BREAK)
+    width = 1 + (out > 0x7F) + (out > 0x7FF) + (out > 0xFFFF).astype(np.int64)
+    width[at] = 0
+    done = np.frombuffer(out[out != BREAK].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
+    return done, np.cumsum(width)[at]
+
+
+def canonical_array(texts: pa.Array) -> pa.Array:
+    """The consistent form of an Arrow column of texts."""
+    wide = texts.cast(pa.large_string())
+    if not len(wide) or wide.buffers()[2] is None:
+        return texts.cast(pa.string())
+    offsets = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
+    data = np.frombuffer(wide.buffers()[2], np.uint8)
+    high = np.concatenate(([0], np.cumsum(data[offsets[0] : offsets[-1]] > 0x7F)))
+    plain = high[offsets[1:] - offsets[0]] == high[offsets[:-1] - offsets[0]]
+    if plain.all():
+        return texts.cast(pa.string())
+    some = wide.filter(pa.array(~plain))  # nulls have no bytes, so they are plain
+    offsets, data = np.frombuffer(some.buffers()[1], np.int64)[some.offset : some.offset + len(some) + 1], np.frombuffer(some.buffers()[2], np.uint8)
+    parts, ends, total, s = [], [np.zeros(1, np.int64)], 0, 0
+    while s < len(some):
+        e = max(s + 1, int(np.searchsorted(offsets, offsets[s] + SLICE_BYTES, "right")) - 1)
+        part, upto = _form_of_bytes(data[offsets[s] : offsets[e]], offsets[s + 1 : e + 1] - offsets[s])
+        parts.append(part)
+        ends.append(upto + total)
+        total += len(part)
+        s = e
+    new = pa.LargeStringArray.from_buffers(len(some), pa.py_buffer(np.concatenate(ends)), pa.py_buffer(np.concatenate(parts)))
+    return pc.replace_with_mask(wide, pa.array(~plain), new).cast(pa.string())
+
+
+def canonical_texts(texts: list[str]) -> list[str]:
+    """The consistent form of each text, for small lists."""
+    return canonical_array(pa.array(texts, pa.string())).to_pylist()
 
 
 def canonical(df: DataFrame, text: str = "text", out: str = "canonical") -> DataFrame:
@@ -162,11 +201,7 @@ def canonical(df: DataFrame, text: str = "text", out: str = "canonical") -> Data
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(text)
-            done: list[str] = []
-            for _, part in slices(texts.to_pylist()):
-                done += canonical_texts(part)
-            new = pa.array(done, pa.string(), mask=np.asarray(texts.is_null())) if len(done) else pa.array([], pa.string())
+            new = canonical_array(batch.column(text))
             cols = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != out]
             yield pa.RecordBatch.from_arrays([*(c for _, c in cols), new], [*(n for n, _ in cols), out])
 
@@ -189,10 +224,10 @@ def equal_looking(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def pairs_of_spellings(e: DataFrame, key: str) -> DataFrame:
     """(a, b) for rows of one form with different characters; spellings are paired first, so equal texts are never paired."""
     spelled = e.select("form", "raw").distinct()
-    two = spelled.withColumnRenamed("raw", "ra").join(spelled.withColumnRenamed("raw", "rb"), "form").where("ra < rb")
-    left = e.select("form", F.col("raw").alias("ra"), F.col(key).alias("x"))
-    right = e.select("form", F.col("raw").alias("rb"), F.col(key).alias("y"))
-    return two.join(left, ["form", "ra"]).join(right, ["form", "rb"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    two = pairs_within(spelled, "form", "raw").select(F.col("a").alias("ra"), F.col("b").alias("rb"))  # a spelling has one form
+    left = e.select(F.col("raw").alias("ra"), F.col(key).alias("x"))
+    right = e.select(F.col("raw").alias("rb"), F.col(key).alias("y"))
+    return two.join(left, "ra").join(right, "rb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def p8_found(spark, base) -> DataFrame:
