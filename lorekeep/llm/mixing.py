@@ -8,28 +8,31 @@ times its tokens gives every document floor(e) times, and a seeded choice of
 documents once more until their tokens fill the rest.
 
 That choice takes documents in the order of a seeded hash.  The hash range is
-cut into bins; bins are counted first, so only the documents of the one bin in
-which the rest ends are put in order, and no task sees a whole source.
+cut into bins, more for larger sources; bins are counted first, so only the
+documents of the one bin in which the rest ends are put in order, and no task
+sees a whole source.
 """
 
 from __future__ import annotations
 
 import base64
 import math
+import os
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._spark import written
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # default of the parameter; the driver sends the file to the executors
 #: The public splitting pattern of that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BINS = 4096
+BIN_ROWS, MOST_BINS = 256, 1 << 16  # documents of the largest source in a bin, and bins of a source
 MOST_SOURCES = 100_000  # rows of the target table that may come to the driver
 
 
@@ -46,9 +49,10 @@ def count_tokens(df: DataFrame, text: str = "text", out: str = "tokens", tokeniz
     """`df` with `text` replaced by its number of tokens; null and empty texts have 0."""
     rest = [f for f in df.schema.fields if f.name not in (text, out)]
     schema = T.StructType([*rest, T.StructField(out, T.LongType())])
+    df.sparkSession.sparkContext.addFile(tokenizer)
 
     def run(batches):
-        enc = _encoding(tokenizer)
+        enc = _encoding(SparkFiles.get(os.path.basename(tokenizer)))
         for batch in batches:
             n = np.fromiter((len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(text).to_pylist()), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(n)], schema.names)
@@ -107,10 +111,11 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
         plan.append((r.source, r.target / scale, r.cap, int(r.have or 0), int(r.docs or 0), whole, float(max(0.0, given[r.source] - whole * (r.have or 0))), capacity[r.source] <= given[r.source]))
     plan_df = F.broadcast(spark.createDataFrame(plan, "source string, target double, cap int, have long, docs long, whole int, rest double, clamped boolean"))
 
+    bins_of = min(MOST_BINS, 1 << max(4, math.ceil(max((r.docs or 0 for r in rows), default=0) / BIN_ROWS).bit_length()))
     h = F.xxhash64(F.lit(seed), F.col(key))
-    binned = sized.join(plan_df.select("source", "whole", "rest"), "source").withColumn("_h", h).withColumn("_bin", F.pmod("_h", F.lit(BINS)).cast("int"))
+    binned = sized.join(plan_df.select("source", "whole", "rest"), "source").withColumn("_h", h).withColumn("_bin", F.pmod("_h", F.lit(bins_of)).cast("int"))
     run = Window.partitionBy("source").orderBy("_bin")
-    bins = binned.groupBy("source", "_bin", "rest").agg(F.sum("tokens").alias("n")).withColumn("upto", F.sum("n").over(run))  # at most BINS rows per source
+    bins = binned.groupBy("source", "_bin", "rest").agg(F.sum("tokens").alias("n")).withColumn("upto", F.sum("n").over(run))  # at most MOST_BINS rows per source
     bins = bins.select("source", "_bin", (F.col("upto") - F.col("n")).alias("before"), "upto")
     placed = binned.join(bins, ["source", "_bin"])
     inner = placed.where((F.col("before") < F.col("rest")) & (F.col("upto") > F.col("rest")))
