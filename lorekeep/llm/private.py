@@ -11,8 +11,8 @@ keyed stand-ins of the same type and format instead: equal people, numbers and
 addresses get equal stand-ins across all texts and spellings, different ones
 get different ones, and no stand-in is a value that occurs.  Digits stay
 digits, capitals stay capitals, order and disguise of the original are kept.
-Names keep their script and the gender that a title, the name or its ending
-shows; an initial is taken for the one full name of the text that it fits.
+Numbers with a valid check digit or letter get a valid one.  Names keep their
+script and the gender that a title, the name or its ending shows; an initial is taken for the one full name of the text that it fits.
 
 Null texts give null; empty texts stay empty.
 """
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 
 import ahocorasick
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._given import gender, script, syllables
-from ._spark import cut, written
+from ._spark import cut, small, written
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 MOST_NAMES = 1_000_000  # lexicon rows that may be sent to the executors
@@ -525,6 +526,21 @@ def canonical_entities(text: str, entities: list[dict], given: set[str]) -> list
     return out
 
 
+DNI_LETTERS = "trwagmyfpdxbnjzsqvhlcke"  # fixed values: check letters by remainder
+PESEL_WEIGHTS = (1, 3, 7, 9, 1, 3, 7, 9, 1, 3)  # fixed values
+
+
+def checked(canon: str) -> str | None:
+    """A national number with its check digit or letter made right; None if it is of no kind that has one."""
+    if re.fullmatch(r"\d{11}", canon):
+        return canon[:10] + str(-sum(w * int(c) for w, c in zip(PESEL_WEIGHTS, canon, strict=False)) % 10)
+    if m := re.fullmatch(r"([xyz]?)(\d{7,8})[a-z]", canon):
+        lead, digits = m.groups()
+        if len(lead) + len(digits) == 8:
+            return lead + digits + DNI_LETTERS[int((str("xyz".index(lead)) if lead else "") + digits) % 23]
+    return None
+
+
 def surrogate_value(key: str, kind: str, canon: str, attempt: int, sex: str | None = None) -> str:
     """A stand-in for a canonical value, in canonical spelling; `sex` (f or m) goes before what the name tells."""
     s = _stream(key, kind, canon, str(attempt))
@@ -542,7 +558,10 @@ def surrogate_value(key: str, kind: str, canon: str, attempt: int, sex: str | No
         return "".join(c if keep and i == 0 else str(next(s) % 9 + 1 if i == 0 else next(s) % 10) for i, c in enumerate(canon))
     if kind == "id_number":
         swap = lambda c: str(next(s) % 10) if c.isdigit() else chr(97 + next(s) % 26) if c.isalpha() else c
-        return "".join(map(swap, canon))
+        valid = checked(canon) == canon
+        lead = canon[0] if valid and canon[0] in "xyz" else ""
+        new = lead + "".join(map(swap, canon[len(lead) :]))
+        return checked(new) if valid else new
     if kind == "email":
         local = canon.split("@")[0]
         return f"{name(local)}.{name(local, 1 + longer)}@{name('a')}.example".lower()  # a domain that can't be owned
@@ -607,15 +626,18 @@ def render(kind: str, value: str, stand_in: str) -> str:
 
 
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, stand_in): a different stand-in for each different canonical value, none of which occurs.
+    """(kind, canon, stand_in, mentions): a different stand-in for each different canonical value, none of which occurs.
 
-    Values whose stand-in is taken, by a smaller value or by an original, try
+    Names differ in the family name or the first letter, so they differ behind
+    initials, too.  Values whose stand-in is taken, by a smaller value or by an original, try
     again with the next attempt until none is left.  `sex`, if there, is the
     gender by title of each mention; it counts where all mentions agree.
     """
     said = F.col("sex") if "sex" in entities.columns else F.lit(None).cast("string")
-    people = entities.groupBy("kind", "canon").agg(F.min(said).alias("a"), F.max(said).alias("b"))
-    originals = cut(people.select("kind", "canon", F.when(F.col("a") == F.col("b"), F.col("a")).alias("sex")))
+    people = entities.groupBy("kind", "canon").agg(F.min(said).alias("a"), F.max(said).alias("b"), F.count("*").alias("mentions"))
+    originals = cut(people.select("kind", "canon", "mentions", F.when(F.col("a") == F.col("b"), F.col("a")).alias("sex")))
+    family = F.regexp_replace("stand_in", "^(.)[^ ]* ", "$1 ")
+    told = F.when(F.col("kind") == "person_name", family).otherwise(F.col("stand_in")).alias("told")  # what tells two of a kind apart, however they are written
 
     def tried(df: DataFrame, attempt: int) -> DataFrame:
         def run(batches):
@@ -627,20 +649,25 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
 
     done, left, attempt = None, originals, 0
     while True:
-        new = tried(left, attempt).withColumn("_n", F.row_number().over(Window.partitionBy("kind", "stand_in").orderBy("canon")))
+        new = tried(left, attempt).withColumn("told", told).withColumn("_n", F.row_number().over(Window.partitionBy("kind", "told").orderBy("canon")))
         free = new.where("_n = 1").drop("_n").join(originals.select("kind", F.col("canon").alias("stand_in")), ["kind", "stand_in"], "left_anti")
         if done is not None:
-            free = free.join(done.select("kind", "stand_in"), ["kind", "stand_in"], "left_anti")
-        free = cut(free.select("kind", "canon", "stand_in"))
+            free = free.join(done.select("kind", "told"), ["kind", "told"], "left_anti")
+        free = cut(free.select("kind", "canon", "stand_in", "told"))
         done = free if done is None else done.union(free)
         left = cut(left.join(free, ["kind", "canon"], "left_anti").select("kind", "canon", "sex"))
         attempt += 1
         if not left.limit(1).count():
-            return done
+            return done.drop("told").join(originals.select("kind", "canon", "mentions"), ["kind", "canon"])
+
+
+HOT_MENTIONS = 100_000  # of one value; such values are few and are looked up without a shuffle
 
 
-def surrogates(df: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "text", out: str = "clean", key: str = "lorekeep") -> DataFrame:
-    """`keys`, `text` and `out`: the text with keyed stand-ins.  `keys` identify a row."""
+def surrogates(df: DataFrame, lexicon: DataFrame, keys: list[str], key: str, text: str = "text", out: str = "clean") -> DataFrame:
+    """`keys`, `text` and `out`: the text with stand-ins made with the secret `key`.  `keys` identify a row."""
+    if not key:
+        raise ValueError("a secret key is needed")
     names = _lexicon(lexicon)
     found = find(df.select(*keys, text), lexicon, text)
     some = found.where(F.size("entities") > 0)
@@ -657,7 +684,10 @@ def surrogates(df: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "
             yield pa.RecordBatch.from_arrays([*(b.column(k).take(row) for k in keys), *cols, *(pa.array([c[n] for c in told], pa.string()) for n in (0, 1))], schema.names)
 
     occ = written(some.mapInArrow(canon, schema), "entities")
-    table = surrogate_table(occ, key)
+    table = cut(surrogate_table(occ, key))
+    hot = small(table.where(F.col("mentions") > HOT_MENTIONS))
+    by = ["kind", "canon"]
+    told = occ.join(hot, by).select(*occ.columns, "stand_in").unionByName(occ.join(hot.select(*by), by, "left_anti").join(table, by).select(*occ.columns, "stand_in"))
     rendered = T.StructType([*(df.schema[k] for k in keys), T.StructField("start_at", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("new", T.StringType())])
 
     def render_all(batches):
@@ -666,7 +696,7 @@ def surrogates(df: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "
             new = [render(k, v, s) for k, v, s in zip(b.column("kind").to_pylist(), vals, b.column("stand_in").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), b.column("start_at"), pa.array([len(v) for v in vals], pa.int32()), pa.array(new, pa.string())], rendered.names)
 
-    news = occ.join(table, ["kind", "canon"]).select(*keys, "start_at", "kind", "value", "stand_in").mapInArrow(render_all, rendered)
+    news = told.select(*keys, "start_at", "kind", "value", "stand_in").mapInArrow(render_all, rendered)
     per_row = news.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start_at", "length", "new"))).alias("_p"))  # the entities of one text
     whole = df.select(*keys, text).join(per_row, keys, "left").withColumn("_p", F.coalesce("_p", F.expr("cast(array() as array<struct<start_at:int,length:int,new:string>>)")))
     return _rebuilt(whole, text, out, "_p").select(*keys, text, out)
@@ -688,6 +718,7 @@ def p2_texts(spark, base) -> DataFrame:
 
 
 def p2_surrogates(spark, base) -> DataFrame:
-    """Every text with keyed stand-ins."""
+    """Every text with keyed stand-ins; the key is the setting spark.lorekeep.surrogateKey, or a new one for this run."""
     docs, lexicon = _here(spark, base)
-    return surrogates(docs, lexicon, ["src", "rec_no"]).select("src", "rec_no", "clean")
+    key = spark.conf.get("spark.lorekeep.surrogateKey", None) or secrets.token_hex(32)
+    return surrogates(docs, lexicon, ["src", "rec_no"], key).select("src", "rec_no", "clean")

@@ -164,9 +164,9 @@ def test_replacement_rows(spark):
     df = spark.createDataFrame(rows, "k long, text string, entities string")
     clean = {r.k: r.clean for r in private.replaced(df, lex).collect()}
     assert clean == {1: "[PERSON_NAME] <[EMAIL]>", 2: None, 3: "", 4: "nothing here", 5: "[PERSON_NAME] at [PHONE]; [PERSON_NAME]"}
-    new = {r.k: r.clean for r in private.surrogates(df, lex, ["k"]).collect()}
-    again = {r.k: r.clean for r in private.surrogates(df, lex, ["k"]).collect()}
-    other = {r.k: r.clean for r in private.surrogates(df, lex, ["k"], key="other").collect()}
+    new = {r.k: r.clean for r in private.surrogates(df, lex, ["k"], "key").collect()}
+    again = {r.k: r.clean for r in private.surrogates(df, lex, ["k"], "key").collect()}
+    other = {r.k: r.clean for r in private.surrogates(df, lex, ["k"], "other").collect()}
     assert new == again and new[1] != other[1] and new[2] is None and new[3] == "" and new[4] == "nothing here"
     first, last = new[1].split(" <")[0].split(" ")
     assert new[5].startswith(f"{last}, {first} at 02") and new[5].endswith(f"; {first.lower()} {last.lower()}")  # one person, one stand-in
@@ -181,6 +181,23 @@ def test_stand_ins_stay_distinct(spark, monkeypatch):
     assert len({r.stand_in for r in t}) == len({r.canon for r in t}) == 40 and real is private.surrogate_value
 
 
+def test_check_digits_are_kept():
+    for good in ("44051401359", "12345678z", "x1234567l"):
+        new = private.surrogate_value("k", "id_number", good, 0)
+        assert private.checked(good) == good and private.checked(new) == new != good
+    for other in ("44051401358", "12345678a", "ab1234567", "123456789"):
+        assert private.checked(other) != other
+        assert len(private.surrogate_value("k", "id_number", other, 0)) == len(other)
+
+
+def test_names_differ_behind_initials(spark):
+    df = spark.createDataFrame([("person_name", f"{a}nna b{i}") for a in "ab" for i in range(60)], "kind string, canon string")
+    t = private.surrogate_table(df, "k").collect()
+    assert len({(r.stand_in[0], r.stand_in.split(" ")[1]) for r in t}) == 120 and {r.mentions for r in t} == {1}
+    with pytest.raises(ValueError):
+        private.surrogates(df, df, ["kind"], "")
+
+
 def test_names_before_addresses():
     t = "A. Mac Ardley | a@example.org; KATLA JASTRUN | b@example.org"
     assert [t[s:e] for k, s, e in FINDER.spans(t) if k == "person_name"] == ["A. Mac Ardley", "KATLA JASTRUN"]
@@ -225,7 +242,7 @@ def test_stand_ins_keep_script_and_gender():
 def test_initials_stand_for_the_full_name(spark):
     lex = spark.createDataFrame([("Agata", "given"), ("Mark", "given"), ("May", "given"), ("Banks", "family")], "name_token string, role string")
     rows = [(1, "Agata Banks wrote; A. Banks agreed; Banks, A. left"), (2, "A. Banks is alone"), (3, "Mark Banks and May Banks met M. Banks"), (4, "asked Frau Drew Banks")]
-    new = {r.k: r.clean for r in private.surrogates(spark.createDataFrame(rows, "k long, text string"), lex, ["k"]).collect()}
+    new = {r.k: r.clean for r in private.surrogates(spark.createDataFrame(rows, "k long, text string"), lex, ["k"], "key").collect()}
     first, last = new[1].split(" wrote")[0].split(" ")
     assert new[1] == f"{first} {last} wrote; {first[0]}. {last} agreed; {last}, {first[0]}. left"
     assert last not in new[2]
