@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import history, leaks, lookalike, mixing, near, pieces, private, vectors
+from . import history, leaks, lookalike, mixing, near, oracles, pieces, private, vectors
 
 
 def queries():
@@ -31,4 +31,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"p1_found": pieces.P1_FOUND_SQL}
+    return dict(oracles.SQL)

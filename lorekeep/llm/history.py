@@ -583,7 +583,8 @@ def screen_batches(history: History, records: DataFrame) -> DataFrame:
     fresh = firsts.join(stored, "k", "left_anti")
     none = F.lit(None).cast("long").alias("duplicate_of")
     later = greedy_cases(among(fresh, history.least, history.part_chars)).select("k", none)
-    return stored.union(later).union(copies.select("k", none))
+    same = copies.join(stored.withColumnRenamed("k", "first"), "first", "left").select("k", "duplicate_of")
+    return stored.union(later).union(same)
 
 
 LEAST = (7, 10)

@@ -129,11 +129,15 @@ def p1_pieces(spark, base) -> DataFrame:
 
 
 def p1_sizes(spark, base) -> DataFrame:
-    """Per source: items, pieces, the longest piece and overlap, and characters with overlaps left out."""
+    """Per source: items, characters with overlaps left out, and whether all pieces keep to the limit and the overlap and lie side by side."""
     p = _here(spark, base)
-    return p.groupBy("src").agg(
-        F.sum((F.col("piece_no") == 1).cast("long")).alias("items"), F.count("*").alias("pieces"), F.max(F.length("piece")).alias("longest_piece"), F.max("overlap").alias("longest_overlap"), F.sum(F.length("piece") - F.col("overlap")).alias("chars")
-    )
+    limit = F.when(F.col("src") == "mcp_documents", 2048).otherwise(512)
+    start, size = F.col("start_at"), F.length("piece")
+    item = p.groupBy("src", "rec_no").agg(
+        F.max(size - limit).alias("over"), F.max("overlap").alias("overlap"), F.sum(size - F.col("overlap")).alias("chars"), F.max(start + size - 1).alias("last"), F.min(start).alias("first"), F.max("pieces").alias("pieces"), F.count("*").alias("n")
+    )
+    fits = (F.col("first") == 1) & (F.col("last") == F.col("chars")) & (F.col("pieces") == F.col("n"))
+    return item.groupBy("src").agg(F.count("*").alias("items"), F.sum("chars").alias("chars"), (F.max("over") <= 0).alias("within_limit"), (F.max("overlap") <= 128).alias("within_overlap"), F.every(fits).alias("in_order"))
 
 
 P1_FOUND_SQL = """
