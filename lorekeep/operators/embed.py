@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -38,17 +40,31 @@ class HashedEmbedder:
         self.dim = dim
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        return [self._one(t) for t in texts]
-
-    def _one(self, text: str) -> list[float]:
-        v = [0.0] * self.dim
-        for w in text.lower().split():
-            h = 0xCBF29CE484222325
-            for b in w.encode():
-                h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-            v[h % self.dim] += 1.0
-        n = sum(x * x for x in v) ** 0.5
-        return [x / n for x in v] if n > 1e-10 else v
+        words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pa.array([t.lower() for t in texts], pa.large_string())))
+        row = pc.list_parent_indices(words).to_numpy()
+        flat = pc.dictionary_encode(words.flatten())  # every different word is hashed once
+        full = flat.dictionary.to_numpy(zero_copy_only=False) != ""
+        place = _fnv(flat.dictionary)[flat.indices.to_numpy()] % np.uint64(self.dim)
+        keep = full[flat.indices.to_numpy()]
+        v = np.bincount(row[keep] * self.dim + place[keep].astype(np.int64), minlength=len(texts) * self.dim).reshape(len(texts), self.dim).astype(float)
+        n = np.linalg.norm(v, axis=1, keepdims=True)
+        return np.divide(v, n, out=v, where=n > 1e-10).tolist()
+
+
+def _fnv(words: pa.Array) -> np.ndarray:
+    """FNV-1a of the bytes of each word, all words one byte further at a time."""
+    if not len(words):
+        return np.empty(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    size = np.diff(offsets)
+    order = np.argsort(-size, kind="stable")
+    h = np.full(len(words), 0xCBF29CE484222325, np.uint64)
+    left = np.searchsorted(-size[order], -np.arange(1, int(size.max(initial=0)) + 1), "right")  # words with so many bytes
+    for i, n in enumerate(left.tolist()):
+        at = order[:n]
+        h[at] = (h[at] ^ data[offsets[at] + i]) * np.uint64(0x100000001B3)
+    return h
 
 
 class OverlapReranker:

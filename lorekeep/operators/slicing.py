@@ -106,6 +106,15 @@ def split_sentences(df: DataFrame, keep: list[str], text: str = "text") -> DataF
     return _rows_from(df, lambda t: [{"sentence_index": i, "sentence": s} for i, s in enumerate(P.sentences(t or ""))], [("sentence_index", "int"), ("sentence", "string")], keep, [text])
 
 
+def embed_batches(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """(keep, sentence_index, batch): the request of each sentence of a text, by number and characters."""
+
+    def make(t):
+        return [{"sentence_index": i, "batch": b} for i, b in enumerate(P.embed_batches([len(s) for s in P.sentences(t or "")]))]
+
+    return _rows_from(df, make, [("sentence_index", "int"), ("batch", "int")], keep, [text])
+
+
 def json_documents(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """(keep, element, kind, content): texts of a JSON value; elements of an array over 50 bytes each, else the whole; what isn't JSON is one text."""
 

@@ -8,9 +8,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import embed as E
+from ..operators import search as Q
 from ..sources import files, table
 from ..streaming import activity, ingest
-from .registry import Registry
+from .registry import Registry, pieces
+from .search_queries import query_vector, sql_near
 
 R = Registry()
 
@@ -61,16 +63,29 @@ def _(spark, base):
     return files.listing(spark, base, "*.parquet", recursive=True).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
-@R.add("r28_embed_documents")
+_BYTE = "(instr('0123456789ABCDEF', substr(hex(w), 2 * i - 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hex(w), 2 * i, 1)) - 1"
+_FNV = f"list_reduce(list_transform(range(1, strlen(w) + 1), lambda i: ({_BYTE})::UHUGEINT), lambda h, b: (xor(h::UBIGINT, b::UBIGINT)::UHUGEINT * 1099511628211) % 18446744073709551616::UHUGEINT, 14695981039346656037::UHUGEINT)"
+
+
+@R.add("r28_embed_documents", f"""WITH w AS (SELECT doc_id, unnest({pieces('lower(text)')}) AS w FROM documents WHERE text IS NOT NULL),
+f AS (SELECT w, ({_FNV} % 64)::INT AS place FROM (SELECT DISTINCT w FROM w)), n AS (SELECT doc_id, place, count(*) AS n FROM w JOIN f USING (w) GROUP BY 1, 2)
+SELECT doc_id, place, round((n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5) AS value FROM n""")
 def _(spark, base):
     v = E.embedded(table(spark, base, "documents", "doc_id", "text"), ["doc_id"])
-    return v.select("doc_id", F.size("vector").alias("size"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 4).alias("square"))
+    return v.select("doc_id", F.posexplode("vector").alias("place", "x")).where("x != 0").select("doc_id", "place", F.round(F.col("x").cast("double"), 5).alias("value"))
+
+
+_ASKED = "the stale parser checkpoint"
 
 
-@R.add("r27_rerank")
+@R.add("r27_rerank", f"""WITH q AS (SELECT list_distinct(string_split('{_ASKED}', ' ')) AS q), c AS {sql_near('mcp_documents', 50)}
+SELECT row_no, round(len(list_intersect(q, list_distinct({pieces("lower(coalesce(text, ''))")}))) / len(q), 6) AS score FROM c JOIN mcp_documents USING (row_no), q""")
 def _(spark, base):
-    d = table(spark, base, "documents", "doc_id", "text").where(F.lower("text").contains("parser"))
-    return E.reranked(d, "the stale parser checkpoint", ["doc_id"]).orderBy(F.desc("score"), "doc_id").limit(50)
+    """The nearest rows by vector, scored again by the reranker."""
+    d = table(spark, base, "mcp_documents", "row_no", "vector", "text")
+    near = Q.vector_top(d.select("row_no", "vector"), query_vector(spark, base), 50)
+    hits = F.broadcast(near.select("row_no")).join(d.select("row_no", "text"), "row_no")  # 50 rows
+    return E.reranked(hits, _ASKED, ["row_no"]).select("row_no", F.round("score", 6).alias("score"))
 
 
 @R.add("x1_stream_ingest", "SELECT min(block_no) AS block_no, sha256(content) AS content_hash FROM raw_blocks WHERE strlen(content) >= 50 GROUP BY 2")

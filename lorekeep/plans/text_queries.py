@@ -14,6 +14,7 @@ from ..operators import clean as C
 from ..operators import slicing as D
 from ..operators import turns as U
 from ..sources import table
+from . import text_sql as Z
 from .registry import WS, Registry, collapse, cut_words, pieces, strip, text_value
 
 R = Registry()
@@ -104,17 +105,17 @@ def _(spark, base):
     return with_text(spark, base).select("doc_id", X.cut_words("text", 120).alias("head"))
 
 
-@R.add("t10_cut_sentence")
+@R.add("t10_cut_sentence", f"SELECT doc_id, {Z.cut_sentence('text', 400)} AS head FROM documents WHERE text IS NOT NULL")
 def _(spark, base):
     return D._rows_from(documents(spark, base), lambda t: [{"head": P.cut_sentence(t, 400)}] if t is not None else [], [("head", "string")], ["doc_id"], ["text"])
 
 
-@R.add("t11_sentences")
+@R.add("t11_sentences", f"SELECT doc_id, (generate_subscripts(s, 1) - 1)::INT AS sentence_index, unnest(s) AS sentence FROM (SELECT doc_id, {Z.sentences('text')} AS s FROM documents WHERE text IS NOT NULL)")
 def _(spark, base):
     return D.split_sentences(documents(spark, base), ["doc_id"])
 
 
-@R.add("t12_key_content")
+@R.add("t12_key_content", f"WITH {Z.key_content('documents', 'doc_id', 'text', 600, 'q')} SELECT doc_id, content FROM qkc")
 def _(spark, base):
     return D.key_contents(documents(spark, base), ["doc_id"])
 
@@ -176,7 +177,22 @@ def _(spark, base):
 
 
 # ---- JSON ---------------------------------------------------------------------
-@R.add("s13_json_documents")
+# one level of objects, as the tables have them
+_STR = lambda k: f"CASE WHEN json_type(v, '$.{k}') = 'VARCHAR' THEN json_extract_string(v, '$.{k}') END"
+_SAID = "list_filter([" + ", ".join(_STR(k) for k in ("content", "text", "message", "summary", "description", "body")) + f", ({_STR('role')}) || ': ' || ({_STR('content')})], lambda x: x IS NOT NULL AND x <> '')"
+_TITLE = "coalesce(" + ", ".join(_STR(k) for k in ("title", "name", "uuid", "id")) + ", '')"
+_KIND = """CASE WHEN json_type(v) <> 'OBJECT' THEN CASE json_type(v) WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'text' ELSE 'value' END
+  WHEN list_contains(json_keys(v), 'chat_messages') OR list_contains(json_keys(v), 'mapping') THEN 'conversation' WHEN list_has_all(json_keys(v), ['messages', 'sessions']) THEN 'session'
+  WHEN list_has_all(json_keys(v), ['role', 'content']) THEN 'message' WHEN list_has_all(json_keys(v), ['observations', 'name']) THEN 'entity' WHEN list_contains(json_keys(v), 'messages') THEN 'thread' ELSE 'object' END"""
+
+
+@R.add("s13_json_documents", f"""WITH t AS (SELECT slice_no, content, coalesce(json_valid(content), false) AS ok, CASE WHEN json_valid(content) THEN json_type(content) END AS type FROM onion_slices WHERE content IS NOT NULL),
+e AS (SELECT slice_no, generate_subscripts(a, 1) - 1 AS element, unnest(a) AS v FROM (SELECT slice_no, json_extract(content, '$[*]') AS a FROM t WHERE type = 'ARRAY') UNION ALL SELECT slice_no, 0, content::JSON FROM t WHERE ok AND type <> 'ARRAY'),
+p AS (SELECT slice_no, element, {_KIND} AS kind, {_SAID} AS parts, {_TITLE} AS title, v FROM e),
+j AS (SELECT slice_no, element, kind, CASE WHEN kind = 'text' THEN json_extract_string(v, '$') ELSE array_to_string(CASE WHEN title <> '' AND len(list_filter(parts, lambda x: contains(x, title))) = 0 THEN list_prepend('[' || title || ']', parts) ELSE parts END, chr(10)) END AS content FROM p),
+g AS (SELECT j.* FROM j JOIN t USING (slice_no) WHERE type <> 'ARRAY' OR strlen(j.content) > 50)
+SELECT slice_no, element::INT AS element, kind, content FROM g
+UNION ALL SELECT slice_no, 0, 'text', content FROM t WHERE NOT ok UNION ALL SELECT slice_no, 0, 'array', content FROM t WHERE type = 'ARRAY' AND slice_no NOT IN (SELECT slice_no FROM g)""")
 def _(spark, base):
     return D.json_documents(table(spark, base, "onion_slices", "slice_no", "content").withColumnRenamed("content", "text"), ["slice_no"])
 
@@ -276,7 +292,17 @@ def _(spark, base):
     return blocks(spark, base).where("content is not null").groupBy(F.coalesce(C.drop_reason(), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@R.add("d11_filter_conversations")
+@R.add("d11_filter_conversations", f"""
+WITH RECURSIVE m AS (SELECT session_id, block_no, {_REASON} AS reason, {sql_cleaned('content')} AS clean FROM raw_blocks WHERE content IS NOT NULL),
+k AS (SELECT session_id, block_no, list_distinct({pieces('clean')}) AS ws FROM m WHERE reason = 'kept' AND session_id IS NOT NULL),
+w AS (SELECT session_id, block_no, len(ws) AS n, unnest(ws) AS word FROM k),
+e AS (SELECT b.block_no, a.block_no AS other FROM w a JOIN w b ON a.session_id = b.session_id AND a.word = b.word AND a.block_no < b.block_no
+  GROUP BY a.block_no, b.block_no HAVING count(*) >= {C.NEAR}::DOUBLE * (min(a.n) + min(b.n) - count(*))),
+rec AS (SELECT session_id, block_no, row_number() OVER (PARTITION BY session_id ORDER BY block_no) AS nth, coalesce((SELECT list(other) FROM e WHERE e.block_no = k.block_no), []) AS others FROM k),
+step AS (SELECT DISTINCT session_id, 0::BIGINT AS nth, []::BIGINT[] AS kept, NULL::BIGINT AS gone FROM rec
+  UNION ALL SELECT rec.session_id, rec.nth, CASE WHEN list_has_any(others, kept) THEN kept ELSE list_append(kept, block_no) END, CASE WHEN list_has_any(others, kept) THEN block_no END
+  FROM step JOIN rec ON rec.session_id = step.session_id AND rec.nth = step.nth + 1)
+SELECT session_id, block_no, CASE WHEN block_no IN (SELECT gone FROM step WHERE gone IS NOT NULL) THEN 'near_duplicate' ELSE reason END AS reason FROM m""")
 def _(spark, base):
     return C.filtered_conversations(blocks(spark, base)).select("session_id", "block_no", F.coalesce("reason", F.lit("kept")).alias("reason"))
 
@@ -287,7 +313,11 @@ def _(spark, base):
 
 
 # ---- slices and chunks --------------------------------------------------------------
-@R.add("d1_onion_slices")
+_META = {k: text_value(k) for k in ("type", "format", "role", "project", "title", "conversation", "session", "agent")}
+
+
+@R.add("d1_onion_slices", f"""WITH {Z.layers('mcp_documents', 'row_no', 'text', _META)}
+SELECT row_no, id, layer::INT AS layer, content, lead(id) OVER w AS parent_id, coalesce(lag(id) OVER w, '') AS children, keywords FROM sl WINDOW w AS (PARTITION BY row_no ORDER BY layer)""")
 def _(spark, base):
     d = table(spark, base, "mcp_documents", "row_no", "text", "metadata")
     return D.sliced(d, ["row_no"]).select("row_no", "id", "layer", "content", "parent_id", F.array_join("children_ids", ",").alias("children"), F.array_join("keywords", ",").alias("keywords"))
@@ -302,18 +332,21 @@ def _(spark, base):
     return D.sliced(d, ["doc_id"], fast=True).where("layer = 1").select("doc_id", "content")
 
 
-@R.add("d3_conversation_slices")
+@R.add("d3_conversation_slices", f"WITH {Z.layers('mcp_documents', 'row_no', 'text', _META)} SELECT row_no, layer::INT AS layer, content FROM sl WHERE row_no IN (SELECT row_no FROM mcp_documents WHERE {_META['type']} IN {tuple(P.CONVERSATION_TYPES)})")
 def _(spark, base):
     d = table(spark, base, "mcp_documents", "row_no", "text", "metadata").where(M.text_value(M.parsed(), "type").isin(*P.CONVERSATION_TYPES))
     return D.sliced(d, ["row_no"]).select("row_no", "layer", "content")
 
 
-@R.add("t36_conversation_facets")
+@R.add("t36_conversation_facets", f"WITH {Z.facets('raw_blocks', 'block_no', 'content', {})} SELECT block_no, block::INT AS block, label, summary, decision, next_action, entities FROM ff")
 def _(spark, base):
     return D.facets(blocks(spark, base), ["block_no"])
 
 
-@R.add("d4_sentence_chunks")
+_CHUNKS = f"WITH {Z.chunks('documents', 'doc_id, path', 'text')}, c AS (SELECT doc_id, path, (generate_subscripts(chunks, 1) - 1)::INT AS chunk_index, len(chunks)::INT AS total_chunks, unnest(chunks) AS chunk FROM ch)"
+
+
+@R.add("d4_sentence_chunks", f"{_CHUNKS} SELECT doc_id, chunk_index, total_chunks, chunk FROM c")
 def _(spark, base):
     return D.sentence_chunks(documents(spark, base), ["doc_id"])
 
@@ -343,23 +376,27 @@ def _(spark, base):
     return with_text(spark, base).select("doc_id", heads.cast("long").alias("headings"))
 
 
-@R.add("d6_section_texts")
+@R.add("d6_section_texts", f"SELECT doc_id, section_index, r.h AS heading, r.b AS body FROM (SELECT doc_id, (generate_subscripts(s, 1) - 1)::INT AS section_index, unnest(s) AS r FROM (SELECT doc_id, {Z.sections('text')} AS s FROM documents WHERE text <> ''))")
 def _(spark, base):
     return D.sections(documents(spark, base), ["doc_id"])
 
 
-@R.add("d7_enriched_chunks")
+@R.add("d7_enriched_chunks", f"""WITH sec AS (SELECT doc_id, path, n, r.h AS section, r.b AS body FROM (SELECT doc_id, path, generate_subscripts(s, 1) AS n, unnest(s) AS r FROM (SELECT doc_id, path, {Z.sections('text')} AS s FROM documents WHERE text <> ''))),
+{Z.chunks('sec', 'doc_id, path, n, section', 'body')}, c AS (SELECT doc_id, path, n, section, generate_subscripts(chunks, 1) AS i, unnest(chunks) AS original FROM ch),
+f AS (SELECT *, {_EXT} AS e FROM (SELECT *, string_split(path, '/')[-1] AS n FROM (SELECT doc_id, path, section, (row_number() OVER (PARTITION BY doc_id ORDER BY n, i) - 1)::INT AS chunk_index, original FROM c))),
+g AS (SELECT *, concat_ws(' ', CASE WHEN n <> '' THEN '[Source: ' || n || ']' END, '[Section: ' || section || ']', '[Type: ' || ({_TYPES}) || ']') AS p FROM f)
+SELECT doc_id, path, chunk_index, section, original, CASE WHEN p = '' THEN original ELSE CASE WHEN strlen(p) > 100 THEN substr(p, 1, 100) ELSE p END || chr(10) || chr(10) || original END AS chunk FROM g""")
 def _(spark, base):
     return D.enriched(documents(spark, base, "doc_id", "path", "text"), ["doc_id", "path"])
 
 
-@R.add("d13_flat_rows")
+@R.add("d13_flat_rows", f"{_CHUNKS} SELECT concat_ws('_', path, chunk_index) AS id, chunk_index, total_chunks, sha256(chunk) AS content_hash FROM c")
 def _(spark, base):
     c = D.sentence_chunks(documents(spark, base, "doc_id", "path", "text"), ["doc_id", "path"])
     return c.select(F.concat_ws("_", "path", F.col("chunk_index").cast("string")).alias("id"), "chunk_index", "total_chunks", X.content_hash("chunk").alias("content_hash"))
 
 
-@R.add("d14_flat_family")
+@R.add("d14_flat_family", f"{_CHUNKS} SELECT CASE WHEN total_chunks = 1 THEN doc_id::VARCHAR ELSE doc_id || '::chunk::' || chunk_index END AS id, doc_id::VARCHAR AS original_id, chunk FROM c")
 def _(spark, base):
     c = D.sentence_chunks(documents(spark, base), ["doc_id"])
     id_ = F.when(F.col("total_chunks") == 1, F.col("doc_id").cast("string")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit("::chunk::"), F.col("chunk_index").cast("string")))
@@ -376,17 +413,15 @@ def _(spark, base):
     return with_text(spark, base).groupBy(X.content_hash("text").alias("file_hash")).agg(F.min("doc_id").alias("doc_id"))
 
 
-@R.add("w9_embed_batches")
-def _(spark, base):
-    """Texts of each file part packed in order into requests; a partition is one client."""
-    import pyarrow as pa
+_STEP = "CASE WHEN acc.items > 0 AND (acc.items >= 64 OR acc.chars + x.n > 128000) THEN {'n': 0::BIGINT, 'items': 1::BIGINT, 'chars': x.n, 'of': list_append(acc.of, acc.of[-1] + 1)} ELSE {'n': 0::BIGINT, 'items': acc.items + 1, 'chars': acc.chars + x.n, 'of': list_append(acc.of, coalesce(acc.of[-1], 0))} END"
 
-    def run(batches):
-        for b in batches:
-            sizes = [len(t or "") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(P.embed_batches(sizes), pa.int32())], ["doc_id", "batch"])
 
-    return documents(spark, base).mapInArrow(run, "doc_id long, batch int")
+@R.add("w9_embed_batches", f"""WITH s AS (SELECT doc_id, {Z.sentences('text')} AS parts FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, list_reduce(list_transform(parts, lambda p: {{'n': length(p), 'items': 0::BIGINT, 'chars': 0::BIGINT, 'of': []::INT[]}}), lambda acc, x: {_STEP}, {{'n': 0::BIGINT, 'items': 0::BIGINT, 'chars': 0::BIGINT, 'of': []::INT[]}}).of AS batches FROM s)
+SELECT doc_id, (generate_subscripts(batches, 1) - 1)::INT AS sentence_index, unnest(batches) AS batch FROM b""")
+def _(spark, base):
+    """The sentences of each document packed in order into requests."""
+    return D.embed_batches(documents(spark, base), ["doc_id"])
 
 
 # ---- conversations ----------------------------------------------------------------------
@@ -428,10 +463,13 @@ def _(spark, base):
     return t.withColumn("p", F.lag("text").over(Window.partitionBy("session_id", "turn", "role").orderBy("block_no"))).where("p = text").select("session_id", "block_no")
 
 
-@R.add("d8_turn_documents", f"""WITH {_TURNS}, said AS (SELECT * FROM turns QUALIFY coalesce(lag(text) OVER (PARTITION BY session_id, turn, role ORDER BY block_no) <> text, true)),
+_TURN_DOCS = f"""{_TURNS}, said AS (SELECT * FROM turns QUALIFY coalesce(lag(text) OVER (PARTITION BY session_id, turn, role ORDER BY block_no) <> text, true)),
 s AS (SELECT session_id, turn, role, string_agg(text, chr(10) ORDER BY block_no) AS body FROM said GROUP BY 1, 2, 3),
-d AS (SELECT session_id, turn, concat_ws(chr(10) || chr(10), max(CASE WHEN role = 'user' THEN 'User request:' || chr(10) || body END), max(CASE WHEN role = 'assistant' THEN 'Assistant response:' || chr(10) || body END), max(CASE WHEN role = 'reasoning' THEN 'Reasoning focus:' || chr(10) || body END)) AS content FROM s GROUP BY 1, 2)
-SELECT session_id, turn, content, session_id || '-' || lpad(turn::VARCHAR, greatest(4, length(turn::VARCHAR))::INT, '0') || '-' || substr(sha256(content), 1, 16) AS id FROM d WHERE strlen(content) >= 20""")
+d AS (SELECT session_id, turn, concat_ws(chr(10) || chr(10), max(CASE WHEN role = 'user' THEN 'User request:' || chr(10) || body END), max(CASE WHEN role = 'assistant' THEN 'Assistant response:' || chr(10) || body END), max(CASE WHEN role = 'reasoning' THEN 'Reasoning focus:' || chr(10) || body END)) AS content FROM s GROUP BY 1, 2),
+docs_ AS (SELECT session_id, turn, content, session_id || '-' || lpad(turn::VARCHAR, greatest(4, length(turn::VARCHAR))::INT, '0') || '-' || substr(sha256(content), 1, 16) AS id FROM d WHERE strlen(content) >= 20)"""
+
+
+@R.add("d8_turn_documents", f"WITH {_TURN_DOCS} SELECT session_id, turn, content, id FROM docs_")
 def _(spark, base):
     return U.turn_documents(blocks(spark, base))
 
@@ -452,7 +490,16 @@ def _(spark, base):
     return e.groupBy("doc_id").agg(F.count("*").alias("entries"), F.min("time").alias("first_time"), F.max("time").alias("last_time"))
 
 
-@R.add("d9_transcript_turns")
+_ENTRY = r"^\s*\[(\d\d:\d\d:\d\d)\]\s*([^:]*):\s*(.*)$"
+
+
+@R.add("d9_transcript_turns", rf"""WITH tl AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS line, unnest(x) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL) WHERE len(list_filter(x, lambda y: regexp_matches(y, '^\s*\[\s*project:.*\]\s*$'))) > 0),
+ts AS (SELECT doc_id, line, {strip('raw')} AS raw FROM tl),
+te AS (SELECT doc_id, line, raw, {_ROLE.replace('role', f"regexp_extract(raw, '{_ENTRY}', 2)", 3)} AS role, regexp_extract(raw, '{_ENTRY}', 3) AS body FROM ts),
+ti AS (SELECT *, count(role) OVER w AS n, coalesce(arg_max(raw = '[signals]', line) FILTER (WHERE raw IN ('[signals]', '[/signals]')) OVER w, false) AS inside FROM te WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING)),
+raw_blocks AS (SELECT doc_id AS session_id, min(line) AS block_no, max(role) AS role, {strip("string_agg(CASE WHEN role IS NOT NULL THEN body ELSE raw END, chr(10) ORDER BY line)")} AS content FROM ti
+  WHERE n > 0 AND (role IS NOT NULL OR (NOT inside AND raw NOT IN ('', '[signals]', '[/signals]'))) GROUP BY doc_id, n),
+{_TURN_DOCS} SELECT session_id AS doc_id, turn, id, content FROM docs_""")
 def _(spark, base):
     e = U.entry_lines(with_text(spark, base), ["doc_id"], headed=True)
     return U.turn_documents(e.withColumn("line", F.col("line").cast("long")), "doc_id", "line", "body", "role").select("doc_id", "turn", "id", "content")
