@@ -134,8 +134,11 @@ def merged(sources: list[DataFrame], prefix: str | None = None) -> DataFrame:
     every = reduce(DataFrame.unionByName, tagged)
     if prefix:
         every = every.withColumn("namespace", F.concat(F.lit(prefix), "namespace"))
-    first = every.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min(F.struct("source", "row_no")).alias("_f"))
-    return every.join(first, "content_hash", "left").withColumn("copied", F.col("_f").isNull() | (F.struct("source", "row_no") == F.col("_f"))).drop("_f")
+    hashed = every.where(F.col("content_hash").isNotNull())
+    first = hashed.groupBy("content_hash").agg(F.min(F.struct("source", "row_no")).alias("_f"))
+    settled = hashed.join(first, "content_hash").withColumn("copied", F.struct("source", "row_no") == F.col("_f")).drop("_f")
+    # rows without a hash meet nothing, so they don't go through the join
+    return settled.unionByName(every.where(F.col("content_hash").isNull()).withColumn("copied", F.lit(True)))
 
 
 def migrated(df: DataFrame, source: str, target: str, delete_source: bool = False, merge: bool = False) -> DataFrame:
@@ -158,6 +161,21 @@ def recovery(ledger: DataFrame, vectors: DataFrame, keywords: DataFrame) -> Data
     return counted.withColumn("state", state)
 
 
+def smoothed(daily: DataFrame, day: str, value: str, weight: float = 0.3) -> DataFrame:
+    """(day, ema): exponential means of one value a day, in order; the days are few, so one task folds them."""
+    import pyarrow as pa
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by(day)
+        out, last = [], None
+        for v in t.column(value).to_pylist():
+            last = v if last is None else weight * v + (1 - weight) * last
+            out.append(last)
+        return pa.table([t.column(day), pa.array(out, pa.float64())], [day, "ema"])
+
+    return daily.select(day, value).groupBy(F.lit(0).alias("_all")).applyInArrow(run, f"{day} {daily.schema[day].dataType.simpleString()}, ema double")
+
+
 def rolling_rate(events: DataFrame, group: str, ts: str, order: str, width: int = 50) -> DataFrame:
     """`events` with the completions per second over the last `width` of their group."""
     w = Window.partitionBy(group).orderBy(ts, order).rowsBetween(1 - width, 0)

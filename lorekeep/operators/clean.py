@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .durable import written
+from .greedy import turned_away
+from .pairs import pairs_within
 from .parallel import busy
 
 # Patterns of noise, in the order they are removed.  (?d) makes only \n a line end.
@@ -88,17 +91,18 @@ def drop_reason(text: str = "content") -> Column:
     )
 
 
-def filtered_conversations(df: DataFrame, session: str = "session_id", order: str = "block_no", text: str = "content", near: float = NEAR, chunk: int = 2048) -> DataFrame:
+def filtered_conversations(df: DataFrame, session: str = "session_id", order: str = "block_no", text: str = "content", near: float = NEAR) -> DataFrame:
     """(session, order, clean, reason): every message with its cleaned text and why it is dropped.
 
     Messages at the word similarity `near` to an earlier kept one of their
     session are near duplicates.  Exact repeats are settled first, by a window,
     as a copy of a message shares its fate.  For the rest, word sets that
     similar have sizes in proportion and share a rare word among their first
-    ones (prefix filter), so candidates come from a join on such words, and the
-    greedy choice is made on the links by rounds.
+    ones (prefix filter), so candidates come from a join on such words, in cells
+    of bounded size, and the greedy choice is made on the links by rounds.
     """
-    base = busy(df.where(F.col(text).isNotNull()).select(session, order, text)).select(session, order, cleaned(text).alias("clean"), drop_reason(text).alias("reason"))
+    # cleaned once, as it is read for the sets, for both sides of the links and for the result
+    base = written(busy(df.where(F.col(text).isNotNull()).select(session, order, text)).select(session, order, cleaned(text).alias("clean"), drop_reason(text).alias("reason")), "cleaned")
     kept = base.where("reason is null").select(F.col(session).alias("s"), F.col(order).alias("o"), "clean")
     words = F.array_sort(F.array_distinct(X.pieces("clean")))
     sets = kept.select("s", "o", words.alias("w"))
@@ -109,14 +113,12 @@ def filtered_conversations(df: DataFrame, session: str = "session_id", order: st
     # a pair shares at least near * (larger size) words, so one lies among the first n - ceil(near * n) + 1 of each
     prefix = F.slice(ordered, F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(near)) + 1).cast("int"))
     keys = sized.select("s", "o", "n", F.explode(prefix).alias("x"))
-    a, b = keys.alias("a"), keys.alias("b")
-    small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.o") < F.col("b.o")) & (small >= large * near)).select("a.s", F.col("a.o").alias("other"), F.col("b.o").alias("k")).distinct()
+    keys = keys.select(F.xxhash64("s", "x").alias("key"), F.struct("o", "s").alias("id"), "n")
+    alike = lambda a, b: (a["id"]["s"] == b["id"]["s"]) & (F.least(a["n"], b["n"]) >= F.greatest(a["n"], b["n"]) * near)
+    pairs = pairs_within(keys, "key", "id", alike, ("n",)).distinct().select(F.col("a.s").alias("s"), F.col("a.o").alias("other"), F.col("b.o").alias("k"))
     l_, r_ = sized.select("s", F.col("o").alias("other"), F.col("w").alias("wa")), sized.select("s", F.col("o").alias("k"), F.col("w").alias("wb"))
     shared = F.size(F.array_intersect("wa", "wb"))
     edges = pairs.join(l_, ["s", "other"]).join(r_, ["s", "k"]).where(shared >= near * (F.size("wa") + F.size("wb") - shared)).select("s", "k", "other")
-    from .greedy import turned_away
-
     gone = turned_away(edges, ["s"])
     reps = sets.join(firsts.select("s", "w", F.col("o").alias("first")), ["s", "w"]).select("s", "o", "first")
     repeat = reps.join(gone.select("s", F.col("k").alias("first"), F.lit(True).alias("g")), ["s", "first"], "left").where((F.col("o") != F.col("first")) | F.col("g").isNotNull()).select("s", "o", F.lit("near_duplicate").alias("why"))

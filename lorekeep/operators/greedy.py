@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` with its lineage cut by a reliable checkpoint in the folder the session names."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lorekeep-"))
-    return df.checkpoint()
+from .durable import cut
 
 
 def turned_away(edges: DataFrame, by: list[str]) -> DataFrame:
@@ -23,11 +15,11 @@ def turned_away(edges: DataFrame, by: list[str]) -> DataFrame:
     to them; their edges leave.  The smallest node of what is left is always
     settled, so the rounds end.
     """
-    edges = checkpointed(edges.distinct())
+    edges = cut(edges.distinct())
     out = edges.select(*by, "k").limit(0)
     while edges.limit(1).count():
         kept = edges.select(*by, F.col("other").alias("k")).distinct().join(edges.select(*by, "k"), [*by, "k"], "left_anti")
-        gone = checkpointed(edges.join(kept.withColumnRenamed("k", "other"), [*by, "other"], "left_semi").select(*by, "k").distinct())
-        edges = checkpointed(edges.join(gone, [*by, "k"], "left_anti").join(gone.withColumnRenamed("k", "other"), [*by, "other"], "left_anti"))
+        gone = cut(edges.join(kept.withColumnRenamed("k", "other"), [*by, "other"], "left_semi").select(*by, "k").distinct())
+        edges = cut(edges.join(gone, [*by, "k"], "left_anti").join(gone.withColumnRenamed("k", "other"), [*by, "other"], "left_anti"))
         out = out.union(gone)
     return out

@@ -55,6 +55,20 @@ def entry_lines(df: DataFrame, keep: list[str], text: str = "text", headed: bool
     return opened.groupBy(*keep, "n").agg(F.min("line").alias("line"), F.max("time").alias("time"), F.max("role").alias("role"), X.strip(said).alias("body")).drop("n")
 
 
+def running_total(df: DataFrame, order: str, value: str, name: str, width: int = 4096) -> DataFrame:
+    """`df` with the sum of `value` over all rows before in the order of a whole number, in three levels of ranges.
+
+    Only the sums of `width` squared numbers each meet in one task.
+    """
+    ranged = df.withColumn("_r", F.floor(F.col(order) / width))
+    sums = ranged.groupBy("_r").agg(F.sum(value).alias("_s")).withColumn("_q", F.floor(F.col("_r") / width))
+    wide = sums.groupBy("_q").agg(F.sum("_s").alias("_t"))
+    before = lambda part, by, s: F.sum(s).over(Window.partitionBy(*part).orderBy(by)) - F.col(s)
+    wide = wide.select("_q", before((), "_q", "_t").alias("_a"))
+    sums = sums.withColumn("_b", before(("_q",), "_r", "_s")).join(wide, "_q").select("_r", (F.col("_a") + F.col("_b")).alias("_c"))
+    return ranged.withColumn("_i", before(("_r",), order, value)).join(sums, "_r").withColumn(name, F.col("_c") + F.col("_i")).drop("_r", "_i", "_c")
+
+
 def numbered(df: DataFrame, session: str, order: str, opens: Column, name: str = "turn", width: int = 4096) -> DataFrame:
     """`df` with the number of openings before or at each row, from 0, in two levels of bounded windows."""
     base = df.withColumn("_o", opens.cast("long")).withColumn("_r", F.floor(F.col(order) / width))

@@ -240,12 +240,8 @@ def _(spark, base):
 r AS (SELECT day, i, v AS ema FROM e WHERE i = 1 UNION ALL SELECT e.day, e.i, 0.3 * e.v + 0.7 * r.ema FROM r JOIN e ON e.i = r.i + 1)
 SELECT strftime(day, '%Y-%m-%d') AS day, round(ema, 6) AS ema FROM r""")
 def _(spark, base):
-    """A fold over one value per day; the daily means are the only rows that meet."""
     e = table(spark, base, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.avg("value").alias("v"))
-    all_ = e.agg(F.array_sort(F.collect_list(F.struct("day", "v"))).alias("s"))
-    step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x["v"]).otherwise(0.3 * x["v"] + 0.7 * F.element_at(acc, -1))))
-    folded = all_.select(F.col("s.day").alias("days"), F.aggregate("s", F.array().cast("array<double>"), step).alias("emas"))
-    return folded.select(F.explode(F.arrays_zip("days", "emas")).alias("z")).select(F.col("z.days").alias("day"), F.round("z.emas", 6).alias("ema"))
+    return A.smoothed(e, "day", "v").select("day", F.round("ema", 6).alias("ema"))
 
 
 @R.add("a21_rolling_rate", """SELECT event_id, round(CASE WHEN s > 0 THEN (n - 1) / (s / 1e6) END, 6) AS rate FROM (SELECT event_id, count(*) OVER w AS n, epoch_us(max(ts) OVER w) - epoch_us(min(ts) OVER w) AS s FROM events

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import embed as E
 from ..operators import search as Q
+from ..operators.durable import shared_folder
 from ..sources import files, table
 from ..streaming import activity, ingest
 from .registry import Registry, pieces
@@ -18,9 +18,8 @@ R = Registry()
 
 
 def scratch(spark, name: str) -> str:
-    """A new folder in the shared folder the session names, or a temporary one where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lorekeep-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared folder of this application."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @R.add("s14_export_round_trip", "SELECT id, sha256(text) AS text_hash, content_hash FROM import_records WHERE text IS NOT NULL")

@@ -293,42 +293,38 @@ def _(spark, base):
 _UNIT = "CASE WHEN sqrt(list_dot_product({v}, {v})) > 1e-10 THEN list_transform({v}, lambda x: x / sqrt(list_dot_product({v}, {v}))) ELSE {v} END"
 
 
-def _first(v):
-    return f"list_transform({v}[1:4], lambda x: round(x, 6))"
-
-
 def _listed(col):
-    return F.array_join(F.transform(F.slice(col, 1, 4), lambda x: F.format_number(x, 4)), " ")
+    return F.array_join(F.transform(col, lambda x: F.format_number(x, 4)), " ")
 
 
 def _sql_listed(v):
-    return f"array_to_string(list_transform({v}[1:4], lambda x: format('{{:.4f}}', x)), ' ')"
+    return f"array_to_string(list_transform({v}, lambda x: format('{{:.4f}}', x)), ' ')"
 
 
-@R.add("t23_unit_vectors", f"SELECT vec_id, {_sql_listed('(' + _UNIT.format(v='e') + ')')} AS head FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+@R.add("t23_unit_vectors", f"SELECT vec_id, {_sql_listed('(' + _UNIT.format(v='e') + ')')} AS listed FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
 def _(spark, base):
-    return table(spark, base, "embeddings").select("vec_id", _listed(V.unit(V.doubles("embedding"))).alias("head"))
+    return table(spark, base, "embeddings").select("vec_id", _listed(V.unit(V.doubles("embedding"))).alias("listed"))
 
 
 _EXP = "list_concat(e, list_transform(range(32), lambda x: 0.0::DOUBLE))"
 
 
-@R.add("t24_expanded", f"SELECT vec_id, 96 AS size, {_sql_listed('(' + _UNIT.format(v='e') + ')')} AS head FROM (SELECT vec_id, {_EXP} AS e FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))")
+@R.add("t24_expanded", f"SELECT vec_id, 96 AS size, {_sql_listed('(' + _UNIT.format(v='e') + ')')} AS listed FROM (SELECT vec_id, {_EXP} AS e FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))")
 def _(spark, base):
     x = table(spark, base, "embeddings").select("vec_id", V.expanded(V.doubles("embedding"), 96).alias("e"))
-    return x.select("vec_id", F.size("e").alias("size"), _listed("e").alias("head"))
+    return x.select("vec_id", F.size("e").alias("size"), _listed("e").alias("listed"))
 
 
-@R.add("t25_contracted", f"SELECT vec_id, 16 AS size, {_sql_listed('(' + _UNIT.format(v='e') + ')')} AS head FROM (SELECT vec_id, list_transform(range(16), lambda i: list_avg(e[i * 4 + 1 : i * 4 + 4])) AS e FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))")
+@R.add("t25_contracted", f"SELECT vec_id, 16 AS size, {_sql_listed('(' + _UNIT.format(v='e') + ')')} AS listed FROM (SELECT vec_id, list_transform(range(16), lambda i: list_avg(e[i * 4 + 1 : i * 4 + 4])) AS e FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))")
 def _(spark, base):
     x = table(spark, base, "embeddings").select("vec_id", V.contracted(V.doubles("embedding"), 16, 64).alias("e"))
-    return x.select("vec_id", F.size("e").alias("size"), _listed("e").alias("head"))
+    return x.select("vec_id", F.size("e").alias("size"), _listed("e").alias("listed"))
 
 
-@R.add("t26_adapted", f"SELECT vec_id, 48 AS size, {_sql_listed('(' + _UNIT.format(v='e') + ')')} AS head FROM (SELECT vec_id, (embedding::DOUBLE[])[1:48] AS e FROM embeddings)")
+@R.add("t26_adapted", f"SELECT vec_id, 48 AS size, {_sql_listed('(' + _UNIT.format(v='e') + ')')} AS listed FROM (SELECT vec_id, (embedding::DOUBLE[])[1:48] AS e FROM embeddings)")
 def _(spark, base):
     x = table(spark, base, "embeddings").select("vec_id", V.adapted(V.doubles("embedding"), 48, 64).alias("e"))
-    return x.select("vec_id", F.size("e").alias("size"), _listed("e").alias("head"))
+    return x.select("vec_id", F.size("e").alias("size"), _listed("e").alias("listed"))
 
 
 @R.add("t22_cosine", "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS cosine FROM embeddings")

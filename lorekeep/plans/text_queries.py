@@ -362,11 +362,7 @@ def _(spark, base):
 @R.add("w10_chunk_totals", f"SELECT doc_id, len(w) AS total_chunks, sum(len(w)) OVER (ORDER BY doc_id) - len(w) AS first_chunk FROM (SELECT doc_id, {_WINDOWS} AS w FROM documents WHERE length(text) > 0)".replace("sum(len(w)) OVER (ORDER BY doc_id) - len(w)", "(sum(len(w)) OVER (ORDER BY doc_id) - len(w))::BIGINT"))
 def _(spark, base):
     n = documents(spark, base).where(F.length("text") > 0).select("doc_id", F.size(X.fixed_windows("text")).cast("long").alias("total_chunks"))
-    # a running total over all rows in two levels: ranges of keys first, then within each range
-    ranged = n.withColumn("r", F.floor(F.col("doc_id") / 4096))
-    before = ranged.groupBy("r").agg(F.sum("total_chunks").alias("s")).select("r", (F.sum("s").over(Window.orderBy("r")) - F.col("s")).alias("b"))
-    inner = F.sum("total_chunks").over(Window.partitionBy("r").orderBy("doc_id")) - F.col("total_chunks")
-    return ranged.withColumn("i", inner).join(F.broadcast(before), "r").select("doc_id", "total_chunks", (F.col("b") + F.col("i")).alias("first_chunk"))
+    return U.running_total(n, "doc_id", "total_chunks", "first_chunk")
 
 
 @R.add("d6_sections", """WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
