@@ -27,7 +27,6 @@ asks every segment, so no task holds a whole group.
 from __future__ import annotations
 
 import heapq
-import json
 import uuid
 
 import numpy as np
@@ -36,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.versions import Files, Manifest
 from ._spark import bytes_of, cut, in_parts, live_keys, shared_folder, small, spread, written
 from ._words import ID_BITS, runs, shingle_sets, slices, words
 
@@ -266,46 +266,6 @@ def build(items: DataFrame, name: str, part_chars: int = PART_CHARS, buckets: in
     return spread(dealt, "b", "s").groupBy("b", "s", "g", "part").applyInArrow(run, SEGMENT)
 
 
-class _Files:
-    """The few file operations that a manifest needs, on the file system of the folder."""
-
-    def __init__(self, spark, folder: str):
-        self.hadoop = spark._jvm.org.apache.hadoop.fs
-        self.fs = self.path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def path(self, p: str):
-        return self.hadoop.Path(p)
-
-    def exists(self, p: str) -> bool:
-        return self.fs.exists(self.path(p))
-
-    def names(self, p: str) -> list[str]:
-        return [s.getPath().getName() for s in self.fs.listStatus(self.path(p))] if self.exists(p) else []
-
-    def read(self, p: str) -> str:
-        stream = self.fs.open(self.path(p))
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def create(self, p: str, text: str) -> None:
-        """Write a file that must not exist yet; it appears whole or not at all."""
-        tmp = f"{p}.{uuid.uuid4().hex}.tmp"
-        stream = self.fs.create(self.path(tmp), False)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        if self.exists(p) or not self.fs.rename(self.path(tmp), self.path(p)):
-            self.fs.delete(self.path(tmp), False)
-            raise RuntimeError(f"another writer made {p}")
-
-    def size(self, p: str) -> int:
-        return self.fs.getContentSummary(self.path(p)).getLength()
-
-    def delete(self, p: str) -> None:
-        self.fs.delete(self.path(p), True)
-
-
 class History:
     """Segments in a folder: `add` appends a batch, `screen` asks, `compact` merges.
 
@@ -316,17 +276,16 @@ class History:
 
     def __init__(self, spark, folder: str, least=(8, 10), part_chars: int = PART_CHARS, buckets: int = BUCKETS):
         self.spark, self.folder, self.least = spark, folder, least
-        self.files = _Files(spark, folder)
+        self.files = Files(spark, folder)
+        self.manifest = Manifest(self.files, folder, {"tables": [], "batches": []})
         state = self._newest()
         self.part_chars, self.buckets = state.get("part_chars", part_chars), state.get("buckets", buckets)
 
     def _newest(self) -> dict:
-        versions = sorted(n for n in self.files.names(f"{self.folder}/manifest") if n.endswith(".json"))
-        return json.loads(self.files.read(f"{self.folder}/manifest/{versions[-1]}")) if versions else {"version": 0, "tables": [], "batches": []}
+        return self.manifest.newest()
 
     def _commit(self, state: dict, tables: list, batches: list) -> None:
-        new = {"version": state["version"] + 1, "tables": tables, "batches": batches, "part_chars": self.part_chars, "buckets": self.buckets}
-        self.files.create(f"{self.folder}/manifest/{new['version']:09d}.json", json.dumps(new))
+        self.manifest.commit(state, tables=tables, batches=batches, part_chars=self.part_chars, buckets=self.buckets)
 
     def _write(self, segments: DataFrame, level: int) -> list:
         """Write a table; its entries for the manifest (path, level), -1 for full segments."""

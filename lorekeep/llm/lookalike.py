@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.pairs import pairs_within
 from ._spark import written
-from .near import pairs_within
 
 SLICE_BYTES = 1 << 20  # texts are taken together up to about so many bytes
 BREAK = np.uint32(0x110000)  # no code point

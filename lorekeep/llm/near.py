@@ -11,8 +11,8 @@ of the word runs decides on the rest.
 
 Records with equal sets of word runs form a class.  Only one representative of
 each class is joined, so copies cost no pairs.  Blocks with one member are left
-out by a count before anything is paired, and those with more than CHUNK are
-dealt to cells of at most about CHUNK by CHUNK rows, so no task holds a whole
+out by a count before anything is paired, and those with more than pairs.CHUNK
+are dealt to cells of at most about CHUNK by CHUNK rows, so no task holds a whole
 block.
 """
 
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.pairs import pairs_within
 from ._spark import cut, written
 from ._words import mix, shingle_sets, slices
 
 BLOCKS, PER_BLOCK = 32, 4
-CHUNK = 2000  # members of a block that are paired in one cell
 LANES = BLOCKS * PER_BLOCK
 MAX_DISTANCE = 41  # of LANES bits; at similarity 0.7 the mean is 19.2 and the deviation 4.0
 
@@ -97,26 +97,6 @@ def _run_sets(df: DataFrame, text: str, n: int) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def pairs_within(df: DataFrame, by: str, k: str, keep=None, carry: tuple[str, ...] = (), chunk: int | None = None) -> DataFrame:
-    """(a, b) for rows of `df` with equal `by` and keys a < b; `keep(x, y)` may compare the columns `carry` of both.
-
-    Rows that are alone are dropped after a count, which combines before its
-    shuffle; groups of more than `chunk` rows are dealt to cells.
-    """
-    chunk = chunk or CHUNK
-    count = df.groupBy(by).agg(F.count("*").alias("_n")).where("_n > 1")
-    chunks = F.ceil(F.col("_n") / chunk).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(17), k), F.col("_c")).cast("int")
-    shared = df.select(by, k, *carry).join(count, by).withColumn("_c", chunks).withColumn("_o", own).drop("_n")
-    shared = written(shared, "shared")
-    x = shared.select(by, F.col("_o").alias("_i"), F.explode(F.sequence("_o", F.col("_c") - 1)).alias("_j"), F.struct(k, *carry).alias("x"))
-    y = shared.select(by, F.explode(F.sequence(F.lit(0), "_o")).alias("_i"), F.col("_o").alias("_j"), F.struct(k, *carry).alias("y"))
-    met = x.join(y, [by, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col(f"x.{k}") < F.col(f"y.{k}")))
-    if keep is not None:
-        met = met.where(keep(F.col("x"), F.col("y")))
-    return met.select(F.least(f"x.{k}", f"y.{k}").alias("a"), F.greatest(f"x.{k}", f"y.{k}").alias("b"))
-
-
 class NearCopies:
     """Classes of equal word-run sets and links between similar classes.
 

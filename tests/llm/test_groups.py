@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.llm import history, mixing, near, vectors
+from lorekeep.operators import pairs
 from lorekeep.llm.history import Segment
 
 
@@ -57,7 +58,7 @@ def test_large_blocks_are_dealt_to_cells(spark, monkeypatch):
     s = [shingles((t or "").lower().replace(",", "").replace("!", "")) for t in texts]
     want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if (i % 10 == 0) == (j % 10 == 0) and sim(s[i], s[j]) >= 0.7}
     for chunk, distance in ((2000, 41), (7, 41), (7, None)):
-        monkeypatch.setattr(near, "CHUNK", chunk)
+        monkeypatch.setattr(pairs, "CHUNK", chunk)
         nc = near.NearCopies(df, n=3, least=(7, 10), max_distance=distance)
         got = [(x.a, x.b) for x in nc.all_pairs(nc.class_links()).collect()]
         assert len(got) == len(set(got)) and set(got) == want
