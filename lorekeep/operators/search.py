@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import meta as M
 from ..functions import text as X
 from ..functions import vectors as V
+from .durable import small
 from .parallel import busy
 from .store import layer_predicate
 
@@ -82,14 +83,20 @@ def keyword_scores(feats: DataFrame, terms: int, key: str = "row_no") -> DataFra
         return feats.select(key, F.lit(None).cast("double").alias("score")).limit(0)
     counts = feats.where("_has")
     stats = counts.agg(F.count("*").alias("rows"), F.avg("_n").alias("mean"), *[F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"d{i}") for i in range(terms)]).first()  # one row
-    score = F.lit(0.0)
-    for i in range(terms):
-        tf = F.col(f"_f{i}").cast("double")
-        score = score + _idf(stats["rows"], stats[f"d{i}"] or 0) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_n") / F.lit(stats["mean"] or 1.0)))
+    score = bm25_expression(stats["rows"], stats["mean"], [stats[f"d{i}"] for i in range(terms)])
     hit = F.greatest(F.lit(0), *[F.col(f"_f{i}") for i in range(terms)])
     return counts.select(key, F.when(hit > 0, score).alias("score"))
 
 
+def bm25_expression(rows: int, mean: float | None, having: list[int | None]) -> Column:
+    """The BM25 score from the columns _n and _f0.., given the number of rows, their mean length and the rows that have each term."""
+    score = F.lit(0.0)
+    for i, n in enumerate(having):
+        tf = F.col(f"_f{i}").cast("double")
+        score = score + _idf(rows, n or 0) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_n") / F.lit(mean or 1.0)))
+    return score
+
+
 def best(scores: DataFrame, k: int, key: str = "row_no") -> DataFrame:
     """The k best rows that have a score."""
     return scores.orderBy(F.desc_nulls_last("score"), key).limit(k).where(F.col("score").isNotNull())
@@ -108,9 +115,9 @@ def bm25_scores(df: DataFrame, query: str, key: str = "row_no", text: str = "tex
     return keyword_scores(features(df, query, None, text=text, keep=(key,)), len(terms_of(query)), key)
 
 
-def bm25_top(df: DataFrame, query: str, k: int, namespace: str | None = None, key: str = "row_no") -> DataFrame:
+def bm25_top(df: DataFrame, query: str, k: int, namespace: str | None = None, key: str = "row_no", scores: DataFrame | None = None) -> DataFrame:
     """The k best rows; with a namespace, those of the best 2k rows that lie in it, at most k."""
-    hits = best(bm25_scores(df, query, key), 2 * k, key)
+    hits = best(bm25_scores(df, query, key) if scores is None else scores, 2 * k, key)
     if namespace is not None:
         hits = hits.join(df.select(key, "namespace"), key).where(F.col("namespace") == namespace).select(key, "score")
     return best(hits, k, key)
@@ -204,7 +211,7 @@ def finished(hits: DataFrame, query: str, o: Options, key: str = "row_no") -> Da
 
 
 def _fetched(df: DataFrame, hits: DataFrame, key: str, *more: str) -> DataFrame:
-    """Candidates with the columns that the later steps need; the candidate side is the small one."""
+    """Candidates, at most a few times k, with the columns that the later steps need."""
     return F.broadcast(hits).join(df.select(key, "id", "namespace", "metadata", "layer", *more), key)
 
 
@@ -212,21 +219,23 @@ def best_keywords(feats: DataFrame, query: str, k: int, key: str = "row_no") ->
     return best(keyword_scores(feats, len(terms_of(query)), key), k, key)
 
 
-# The modes take the store, for what is fetched of candidates, and the features of the rows that count.
+# The modes take the store, for what is fetched of candidates, the features of the rows that count, and the scores of rows
+# by keywords where an index has them; else they are made from the features.
 def vector_mode(df: DataFrame, feats: DataFrame, query: str, o: Options, key: str = "row_no") -> DataFrame:
     """All vector candidates weigh 1 before boosts."""
     hits = nearest(feats, o.candidates, o.layer, key).select(key, F.lit(1.0).alias("score"))
     return finished(_fetched(df, hits, key), query, o, key)
 
 
-def keyword_mode(df: DataFrame, feats: DataFrame, query: str, o: Options, key: str = "row_no") -> DataFrame:
+def keyword_mode(df: DataFrame, feats: DataFrame | None, query: str, o: Options, key: str = "row_no", scores: DataFrame | None = None) -> DataFrame:
     """Keyword candidates of any layer."""
-    return finished(_fetched(df, best_keywords(feats, query, o.candidates, key), key), query, o, key)
+    hits = best_keywords(feats, query, o.candidates, key) if scores is None else best(scores, o.candidates, key)
+    return finished(_fetched(df, hits, key), query, o, key)
 
 
-def hybrid_mode(df: DataFrame, feats: DataFrame, query: str, o: Options, key: str = "row_no") -> DataFrame:
+def hybrid_mode(df: DataFrame, feats: DataFrame, query: str, o: Options, key: str = "row_no", scores: DataFrame | None = None) -> DataFrame:
     """Vector and keyword candidates fused; a row found by keywords alone must be of the wanted layer itself."""
-    v, b = nearest(feats, o.candidates, o.layer, key), best_keywords(feats, query, 2 * o.candidates, key)
+    v, b = nearest(feats, o.candidates, o.layer, key), best_keywords(feats, query, 2 * o.candidates, key) if scores is None else best(scores, 2 * o.candidates, key)
     hits = fused(v, b, key, o.rrf).orderBy(F.desc("score"), key).limit(2 * o.candidates)
     rows = _fetched(df, hits, key)
     if o.layer is not None:
@@ -268,17 +277,13 @@ def top_per(df: DataFrame, query: list[float], group: str, k: int, dim: int = 64
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def batch_bm25(df: DataFrame, queries: DataFrame, k: int, key: str = "row_no") -> DataFrame:
-    """The k best rows of each query (query_id, query), from the postings of the queries' terms only."""
+def batch_bm25(postings: DataFrame, rows: int, mean: float | None, queries: DataFrame, k: int, key: str = "row_no") -> DataFrame:
+    """The k best rows of each query (query_id, query) by stored postings (term, key, tf, n) of `rows` rows of `mean` length."""
     q = queries.select("query_id", F.explode(F.array_distinct(term_array("query"))).alias("term"))
-    base = df.where(F.col("text").isNotNull())
-    hits = postings(base, key).join(F.broadcast(q.select("term").distinct()), "term", "left_semi")
+    hits = postings.join(small(q.select("term").distinct()), "term", "left_semi")
     freq = hits.groupBy("term").agg(F.count("*").alias("df"))
-    sizes = base.select(key, F.size(term_array("text")).alias("n"))
-    stats = sizes.agg(F.count("*").alias("total"), F.avg("n").alias("mean")).first()  # one row
-    scored = hits.join(F.broadcast(freq), "term").join(sizes, key).join(F.broadcast(q), "term")
-    tf, total = F.col("tf").cast("double"), F.lit(stats.total)
-    part = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.lit(stats.mean or 1.0)))
-    sums = scored.groupBy("query_id", key).agg(F.sum(part).alias("score"))
+    tf, total = F.col("tf").cast("double"), F.lit(rows)
+    part = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.lit(mean or 1.0)))
+    sums = hits.join(freq, "term").join(small(q), "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,12 @@ from ..functions import meta as M
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import search as Q
+from ..operators.durable import shared_folder
+from ..operators.keywords import KeywordIndex
 from ..operators import store as S
 from ..operators.router import routed
 from ..sources import table
+from ..sources.versions import Files
 from .registry import Registry, first_time, pieces, text_value, usable
 
 R = Registry()
@@ -37,6 +42,18 @@ def query_vector(spark, base) -> list[float]:
     return [float(x) for x in row[0]] if row and row[0] else [1.0] + [0.0] * 63
 
 
+def keyword_index(spark, base) -> KeywordIndex:
+    """The keyword index of the store, made once an application as long as the file stays the same."""
+    path = f"{base}/mcp_documents.parquet"
+    state = Files(spark, path).state(path)
+    made = spark.sparkContext.__dict__.setdefault("_lorekeep_indexes", {})
+    if state not in made:
+        index = KeywordIndex(spark, f"{shared_folder(spark)}/keywords-{uuid.uuid4().hex}")
+        index.add(docs(spark, base, "row_no", "namespace", "id", "text"), "store")
+        made[state] = index
+    return made[state]
+
+
 # ---- parts of SQL ------------------------------------------------------------
 QV = f"(SELECT arg_min(vector::DOUBLE[], row_no) FROM mcp_documents WHERE {usable()})"
 LIVE = "live AS (SELECT * FROM mcp_documents WHERE namespace <> '' AND id <> '' QUALIFY row_number() OVER (PARTITION BY namespace, id ORDER BY row_no) = 1)"
@@ -167,13 +184,13 @@ def _(spark, base):
 # ---- keywords ------------------------------------------------------------------
 @R.add("r1_bm25_search", f"WITH {sql_bm25('mcp_documents')} SELECT row_no, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, row_no LIMIT 20")
 def _(spark, base):
-    return Q.best(Q.bm25_scores(docs(spark, base, "row_no", "text"), QUERY), 20).select("row_no", F.round("score", 6).alias("score"))
+    return Q.best(keyword_index(spark, base).scores(QUERY), 20).select("row_no", F.round("score", 6).alias("score"))
 
 
 @R.add("l5_bm25_namespace", f"""WITH {sql_bm25('mcp_documents')}, t AS (SELECT row_no, score FROM bm ORDER BY score DESC, row_no LIMIT 400)
 SELECT row_no, round(t.score, 6) AS score FROM t JOIN mcp_documents USING (row_no) WHERE namespace = 'agent:shared-memory' ORDER BY t.score DESC, row_no LIMIT 200""")
 def _(spark, base):
-    return Q.bm25_top(docs(spark, base, "row_no", "namespace", "text"), QUERY, 200, "agent:shared-memory").select("row_no", F.round("score", 6).alias("score"))
+    return Q.bm25_top(docs(spark, base, "row_no", "namespace"), QUERY, 200, "agent:shared-memory", scores=keyword_index(spark, base).scores(QUERY)).select("row_no", F.round("score", 6).alias("score"))
 
 
 @R.add("a16_bm25_statistics", """WITH tok AS (SELECT row_no, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda t: strlen(t) < 40) AS t FROM mcp_documents WHERE text IS NOT NULL)
@@ -192,7 +209,26 @@ s AS (SELECT query_id, row_no, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.
 SELECT query_id, row_no, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, row_no) <= 10""")
 def _(spark, base):
     q = spark.createDataFrame([(1, "merge conflict in the ranking"), (2, "keyword overlap, twice"), (3, "Zeile und Ordner"), (4, "")], "query_id int, query string")
-    return Q.batch_bm25(docs(spark, base, "row_no", "text"), q, 10).select("query_id", "row_no", F.round("score", 6).alias("score"))
+    index = keyword_index(spark, base)
+    size = index.rows.read().agg(F.count("*"), F.avg("n")).first()
+    return Q.batch_bm25(index.postings.read(), size[0], size[1], q, 10).select("query_id", "row_no", F.round("score", 6).alias("score"))
+
+
+_LEFT = "(SELECT * FROM mcp_documents WHERE NOT coalesce(namespace = 'agent:shared-memory', false) AND NOT coalesce(namespace = 'kb:venzeleth' AND id = (SELECT min(id) FROM mcp_documents WHERE namespace = 'kb:venzeleth'), false))"
+
+
+@R.add("k10_keyword_index", f"WITH {sql_bm25(_LEFT)} SELECT row_no, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, row_no LIMIT 50")
+def _(spark, base):
+    """An index filled by two batches, of which one comes twice; a namespace and an id leave, and it is compacted."""
+    d = docs(spark, base, "row_no", "namespace", "id", "text")
+    index = KeywordIndex(spark, f"{shared_folder(spark)}/keywords-{uuid.uuid4().hex}")
+    for batch in (0, 1, 1):
+        index.add(d.where(F.col("row_no") % 2 == batch), f"b{batch}")
+    index.delete("agent:shared-memory")
+    id_ = d.where("namespace = 'kb:venzeleth'").agg(F.min("id")).first()[0]
+    index.delete("kb:venzeleth", [id_] if id_ else [])
+    index.compact()
+    return Q.best(index.scores(QUERY), 50).select("row_no", F.round("score", 6).alias("score"))
 
 
 # ---- hybrid --------------------------------------------------------------------
@@ -203,16 +239,16 @@ _HB = "hb AS (SELECT row_no, score, row_number() OVER (ORDER BY score DESC, row_
 @R.add("j4_fusion_weighted", f"""WITH {LIVE}, {sql_bm25('live')}, {_HV}, {_HB}
 SELECT row_no, round(1 - hv.r / hv.n, 6) AS vector_score, round(hb.score / hb.m, 6) AS keyword_score, round(0.6 * coalesce(1 - hv.r / hv.n, 0) + 0.4 * coalesce(hb.score / hb.m, 0), 6) AS score FROM hv FULL JOIN hb USING (row_no)""")
 def _(spark, base):
-    c = corpus(spark, base, QUERY, query_vector(spark, base))
-    f = Q.fused(Q.nearest(c, 30, 1), Q.best_keywords(c, QUERY, 60))
+    c = corpus(spark, base, None, query_vector(spark, base))
+    f = Q.fused(Q.nearest(c, 30, 1), Q.best(keyword_index(spark, base).scores(QUERY, first=True), 60))
     return f.select("row_no", *[F.round(x, 6).alias(x) for x in ("vector_score", "keyword_score", "score")])
 
 
 @R.add("j5_fusion_left", f"""WITH {sql_bm25('mcp_documents')}, v AS (SELECT row_no, row_number() OVER (ORDER BY dist, row_no) - 1 AS r FROM {sql_near('mcp_documents', 20)}), k AS (SELECT row_no, score, max(score) OVER () AS m FROM (SELECT * FROM bm ORDER BY score DESC, row_no LIMIT 20))
 SELECT row_no, round(0.6 * (1 - r / 21.0) + 0.4 * coalesce(k.score / k.m, 0), 6) AS score FROM v LEFT JOIN k USING (row_no)""")
 def _(spark, base):
-    d = docs(spark, base, "row_no", "vector", "text", "layer")
-    return Q.left_fused(Q.vector_top(d, query_vector(spark, base), 20), Q.bm25_top(d, QUERY, 20), 20).select("row_no", F.round("score", 6).alias("score"))
+    d = docs(spark, base, "row_no", "vector", "layer")
+    return Q.left_fused(Q.vector_top(d, query_vector(spark, base), 20), Q.bm25_top(d, QUERY, 20, scores=keyword_index(spark, base).scores(QUERY)), 20).select("row_no", F.round("score", 6).alias("score"))
 
 
 _H = f"""WITH {LIVE}, {sql_bm25('live')}, {_HV}, {_HB},
@@ -222,29 +258,29 @@ ft AS (SELECT * FROM fz ORDER BY score DESC, row_no LIMIT 60), fl AS (SELECT ft.
 
 @R.add("r5_hybrid_weighted", _H.replace("{score}", "0.6 * coalesce(1 - hv.r / hv.n, 0) + 0.4 * coalesce(hb.score / hb.m, 0)") + sql_finish("SELECT * FROM fl", 10))
 def hybrid(spark, base):
-    return out(Q.hybrid_mode(docs(spark, base), corpus(spark, base, QUERY, query_vector(spark, base)), QUERY, Q.Options(now=NOW)))
+    return out(Q.hybrid_mode(docs(spark, base), corpus(spark, base, None, query_vector(spark, base)), QUERY, Q.Options(now=NOW), scores=keyword_index(spark, base).scores(QUERY, first=True)))
 
 
 @R.add("r6b_hybrid_rrf", _H.replace("{score}", "coalesce(0.6 / (60 + hv.r + 1), 0) + coalesce(0.4 / (60 + hb.r + 1), 0)") + sql_finish("SELECT * FROM fl", 10))
 def _(spark, base):
-    return out(Q.hybrid_mode(docs(spark, base), corpus(spark, base, QUERY, query_vector(spark, base)), QUERY, Q.Options(now=NOW, rrf=True)))
+    return out(Q.hybrid_mode(docs(spark, base), corpus(spark, base, None, query_vector(spark, base)), QUERY, Q.Options(now=NOW, rrf=True), scores=keyword_index(spark, base).scores(QUERY, first=True)))
 
 
 @R.add("r3_vector_mode", f"WITH {LIVE}, " + sql_finish(f"SELECT row_no, 1.0 AS score FROM {sql_near('live', 30, 'layer IN (0, 1)')}", 10))
 def _(spark, base):
-    return out(Q.vector_mode(docs(spark, base), corpus(spark, base, QUERY, query_vector(spark, base)), QUERY, Q.Options(now=NOW)))
+    return out(Q.vector_mode(docs(spark, base), corpus(spark, base, None, query_vector(spark, base)), QUERY, Q.Options(now=NOW)))
 
 
 @R.add("r4_keyword_mode", f"WITH {LIVE}, {sql_bm25('live')}, " + sql_finish("SELECT row_no, score FROM bm ORDER BY score DESC, row_no LIMIT 30", 10))
 def _(spark, base):
-    return out(Q.keyword_mode(docs(spark, base), corpus(spark, base, QUERY), QUERY, Q.Options(now=NOW)))
+    return out(Q.keyword_mode(docs(spark, base), None, QUERY, Q.Options(now=NOW), scores=keyword_index(spark, base).scores(QUERY, first=True)))
 
 
 @R.add("r17_mode_dispatch", f"WITH {LIVE}, " + sql_finish(f"SELECT row_no, 1.0 AS score FROM {sql_near('live', 30, 'layer IN (0, 1)')}", 10))
 def _(spark, base):
     """The routed mode of a meaning query: vector."""
     mode = routed(spark.createDataFrame([("explain a similar concept",)], "query string")).first().mode
-    return out(Q.search(docs(spark, base), corpus(spark, base, QUERY, query_vector(spark, base)), QUERY, Q.Options(now=NOW), mode))
+    return out(Q.search(docs(spark, base), corpus(spark, base, None, query_vector(spark, base)), QUERY, Q.Options(now=NOW), mode))
 
 
 @R.add("r10_recency_bonus", f"SELECT row_no, round({_RECENT}, 6) AS bonus FROM (SELECT row_no, {first_time()} AS ft FROM mcp_documents)")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from ..functions import meta as M
 from ..functions import text as X
 from ..operators import store as S
+from ..operators.durable import shared_folder
+from ..operators.stored import DualStore, Store
 from ..sources import table
 from .registry import Registry, text_value, usable
 
@@ -250,9 +255,43 @@ def _(spark, base):
     return S.imported(table(spark, base, "import_records", "rec_no", "namespace", "content_hash", "text"), docs(spark, base, "namespace", "content_hash")).select("rec_no", "content_hash")
 
 
-@R.add("k15_compaction_plan", """SELECT namespace, count(*) AS n, ceil(count(*) / 5000.0)::BIGINT AS files FROM mcp_documents GROUP BY 1""")
+@R.add("k15_compaction", "SELECT namespace, count(*) AS n, 1 AS parts FROM mcp_documents GROUP BY 1")
 def _(spark, base):
-    return docs(spark, base, "namespace").groupBy("namespace").agg(F.count("*").alias("n"), F.ceil(F.count("*") / 5000.0).alias("files"))
+    """A store written in ten small batches, compacted: the rows of each namespace and the parts of its bucket."""
+    d = docs(spark, base, *(f.name for f in S.DOCUMENT.fields))
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", buckets=4)
+    for batch in range(10):
+        store.append(d.where(F.col("row_no") % 10 == batch), f"b{batch}")
+    store.tidy(most_parts=8)
+    parts = spark.createDataFrame(sorted(Counter(b for _, b in store.table.manifest.newest()["tables"]).items()), "b int, parts int")
+    counts = store.documents().groupBy("namespace").agg(F.count("*").alias("n"))
+    return counts.withColumn("b", store.table.bucket("namespace")).join(parts, "b").select("namespace", "n", "parts")
+
+
+@R.add("k13_dual_write", """SELECT namespace, count(*) AS stored, count(text) AS indexed FROM mcp_documents GROUP BY 1""")
+def _(spark, base):
+    """Two batches to store and index; the second stops before the index, and recovery finishes it."""
+    d = docs(spark, base, *(f.name for f in S.DOCUMENT.fields))
+    both = DualStore(spark, f"{shared_folder(spark)}/dual-{uuid.uuid4().hex}")
+    both.write(d.where(F.col("row_no") % 2 == 0), "b0")
+    both.files.create(f"{both.pending}/b1.json", '{"batch_id": "b1", "status": "pending"}')
+    both.store.append(d.where(F.col("row_no") % 2 == 1), "b1")
+    both.recover()
+    return _dual_counts(both)
+
+
+@R.add("k14_dual_delete", f"""SELECT namespace, count(*) AS stored, count(text) AS indexed FROM mcp_documents WHERE NOT coalesce(namespace = '{NS}', false) GROUP BY 1""")
+def _(spark, base):
+    both = DualStore(spark, f"{shared_folder(spark)}/dual-{uuid.uuid4().hex}")
+    both.write(docs(spark, base, *(f.name for f in S.DOCUMENT.fields)), "b0")
+    both.delete(NS)
+    return _dual_counts(both)
+
+
+def _dual_counts(both: DualStore):
+    stored = both.store.documents().groupBy("namespace").agg(F.count("*").alias("stored"))
+    indexed = both.index._kept(both.index.rows.read()).groupBy("namespace").agg(F.count("*").alias("indexed"))
+    return stored.join(indexed, stored["namespace"].eqNullSafe(indexed["namespace"]), "left").select(stored["namespace"], "stored", F.coalesce("indexed", F.lit(0)).alias("indexed"))
 
 
 @R.add("r23_get", f"""SELECT row_no, id, layer FROM mcp_documents WHERE namespace = '{NS}' AND (id = (SELECT max(id) FROM mcp_documents WHERE namespace = '{NS}') OR coalesce({text_value('original_id')} = (SELECT max(id) FROM mcp_documents WHERE namespace = '{NS}'), false))

@@ -51,6 +51,10 @@ class Files:
     def size(self, p: str) -> int:
         return self.fs.getContentSummary(self.path(p)).getLength()
 
+    def state(self, p: str) -> tuple:
+        """Path, size and time of change of the files at `p`, which change when they do."""
+        return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in self.fs.listStatus(self.path(p))))
+
     def delete(self, p: str) -> None:
         self.fs.delete(self.path(p), True)
 
