@@ -67,6 +67,58 @@ def _fnv(words: pa.Array) -> np.ndarray:
     return h
 
 
+class HttpEmbedder:
+    """A server that takes {"model", "input": [texts]} and gives {"data": [{"embedding": [...]}]} or {"embeddings": [...]}, in order."""
+
+    def __init__(self, url: str, model: str, key: str | None = None, timeout: float = 60.0, most_chars: int | None = BATCH_CHARS // 2):
+        self.url, self.model, self.key, self.timeout, self.most_chars = url, model, key, timeout, most_chars
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        got = _posted(self.url, {"model": self.model, "input": texts}, self.key, self.timeout)
+        vectors = got["embeddings"] if "embeddings" in got else [d["embedding"] for d in sorted(got["data"], key=lambda d: d.get("index", 0))]
+        if len(vectors) != len(texts):
+            raise OSError(f"{len(vectors)} vectors for {len(texts)} texts")
+        return vectors
+
+
+class HttpReranker:
+    """A server that takes {"query", "documents"} and gives {"results": [{"index", "relevance_score"}]}; what it leaves out has 0."""
+
+    def __init__(self, url: str, model: str, key: str | None = None, timeout: float = 60.0):
+        self.url, self.model, self.key, self.timeout = url, model, key, timeout
+
+    def score(self, query: str, texts: list[str]) -> list[float]:
+        out = [0.0] * len(texts)
+        if texts:
+            for r in _posted(self.url, {"model": self.model, "query": query, "documents": texts}, self.key, self.timeout)["results"]:
+                out[r["index"]] = float(r["relevance_score"])
+        return out
+
+
+def _posted(url: str, body: dict, key: str | None, timeout: float) -> dict:
+    import json
+    import urllib.request
+
+    headers = {"Content-Type": "application/json", **({"Authorization": f"Bearer {key}"} if key else {})}
+    with urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), headers), timeout=timeout) as r:
+        return json.load(r)
+
+
+def first_working(makers: list[Callable[[], Embedder]], dim: int) -> Callable[[], Embedder]:
+    """The first of several embedders, in order, that answers a probe with vectors of `dim` values; a wrong size is never adapted silently."""
+    said = []
+    for make in makers:
+        try:
+            size = len(make().embed(["probe"])[0])
+        except Exception as e:  # whatever keeps a provider from answering
+            said.append(f"{e}")
+            continue
+        if size == dim:
+            return make
+        said.append(f"{size} values")
+    raise ValueError(f"no embedder gives {dim} values: {'; '.join(said)}")
+
+
 class OverlapReranker:
     """Share of the query's words that a text has."""
 

@@ -35,6 +35,11 @@ def terms_of(query: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
+def escaped(query: str) -> str:
+    """The query with the special characters of a query language behind backslashes, for engines that parse queries."""
+    return re.sub(r"""([+\-&|!(){}\[\]^"~*?:\\/<>=])""", r"\\\1", query)
+
+
 def term_array(text) -> Column:
     """Lower-case alphanumeric runs of fewer than 40 bytes."""
     return F.filter(X.alnum_runs(F.lower(X.col(text))), lambda t: F.octet_length(t) < 40)

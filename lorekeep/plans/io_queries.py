@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from ..operators import embed as E
 from ..operators import search as Q
 from ..operators.durable import shared_folder
+from ..operators.stored import DualStore
 from ..sources import files, table
 from ..streaming import activity, ingest
+from ..streaming.pipeline import index_stream
 from .registry import Registry, pieces
 from .search_queries import query_vector, sql_near
+from .text_queries import WINDOWS
 
 R = Registry()
 
@@ -30,13 +33,13 @@ def _(spark, base):
     return files.export_lines(spark, out)[0].select("id", F.sha2("text", 256).alias("text_hash"), "content_hash")
 
 
-@R.add("s11_text_files", "SELECT count(*) AS files, sum(length(text))::BIGINT AS chars FROM eval_items WHERE text IS NOT NULL")
+@R.add("s11_text_files", "SELECT item_id::VARCHAR AS item_id, sha256(text || chr(10)) AS text_hash FROM eval_items WHERE text IS NOT NULL")
 def _(spark, base):
     """Held-out items written as one text file each and read whole (a line end is added to each file)."""
     out = scratch(spark, "texts")
     items = table(spark, base, "eval_items", "item_id", "text").where("text is not null")
     items.repartition(8, "item_id").write.partitionBy("item_id").text(out)
-    return files.texts(spark, out).agg(F.count("*").alias("files"), F.sum(F.length("text") - 1).alias("chars"))
+    return files.texts(spark, out).select(F.regexp_extract("path", r"item_id=(\d+)", 1).alias("item_id"), F.sha2("text", 256).alias("text_hash"))
 
 
 @R.add("s17_ledger_scan", "SELECT batch_no::VARCHAR AS batch_id, count(*) AS documents FROM import_records GROUP BY 1")
@@ -98,6 +101,18 @@ def _(spark, base):
     return spark.read.parquet(out).select("block_no", "content_hash")
 
 
+@R.add("x1_pipeline", f"""WITH one AS (SELECT min(doc_id::VARCHAR) AS path, text FROM documents WHERE length(text) > 0 GROUP BY text)
+SELECT path || '_' || (i - 1) AS id, sha256(w[i]) AS content_hash, 64 AS size, 0::TINYINT AS layer FROM (SELECT path, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT path, {WINDOWS} AS w FROM one))""")
+def _(spark, base):
+    """Documents taken in as files, cut, embedded, stored and indexed by one stream, which is started twice."""
+    feed, mark = scratch(spark, "feed"), scratch(spark, "mark")
+    table(spark, base, "documents", F.col("doc_id").cast("string").alias("path"), "text").coalesce(4).write.parquet(feed)
+    store = DualStore(spark, scratch(spark, "dual"))
+    for _ in range(2):
+        index_stream(spark, feed, store, "files", mark)
+    return store.store.documents("files").select("id", "content_hash", F.size("vector").alias("size"), "layer")
+
+
 @R.add("x4_activity_stream", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark, base):
     """Hourly counts of the events as a stream, complete at its end."""

@@ -186,17 +186,24 @@ _KIND = """CASE WHEN json_type(v) <> 'OBJECT' THEN CASE json_type(v) WHEN 'ARRAY
   WHEN list_has_all(json_keys(v), ['role', 'content']) THEN 'message' WHEN list_has_all(json_keys(v), ['observations', 'name']) THEN 'entity' WHEN list_contains(json_keys(v), 'messages') THEN 'thread' ELSE 'object' END"""
 
 
-@R.add("s13_json_documents", f"""WITH t AS (SELECT slice_no, content, coalesce(json_valid(content), false) AS ok, CASE WHEN json_valid(content) THEN json_type(content) END AS type FROM onion_slices WHERE content IS NOT NULL),
+_JSON = f"""t AS (SELECT slice_no, content, coalesce(json_valid(content), false) AS ok, CASE WHEN json_valid(content) THEN json_type(content) END AS type FROM onion_slices WHERE content IS NOT NULL),
 e AS (SELECT slice_no, generate_subscripts(a, 1) - 1 AS element, unnest(a) AS v FROM (SELECT slice_no, json_extract(content, '$[*]') AS a FROM t WHERE type = 'ARRAY') UNION ALL SELECT slice_no, 0, content::JSON FROM t WHERE ok AND type <> 'ARRAY'),
 p AS (SELECT slice_no, element, {_KIND} AS kind, {_SAID} AS parts, {_TITLE} AS title, v FROM e),
 j AS (SELECT slice_no, element, kind, CASE WHEN kind = 'text' THEN json_extract_string(v, '$') ELSE array_to_string(CASE WHEN title <> '' AND len(list_filter(parts, lambda x: contains(x, title))) = 0 THEN list_prepend('[' || title || ']', parts) ELSE parts END, chr(10)) END AS content FROM p),
-g AS (SELECT j.* FROM j JOIN t USING (slice_no) WHERE type <> 'ARRAY' OR strlen(j.content) > 50)
-SELECT slice_no, element::INT AS element, kind, content FROM g
-UNION ALL SELECT slice_no, 0, 'text', content FROM t WHERE NOT ok UNION ALL SELECT slice_no, 0, 'array', content FROM t WHERE type = 'ARRAY' AND slice_no NOT IN (SELECT slice_no FROM g)""")
-def _(spark, base):
+g AS (SELECT j.* FROM j JOIN t USING (slice_no) WHERE type <> 'ARRAY' OR strlen(j.content) > 50),
+jd AS (SELECT slice_no, element::INT AS element, kind, content FROM g
+UNION ALL SELECT slice_no, 0, 'text', content FROM t WHERE NOT ok UNION ALL SELECT slice_no, 0, 'array', content FROM t WHERE type = 'ARRAY' AND slice_no NOT IN (SELECT slice_no FROM g))"""
+
+
+def json_documents(spark, base):
     return D.json_documents(table(spark, base, "onion_slices", "slice_no", "content").withColumnRenamed("content", "text"), ["slice_no"])
 
 
+@R.add("s13_json_documents", f"WITH {_JSON} SELECT slice_no, element, kind, content FROM jd")
+def _(spark, base):
+    return json_documents(spark, base)
+
+
 @R.add("t29_json_kinds", """SELECT kind, count(*) AS n FROM (SELECT CASE WHEN NOT coalesce(json_valid(metadata), false) THEN 'broken' WHEN json_type(metadata) <> 'OBJECT' THEN lower(json_type(metadata))
  WHEN list_contains(json_keys(metadata), 'role') AND list_contains(json_keys(metadata), 'content') THEN 'message' WHEN list_contains(json_keys(metadata), 'messages') THEN 'thread' ELSE 'object' END AS kind FROM mcp_documents) GROUP BY 1""")
 def _(spark, base):
@@ -312,6 +319,9 @@ def _(spark, base):
     return C.kept_messages(blocks(spark, base)).select("block_no", "hash")
 
 
+WINDOWS = "list_transform(range(0, greatest(ceil((length(text) - 512) / 384.0), 0)::BIGINT + 1), lambda i: substr(text, i * 384 + 1, 512))"
+
+
 # ---- slices and chunks --------------------------------------------------------------
 _META = {k: text_value(k) for k in ("type", "format", "role", "project", "title", "conversation", "session", "agent")}
 
@@ -323,10 +333,13 @@ def _(spark, base):
     return D.sliced(d, ["row_no"]).select("row_no", "id", "layer", "content", "parent_id", F.array_join("children_ids", ",").alias("children"), F.array_join("keywords", ",").alias("keywords"))
 
 
-@R.add("d2_onion_fast_outer", f"""WITH big AS (SELECT doc_id, {strip('text')} AS text FROM documents WHERE text IS NOT NULL AND strlen({strip('text')}) >= 200), {sql_tokens('big', 'doc_id', 'text')}, {sql_keywords('doc_id', 10)},
+_FAST = f"""big AS (SELECT doc_id, {strip('text')} AS text FROM documents WHERE text IS NOT NULL AND strlen({strip('text')}) >= 200), {sql_tokens('big', 'doc_id', 'text')}, {sql_keywords('doc_id', 10)},
 k AS (SELECT doc_id, '[' || string_agg(token, ', ' ORDER BY place) || '] ' AS p FROM kw WHERE place <= 5 GROUP BY 1),
-f AS (SELECT doc_id, coalesce(p, '') AS p, {strip("regexp_extract(text, '^[^.!?]*')")} AS s FROM big LEFT JOIN k USING (doc_id)), g AS (SELECT *, greatest(0, 100 - strlen(p)) AS room FROM f)
-SELECT doc_id, p || CASE WHEN strlen(s) <= room OR length(s) <= room THEN s ELSE regexp_replace(substr(s, 1, room), ' [^ ]*$', '', 's') || '...' END AS content FROM g""")
+f AS (SELECT doc_id, coalesce(p, '') AS p, {strip("regexp_extract(text, '^[^.!?]*')")} AS s FROM big LEFT JOIN k USING (doc_id)), g AS (SELECT *, greatest(0, 100 - strlen(p)) AS room FROM f),
+fo AS (SELECT doc_id, p || CASE WHEN strlen(s) <= room OR length(s) <= room THEN s ELSE regexp_replace(substr(s, 1, room), ' [^ ]*$', '', 's') || '...' END AS content FROM g)"""
+
+
+@R.add("d2_onion_fast_outer", f"WITH {_FAST} SELECT doc_id, content FROM fo")
 def _(spark, base):
     d = with_text(spark, base).withColumn("metadata", F.lit(None).cast("string"))
     return D.sliced(d, ["doc_id"], fast=True).where("layer = 1").select("doc_id", "content")
@@ -338,6 +351,30 @@ def _(spark, base):
     return D.sliced(d, ["row_no"]).select("row_no", "layer", "content")
 
 
+@R.add("d16_json_indexing", f"""WITH {_JSON}, jk AS (SELECT slice_no * 100000 + element AS k, content AS text FROM jd WHERE strlen(content) >= 50), {Z.layers('jk', 'k', 'text', dict.fromkeys(_META, 'NULL::VARCHAR'))}
+SELECT k // 100000 AS slice_no, (k % 100000)::INT AS element, layer::INT AS layer, id, content FROM sl""")
+def _(spark, base):
+    """The texts of JSON files, those of at least 50 bytes, in layers."""
+    d = json_documents(spark, base).where(F.octet_length("content") >= 50).withColumn("metadata", F.lit(None).cast("string"))
+    return D.sliced(d.withColumnRenamed("content", "text"), ["slice_no", "element"]).select("slice_no", "element", "layer", "id", "content")
+
+
+@R.add("d18_plain_indexing", f"""WITH {_FAST}, sl AS (SELECT doc_id, 1 AS layer, content FROM fo UNION ALL SELECT doc_id, 4, {strip('text')} FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, layer, content, 'slice_' || substr(sha256(content || n), 1, 16) || '_' || n AS id FROM (SELECT *, CASE layer WHEN 1 THEN 'outer' ELSE 'core' END AS n FROM sl)""")
+def _(spark, base):
+    """All documents in two layers, copies too."""
+    d = with_text(spark, base).withColumn("metadata", F.lit(None).cast("string"))
+    return D.sliced(d, ["doc_id"], fast=True).select("doc_id", "layer", "content", "id")
+
+
+@R.add("d19_pipeline_chunks", f"SELECT path || '_' || (i - 1) AS id, sha256(w[i]) AS content_hash, sha256(text) AS file_hash FROM (SELECT path, text, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id::VARCHAR AS path, text, {WINDOWS} AS w FROM documents WHERE length(text) > 0))")
+def _(spark, base):
+    from ..streaming.pipeline import chunk_rows
+
+    files = documents(spark, base).select(F.col("doc_id").cast("string").alias("path"), "text")
+    return chunk_rows(files, "files").select("id", "content_hash", "file_hash")
+
+
 @R.add("t36_conversation_facets", f"WITH {Z.facets('raw_blocks', 'block_no', 'content', {})} SELECT block_no, block::INT AS block, label, summary, decision, next_action, entities FROM ff")
 def _(spark, base):
     return D.facets(blocks(spark, base), ["block_no"])
@@ -351,15 +388,12 @@ def _(spark, base):
     return D.sentence_chunks(documents(spark, base), ["doc_id"])
 
 
-_WINDOWS = "list_transform(range(0, greatest(ceil((length(text) - 512) / 384.0), 0)::BIGINT + 1), lambda i: substr(text, i * 384 + 1, 512))"
-
-
-@R.add("d5_window_chunks", f"SELECT doc_id, generate_subscripts(w, 1) - 1 AS chunk_index, unnest(w) AS chunk FROM (SELECT doc_id, {_WINDOWS} AS w FROM documents WHERE length(text) > 0)")
+@R.add("d5_window_chunks", f"SELECT doc_id, generate_subscripts(w, 1) - 1 AS chunk_index, unnest(w) AS chunk FROM (SELECT doc_id, {WINDOWS} AS w FROM documents WHERE length(text) > 0)")
 def _(spark, base):
     return D.window_chunks(documents(spark, base), ["doc_id"]).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
-@R.add("w10_chunk_totals", f"SELECT doc_id, len(w) AS total_chunks, sum(len(w)) OVER (ORDER BY doc_id) - len(w) AS first_chunk FROM (SELECT doc_id, {_WINDOWS} AS w FROM documents WHERE length(text) > 0)".replace("sum(len(w)) OVER (ORDER BY doc_id) - len(w)", "(sum(len(w)) OVER (ORDER BY doc_id) - len(w))::BIGINT"))
+@R.add("w10_chunk_totals", f"SELECT doc_id, len(w) AS total_chunks, sum(len(w)) OVER (ORDER BY doc_id) - len(w) AS first_chunk FROM (SELECT doc_id, {WINDOWS} AS w FROM documents WHERE length(text) > 0)".replace("sum(len(w)) OVER (ORDER BY doc_id) - len(w)", "(sum(len(w)) OVER (ORDER BY doc_id) - len(w))::BIGINT"))
 def _(spark, base):
     n = documents(spark, base).where(F.length("text") > 0).select("doc_id", F.size(X.fixed_windows("text")).cast("long").alias("total_chunks"))
     return U.running_total(n, "doc_id", "total_chunks", "first_chunk")
