@@ -17,9 +17,9 @@ from ..sources.versions import Buckets
 from .durable import small, written
 from .search import bm25_expression, term_array, terms_of
 
-POSTING = T._parse_datatype_string("term string, row_no long, first boolean, tf int, n int")
-ROW = T._parse_datatype_string("row_no long, namespace string, id string, first boolean, n int")
-GONE = T._parse_datatype_string("row_no long, namespace string")
+POSTING = T.StructType().add("term", "string").add("row_no", "long").add("first", "boolean").add("tf", "integer").add("n", "integer")
+ROW = T.StructType().add("row_no", "long").add("namespace", "string").add("id", "string").add("first", "boolean").add("n", "integer")
+GONE = T.StructType().add("row_no", "long").add("namespace", "string")
 
 
 class KeywordIndex:

@@ -17,7 +17,7 @@ from ..operators.durable import written
 from ..operators.stored import DualStore
 
 MODES = ("flat", "onion", "onion-fast")
-SOURCE = T._parse_datatype_string("path string, text string")
+SOURCE = T.StructType().add("path", "string").add("text", "string")
 
 
 def chunk_rows(files: DataFrame, namespace: str, mode: str = "flat") -> DataFrame:
