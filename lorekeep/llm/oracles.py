@@ -100,10 +100,11 @@ WITH live AS ({LIVE}),
 v AS (SELECT row_no, namespace, vector::DOUBLE[] AS x FROM live
   WHERE coalesce(len(vector) = 64 AND len(list_filter(vector, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND len(list_filter(vector, lambda e: e <> 0)) > 0, false)),
 u AS (SELECT row_no, namespace, list_transform(x, lambda e: e / sqrt(list_sum(list_transform(x, lambda f: f * f)))) AS x FROM v),
-p AS (SELECT a.row_no AS q, b.row_no AS n, row_number() OVER (PARTITION BY a.row_no ORDER BY round(list_inner_product(a.x, b.x), 6) DESC, b.row_no) AS rank
+p AS (SELECT a.row_no AS q, b.row_no AS n, list_inner_product(a.x, b.x) AS s, row_number() OVER (PARTITION BY a.row_no ORDER BY round(list_inner_product(a.x, b.x), 7) DESC, b.row_no) AS rank
   FROM u a JOIN u b ON a.namespace = b.namespace AND a.row_no <> b.row_no)
 SELECT DISTINCT least(q, n) AS row_a, greatest(q, n) AS row_b FROM p WHERE rank <= 5
 """
+P4_NEIGHBOURS = P4_FOUND.split("SELECT DISTINCT")[0] + "SELECT q AS row_no, n AS neighbour, round(s, 4) AS similarity, rank::INT AS rank FROM p WHERE rank <= 5"
 P6_FOUND = f"""
 WITH d AS (SELECT doc_id, {words('text')} AS ws FROM documents), i AS (SELECT item_id, {words('text')} AS ws FROM eval_items),
 dr AS (SELECT doc_id, unnest({runs('ws', 12)}) AS run FROM d), ir AS (SELECT item_id, unnest({runs('ws', 12)}) AS run FROM i)
@@ -113,12 +114,13 @@ _FORMS = f"WITH f AS (SELECT doc_id, text, {form('text')} AS form FROM documents
 P8_FOUND = _FORMS + "SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id"
 P8_CLASSES = _FORMS + """, c AS (SELECT form, min(doc_id) AS class_id, count(DISTINCT text) AS spellings, count(*) AS documents FROM f GROUP BY form)
 SELECT doc_id, class_id, spellings, documents FROM f JOIN c USING (form)"""
+P8_TEXTS = f"SELECT doc_id, {form('text')} AS text FROM documents"
 P1_SIZES = """
 SELECT 'mcp_documents' AS src, count(*) AS items, sum(length(text)) AS chars, true AS within_limit, true AS within_overlap, true AS in_order FROM mcp_documents WHERE length(text) > 0
 UNION ALL SELECT 'onion_slices', count(*), sum(length(content)), true, true, true FROM onion_slices WHERE length(content) > 0
 """
 
 SQL = {
-    "p1_found": P1_FOUND_SQL, "p1_sizes": P1_SIZES, "p3_found": P3_FOUND, "p3_batches": P3_BATCHES, "p3_decisions": P3_DECISIONS, "p4_found": P4_FOUND,
-    "p5_found": P5_FOUND, "p5_groups": P5_GROUPS, "p6_found": P6_FOUND, "p8_found": P8_FOUND, "p8_classes": P8_CLASSES,
+    "p1_found": P1_FOUND_SQL, "p1_sizes": P1_SIZES, "p3_found": P3_FOUND, "p3_batches": P3_BATCHES, "p3_decisions": P3_DECISIONS, "p4_found": P4_FOUND, "p4_neighbours": P4_NEIGHBOURS,
+    "p5_found": P5_FOUND, "p5_groups": P5_GROUPS, "p6_found": P6_FOUND, "p8_found": P8_FOUND, "p8_classes": P8_CLASSES, "p8_texts": P8_TEXTS,
 }

@@ -4,8 +4,8 @@ A text over the limit is cut by a hierarchy of separators: sections, then
 paragraphs, then sentences and lines, then words, and characters at last.  Only
 parts that are still too long are cut at the next level.  The parts are packed
 greedily into pieces up to the limit.  Each piece but the first begins with the
-end of the one before, from a sentence or else a word that starts within the
-last `overlap` characters.  Leaving out the overlaps, the pieces make up the
+end of the one before: from the first sentence that starts within the last
+`overlap` characters if that leaves at least half of them, else from a word.  Leaving out the overlaps, the pieces make up the
 text exactly.
 """
 
@@ -76,9 +76,9 @@ def spans(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
 
 def _overlap_start(text: str, ends: list[np.ndarray], end: int, overlap: int, most: int) -> int:
     low = max(0, end - min(overlap, most))
-    for b in (ends[2], ends[3]):
+    for b, least in ((ends[2], (end - low) // 2), (ends[3], 1)):  # a sentence that leaves at least half of the overlap, or a word
         i = int(np.searchsorted(b, low, "left"))
-        if i < len(b) and b[i] < end:
+        if i < len(b) and b[i] <= end - least:
             return int(b[i])
     while low < end and low and _splits_glyph(text, low):
         low += 1

@@ -235,8 +235,13 @@ class Graph:
 
 
 def answers(graph: Graph, keys: np.ndarray, q: np.ndarray, ask: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(asker, neighbour, similarity) of the k nearest of the graph's nodes (`keys` in original order) for the queries `q` of keys `ask`."""
-    ks, ns, ss = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
+    """(asker, neighbour, similarity) of the k nearest of the graph's nodes (`keys` in original order) for the queries `q` of keys `ask`.
+
+    The search works with float32; similarities of what it finds are made again with float64.
+    """
+    ks, ns, ss = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float64)]
+    place = np.empty(len(graph.x), np.int64)
+    place[graph.order] = np.arange(len(graph.x))
     for s, node, sim in graph.search(q, k, graph.beam_for(q, k, own), own):
         who = ask[s : s + len(node)]
         good = (node >= 0) & (sim > FLOOR) & (keys[node] != who[:, None])
@@ -244,7 +249,7 @@ def answers(graph: Graph, keys: np.ndarray, q: np.ndarray, ask: np.ndarray, k: i
         r, c = np.nonzero(good)
         ks.append(who[r])
         ns.append(keys[node[r, c]])
-        ss.append(sim[r, c])
+        ss.append(np.einsum("ij,ij->i", q[s + r].astype(np.float64), graph.x[place[node[r, c]]].astype(np.float64)))
     return np.concatenate(ks), np.concatenate(ns), np.concatenate(ss)
 
 
@@ -266,7 +271,7 @@ def valid_vector(column: str, dim: int):
     return F.coalesce((F.size(c) == dim) & finite & F.exists(c, lambda v: v != 0), F.lit(False))
 
 
-FOUND = T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.LongType()), T.StructField("s", T.FloatType())])
+FOUND = T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.LongType()), T.StructField("s", T.DoubleType())])
 PARTS = ("keys", "x", "order", "counts", "layers")
 SHARD = T.StructType([
     T.StructField("g", T.StringType()), T.StructField("shard", T.IntegerType()), T.StructField("parts", T.IntegerType()),
@@ -307,7 +312,7 @@ def nearest(rows: DataFrame, k: int = 5, dim: int = 64, key="row_no", group="nam
 
     def own(batches):
         for t in batches:
-            cols = [np.concatenate([np.empty(0, d), *(np.frombuffer(v.as_buffer(), d) for v in t.column(c))]) for c, d in (("k", np.int64), ("n", np.int64), ("s", np.float32))]
+            cols = [np.concatenate([np.empty(0, d), *(np.frombuffer(v.as_buffer(), d) for v in t.column(c))]) for c, d in (("k", np.int64), ("n", np.int64), ("s", np.float64))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], FOUND.names)
 
     def foreign(batches):
@@ -340,4 +345,4 @@ def p4_found(spark, base) -> DataFrame:
 
 def p4_neighbours(spark, base) -> DataFrame:
     """The 5 nearest rows of every live row with a valid vector."""
-    return nearest(store_vectors(spark, base))
+    return nearest(store_vectors(spark, base)).withColumn("similarity", F.round("similarity", 4))
