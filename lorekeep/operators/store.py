@@ -47,8 +47,9 @@ def layer_predicate(layer: int | None) -> Column:
 
 def first_written(df: DataFrame, *keep: str) -> DataFrame:
     """One row per (namespace, id), the first written; rows without a key are left out."""
-    best = F.min_by(F.struct("row_no", *keep), "row_no")
-    return df.where((F.col("namespace") != "") & (F.col("id") != "")).groupBy("namespace", "id").agg(best.alias("_r")).select("namespace", "id", "_r.*")
+    # one aggregate a column: over numbers that is a hash aggregation without a sort
+    keyed = df.where((F.col("namespace") != "") & (F.col("id") != "")).groupBy("namespace", "id")
+    return keyed.agg(F.min("row_no").alias("_first"), *[F.min_by(c, "row_no").alias(c) for c in keep]).withColumnRenamed("_first", "row_no").select("namespace", "id", "row_no", *keep)
 
 
 def family(df: DataFrame, namespace: str, id_: str) -> Column:
