@@ -7,6 +7,7 @@ words hashed into a fixed number of places, at unit length.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from typing import Protocol
 
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import pytext as P
 
-BATCH_CHARS = 128_000  # of a request
+BATCH_ITEMS, BATCH_CHARS = 64, 128_000  # of a request
 
 
 class Embedder(Protocol):
@@ -127,14 +128,14 @@ class OverlapReranker:
         return [len(q & set(t.lower().split())) / len(q) if q else 0.0 for t in texts]
 
 
-def _with_retries(call: Callable, texts: list[str], tries: int = 10, alone: int = 3):
+def _with_retries(call: Callable, texts: list[str], tries: int = 10, alone: int = 3, failed: Callable | None = None):
     """A batch with retries; when it keeps failing, each text by itself; a text that fails alone raises."""
-    import time
-
     for n in range(tries):
         try:
             return call(texts)
         except OSError:  # network trouble of a remote embedder
+            if failed:
+                failed()
             time.sleep(min(30.0, 0.1 * 2**n))
     if len(texts) == 1:
         raise RuntimeError("embedding failed")
@@ -155,26 +156,33 @@ def _mean(vectors: list[list[float]], weights: list[int]) -> list[float]:
     return [sum(w * x for w, x in zip(weights, xs, strict=True)) / total for xs in zip(*vectors, strict=True)]
 
 
-def embedded(df: DataFrame, keep: list[str], text: str = "text", make: Callable[[], Embedder] = HashedEmbedder, out: str = "vector") -> DataFrame:
+def embedded(df: DataFrame, keep: list[str], text: str = "text", make: Callable[[], Embedder] = HashedEmbedder, out: str = "vector", govern: Callable | None = None) -> DataFrame:
     """`keep` and the vector of each text, in requests of at most 64 texts and 128,000 characters; null texts give null.
 
+    `govern` makes a governor for each task, which sets the sizes of requests by their latency (streaming.control.Governor).
+
     A text too long for the embedder goes in pieces; its vector is their mean, weighted by length.
     """
     schema = T.StructType([*(df.schema[k] for k in keep), T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches):
-        model = make()
+        model, sizes = make(), govern() if govern else None
         most = getattr(model, "most_chars", BATCH_CHARS // 2)
         for b in batches:
             texts = b.column(text).to_pylist()
             pieces = [(i, p) for i, t in enumerate(texts) if t is not None for p in _within(t, most)]
             got: dict[int, list] = {}
-            groups: dict[int, list[tuple[int, str]]] = {}
-            for ip, g in zip(pieces, P.embed_batches([len(p) for _, p in pieces], most_chars=BATCH_CHARS), strict=True):
-                groups.setdefault(g, []).append(ip)
-            for ips in groups.values():
-                for (i, p), v in zip(ips, _with_retries(model.embed, [p for _, p in ips]), strict=True):
+            at = 0
+            while at < len(pieces):  # the next request, as large as it may be now
+                items, chars = (sizes.items, sizes.chars) if sizes else (BATCH_ITEMS, BATCH_CHARS)
+                ips = pieces[at : at + items]
+                ips = ips[: P.embed_batches([len(p) for _, p in ips], items, chars).count(0)]
+                begun = time.monotonic()
+                for (i, p), v in zip(ips, _with_retries(model.embed, [p for _, p in ips], failed=sizes.failed if sizes else None), strict=True):
                     got.setdefault(i, []).append((v, len(p)))
+                if sizes:
+                    sizes.took(time.monotonic() - begun)
+                at += len(ips)
             vectors = [None if i not in got else got[i][0][0] if len(got[i]) == 1 else _mean(*zip(*got[i], strict=True)) for i in range(len(texts))]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(vectors, pa.list_(pa.float32()))], schema.names)
 

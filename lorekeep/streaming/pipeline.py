@@ -6,6 +6,7 @@ that comes again is left out whole.
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,7 @@ from ..operators import embed as E
 from ..operators import slicing as D
 from ..operators.durable import written
 from ..operators.stored import DualStore
+from .control import Control
 
 MODES = ("flat", "onion", "onion-fast")
 SOURCE = T.StructType().add("path", "string").add("text", "string")
@@ -37,15 +39,20 @@ def chunk_rows(files: DataFrame, namespace: str, mode: str = "flat") -> DataFram
     return parts.select("id", F.lit(namespace).alias("namespace"), "text", meta.alias("metadata"), "layer", "parent_id", "children_ids", "keywords", X.content_hash("text").alias("content_hash"), "file_hash")
 
 
-def index_stream(spark: SparkSession, source: str, store: DualStore, namespace: str, checkpoint: str, mode: str = "flat", make=E.HashedEmbedder, files_per_batch: int = 1000) -> None:
-    """Take in the Parquet files of (path, text) in `source` that are new, until none is left.
+def index_stream(spark: SparkSession, source: str, store: DualStore, namespace: str, checkpoint: str, mode: str = "flat", make=E.HashedEmbedder, files_per_batch: int = 1000, control: Control | None = None) -> None:
+    """Take in the Parquet files of (path, text) in `source` that are new, until none is left or `control` stops the run.
+
+    A run that is stopped has stored whole micro-batches; the next one goes on behind them.
 
     Files whose text the namespace has, and repeats inside a batch, are left
     out; of equal texts the one with the smallest path is kept.
     """
+    control = control or Control()
     stream = spark.readStream.schema(SOURCE).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def write(batch: DataFrame, number: int) -> None:
+        if not control.gate():
+            raise InterruptedError("stopped")
         name = f"{namespace}-{number}"
         if name in store.store.table.manifest.newest()["batches"] and name in store.index.rows.manifest.newest()["batches"]:
             return
@@ -59,4 +66,9 @@ def index_stream(spark: SparkSession, source: str, store: DualStore, namespace:
         store.write(written(numbered, "rows"), name)
         store.store.tidy()
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if not control.stopped:
+            raise

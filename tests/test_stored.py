@@ -11,7 +11,9 @@ from lorekeep.operators import admin, durable, embed, pairs, search, turns
 from lorekeep.operators import store as S
 from lorekeep.operators.keywords import KeywordIndex
 from lorekeep.operators.stored import DualStore, Store
+from lorekeep.sources import given
 from lorekeep.sources.versions import Buckets
+from lorekeep.streaming.control import Control, Governor, streamed
 from lorekeep.streaming.pipeline import chunk_rows, index_stream
 
 
@@ -204,3 +206,65 @@ def test_pairs_in_cells(spark):
         got = [(r.a, r.b) for r in pairs.pairs_within(df, "g", "k", chunk=chunk).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert durable.bytes_of(df.limit(0)) == 0
+
+
+def test_pause_and_stop_of_a_run(spark, tmp_path):
+    feed = str(tmp_path / "feed")
+    spark.createDataFrame([(f"{i}.md", f"note number {i}") for i in range(4)], "path string, text string").repartition(4).write.parquet(feed)
+    both, mark = DualStore(spark, str(tmp_path / "d")), str(tmp_path / "mark")
+    c = Control()
+    c.pause()
+    run = threading.Thread(target=index_stream, args=(spark, feed, both, "ns", mark), kwargs={"files_per_batch": 1, "control": c})
+    run.start()
+    run.join(5)
+    assert run.is_alive() and both.store.documents().count() == 0
+    c.stop()
+    run.join(60)
+    assert not run.is_alive() and both.store.documents().count() == 0
+    index_stream(spark, feed, both, "ns", mark, files_per_batch=1)
+    assert both.store.documents("ns").count() == 4
+
+
+def test_governor():
+    g = Governor()
+    assert (g.items, g.chars) == (32, 64_000)
+    g.took(0.1)
+    g.took(0.1)
+    assert (g.items, g.chars) == (48, 96_000)
+    for _ in range(9):
+        g.took(0.1)
+    assert (g.items, g.chars) == (64, 128_000)
+    for _ in range(20):
+        g.failed()
+    assert (g.items, g.chars) == (1, 4000)
+    g.took(1.0)
+    assert g.items == 1
+
+
+def test_governed_requests(spark):
+    df = spark.createDataFrame([(i, f"text {i}" if i % 3 else None) for i in range(100)], "k int, text string")
+    plain = sorted((r.k, r.vector) for r in embed.embedded(df, ["k"]).collect())
+    assert sorted((r.k, r.vector) for r in embed.embedded(df, ["k"], govern=Governor).collect()) == plain
+
+
+def test_streamed_results(spark):
+    df = spark.range(5).select("id", F.struct("id").alias("s"))
+    events = list(streamed(df))
+    assert events[0] == ("start", {"columns": ["id", "s"]}) and events[-1] == ("done", {"rows": 5}) and events[1] == ("row", {"id": 0, "s": {"id": 0}})
+    bad = list(streamed(spark.range(1).select(F.raise_error(F.lit("no")))))
+    assert bad[-1][0] == "error"
+
+
+def test_given_texts_and_settings(spark, tmp_path, monkeypatch):
+    assert given.given_row(spark, "n", "i", None, '{"a": 1}', lambda: "from input").first().text == "from input"
+    for bad in ({"text": "  "}, {"text": "x", "metadata": "[1]"}, {"text": "x", "metadata": "{"}):
+        with pytest.raises(ValueError):
+            given.given_row(spark, "n", "i", **bad)
+    file = tmp_path / "c.toml"
+    file.write_text("[store]\nfolder = 'x'\n")
+    monkeypatch.delenv(given.CONFIG_VARIABLE, raising=False)
+    assert given.config(paths=()) == ({}, None) and given.config(paths=("/none", str(file)))[0] == {"store": {"folder": "x"}}
+    monkeypatch.setenv(given.CONFIG_VARIABLE, str(file))
+    assert given.config()[1] == str(file)
+    with pytest.raises(FileNotFoundError):
+        given.config(str(tmp_path / "none.toml"))
