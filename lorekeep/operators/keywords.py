@@ -44,8 +44,9 @@ class KeywordIndex:
         flagged = counted.join(firsts.select("row_no", F.lit(True).alias("first")), "row_no", "left").withColumn("first", F.coalesce("first", F.lit(False)))
         flagged = written(flagged.withColumn("n", F.size("terms")), "flagged")
         tf = flagged.select("row_no", "first", "n", F.explode("terms").alias("term")).groupBy("term", "row_no").agg(F.count("*").alias("tf"), F.first("first").alias("first"), F.first("n").alias("n"))
-        self.rows.append(flagged, batch)
+        # postings first: a batch whose rows are in is in whole
         self.postings.append(tf, batch)
+        self.rows.append(flagged, batch)
 
     def delete(self, namespace: str, ids: list[str] | None = None) -> None:
         """Leave out the rows of a namespace, or those with some ids."""

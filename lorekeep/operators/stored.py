@@ -61,7 +61,12 @@ class DualStore:
         self.files, self.pending = Files(spark, folder), f"{folder}/pending"
 
     def write(self, rows: DataFrame, batch: str | None = None) -> None:
+        """Store and index the rows; a batch that was under way is finished from what is stored, and one that is in is left out."""
         batch = batch or uuid.uuid4().hex
+        if self.files.exists(f"{self.pending}/{batch}.json"):
+            self.recover()
+        if batch in self.store.table.manifest.newest()["batches"]:
+            return
         self.files.create(f"{self.pending}/{batch}.json", json.dumps({"batch_id": batch, "status": "pending"}))
         self.store.append(rows, batch)
         self.index.add(rows, batch)

@@ -105,8 +105,8 @@ class Buckets:
     def _write(self, df: DataFrame) -> list:
         path = f"{self.folder}/data/t{uuid.uuid4().hex}"
         rows = df.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema.fields))
-        # equal buckets meet in few tasks, so a change makes few files; AQE splits what is large
-        rows.withColumn("_b", self.bucket(self.by)).repartition(F.col("_b")).write.partitionBy("_b").parquet(path)
+        # rows of a bucket meet, so a change makes few files; adaptive execution splits large buckets and joins small ones
+        rows.withColumn("_b", self.bucket(self.by)).hint("rebalance", "_b").write.partitionBy("_b").parquet(path)
         return [[f"{path}/{n}", int(n[3:])] for n in self.files.names(path) if n.startswith("_b=")]
 
     def append(self, df: DataFrame, batch: str | None = None) -> None:

@@ -54,7 +54,8 @@ def index_stream(spark: SparkSession, source: str, store: DualStore, namespace:
         if not control.gate():
             raise InterruptedError("stopped")
         name = f"{namespace}-{number}"
-        if name in store.store.table.manifest.newest()["batches"] and name in store.index.rows.manifest.newest()["batches"]:
+        store.recover()  # of an attempt that was lost on its way
+        if name in store.store.table.manifest.newest()["batches"]:
             return
         one = batch.where(F.length("text") > 0).groupBy(X.content_hash("text").alias("h")).agg(F.min_by("text", "path").alias("text"), F.min("path").alias("path"))
         known = store.store.documents(namespace).select(F.get_json_object("metadata", "$.file_hash").alias("h")).where("h is not null").distinct()

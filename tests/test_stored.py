@@ -98,6 +98,12 @@ def test_recovery_of_dual_writes(spark, tmp_path):
     both.files.create(f"{both.pending}/b2.json", json.dumps({"batch_id": "b2", "status": "pending"}))  # stopped before the store
     assert both.recover() == {"b1": "replayed", "b2": "dropped"} and both.recover() == {}
     assert sorted(r.row_no for r in both.index.rows.read().collect()) == [1, 2, 3, 5, 6, 7]
+    both.files.create(f"{both.pending}/b3.json", json.dumps({"batch_id": "b3", "status": "pending"}))
+    more = rows(spark, [(8, "c", "x", "quick eel")])
+    both.store.append(more, "b3")
+    both.write(more.withColumn("row_no", F.lit(9).cast("long")), "b3")  # tried again: what is stored is finished
+    assert both.files.names(both.pending) == [] and {r.row_no for r in both.index.scores("eel").collect()} == {8}
+    both.delete("c")
     both.delete("a", "y")
     both.delete("b")
     assert sorted(r.row_no for r in both.store.documents().collect()) == [1, 5, 6, 7]
