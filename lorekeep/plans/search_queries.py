@@ -47,7 +47,7 @@ def keyword_index(spark, base) -> KeywordIndex:
     path = f"{base}/mcp_documents.parquet"
     state = Files(spark, path).state(path)
     made = spark.sparkContext.__dict__.setdefault("_lorekeep_indexes", {})
-    if state not in made:
+    if state not in made or not made[state].rows.files.exists(made[state].rows.folder):
         index = KeywordIndex(spark, f"{shared_folder(spark)}/keywords-{uuid.uuid4().hex}")
         index.add(docs(spark, base, "row_no", "namespace", "id", "text"), "store")
         made[state] = index
