@@ -45,7 +45,7 @@ N = 3  # words of a run
 BUCKETS = 32  # partitions of the tables of a history
 FAN = 4  # tables of one level that are merged
 MOST_EDGES = 2_000_000  # links that one task settles in order
-ASK_BROADCAST = 32 << 20  # bytes of askers that may be sent to all executors
+ASK_BROADCAST = 64 << 20  # bytes of askers that may be sent to all executors
 ARRAYS = {"keys": np.int64, "starts": np.int32, "dictionary": np.uint64, "text": np.int32, "suffixes": np.int32}
 SEGMENT = T.StructType([
     T.StructField("g", T.StringType()), T.StructField("part", T.StringType()), T.StructField("words", T.IntegerType()),
