@@ -46,6 +46,7 @@ BUCKETS = 32  # partitions of the tables of a history
 FAN = 4  # tables of one level that are merged
 MOST_EDGES = 2_000_000  # links that one task settles in order
 ASK_BROADCAST = 64 << 20  # bytes of askers that may be sent to all executors
+CELL = 4  # blocks of askers that one task puts to a segment
 ARRAYS = {"keys": np.int64, "starts": np.int32, "dictionary": np.uint64, "text": np.int32, "suffixes": np.int32}
 SEGMENT = T.StructType([
     T.StructField("g", T.StringType()), T.StructField("part", T.StringType()), T.StructField("words", T.IntegerType()),
@@ -344,9 +345,10 @@ class History:
         size = bytes_of(asks)
         if size <= ASK_BROADCAST and size * self.spark.sparkContext.defaultParallelism < self._stored_bytes():
             both = wanted.join(F.broadcast(asks.drop("b")), "g")
-        else:  # a block goes to each segment of its group
-            parts = self._parts(buckets)
-            both = wanted.join(asks.join(parts, ["b", "g"]), ["b", "g", "part"])
+        else:  # a block goes to each segment of its group, a segment to every CELL blocks; the join holds one segment and streams blocks
+            celled = asks.withColumn("cell", F.floor(F.col("block") / CELL).cast("int"))
+            copies = wanted.join(small(celled.select("b", "g", "cell").distinct()), ["b", "g"])
+            both = celled.join(self._parts(buckets), ["b", "g"]).join(copies, ["b", "g", "part", "cell"])
 
         def run(batches):
             last, seg = None, None
