@@ -116,8 +116,8 @@ P8_CLASSES = _FORMS + """, c AS (SELECT form, min(doc_id) AS class_id, count(DIS
 SELECT doc_id, class_id, spellings, documents FROM f JOIN c USING (form)"""
 P8_TEXTS = f"SELECT doc_id, {form('text')} AS text FROM documents"
 P1_SIZES = """
-SELECT 'mcp_documents' AS src, count(*) AS items, sum(length(text)) AS chars, true AS within_limit, true AS within_overlap, true AS in_order FROM mcp_documents WHERE length(text) > 0
-UNION ALL SELECT 'onion_slices', count(*), sum(length(content)), true, true, true FROM onion_slices WHERE length(content) > 0
+SELECT 'mcp_documents' AS src, count(*) AS items, sum(length(text))::BIGINT AS chars, true AS within_limit, true AS within_overlap, true AS in_order FROM mcp_documents WHERE length(text) > 0
+UNION ALL SELECT 'onion_slices', count(*), sum(length(content))::BIGINT, true, true, true FROM onion_slices WHERE length(content) > 0
 """
 
 SQL = {
