@@ -14,6 +14,7 @@ STOP_WORDS = frozenset(
     " what which who whom when where why how all each every both few more most other some such no not only own same so than too very just also now here there then once if into through during before after"
     " above below between under again further about out over up down off any because until while".split()
 )
+# Abbreviations that don't end a sentence, and the sizes of layers in characters.
 ABBREVIATIONS = ("Mr.", "Mrs.", "Dr.", "Prof.", "vs.", "etc.", "e.g.", "i.e.")
 LAYER_SIZE = {"outer": 100, "middle": 300, "inner": 600}
 SHORT = 200  # bytes below which a text isn't layered
@@ -191,6 +192,7 @@ def slice_id(content: str, layer: str) -> str:
 
 
 # ---- conversations --------------------------------------------------------
+# Kinds of conversations, and labels and words in their texts.
 CONVERSATION_TYPES = ("conversation", "transcript_turn")
 CONVERSATION_FORMATS = ("markdown_transcript", "sessions", "claude_web", "chatgpt")
 ROLE_LABELS = {"user": ("Request", "User request"), "assistant": ("Response", "Assistant response"), "reasoning": ("Reasoning", "Reasoning focus"), "system": ("Context", "System context"), "tool": ("Tool", "Tool output")}
